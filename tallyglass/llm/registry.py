@@ -1,9 +1,16 @@
 """The corpus queries, and SQL for those it can express."""
 
-from . import exact_dedup, simhash_dedup
+from . import decontamination, exact_dedup, html_extraction, packing, simhash_dedup, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_simhash_near_dedup": simhash_dedup.op3_simhash_near_dedup,
+    "op4_warc": warc.op4_warc,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
+    "op10_html_extraction": html_extraction.op10_html_extraction,
+}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
+    "op8_benchmark_decontamination": decontamination.ORACLE,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
