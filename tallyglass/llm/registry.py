@@ -1,6 +1,6 @@
 """The corpus queries, and SQL for those it can express."""
 
-from . import decontamination, exact_dedup, html_extraction, licenses, packing, quality, simhash_dedup, toxicity, warc
+from . import decontamination, exact_dedup, html_extraction, licenses, lm_scoring, packing, quality, simhash_dedup, toxicity, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -11,6 +11,7 @@ def _pipeline(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_simhash_near_dedup": simhash_dedup.op3_simhash_near_dedup,
     "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
