@@ -1,5 +1,7 @@
 """Queries by name, and the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLES = {}
-FLAGSHIP = ""
+from .plans import domain, relational
+
+QUERIES = {**relational.QUERIES, **domain.QUERIES}
+ORACLES = {**relational.ORACLES, **domain.ORACLES}
+FLAGSHIP = "dm1_scorecard"
