@@ -1,7 +1,8 @@
 """Queries by name, and the SQL that gives the same rows."""
 
 from .plans import domain, relational
+from .streaming import reviews
 
-QUERIES = {**relational.QUERIES, **domain.QUERIES}
-ORACLES = {**relational.ORACLES, **domain.ORACLES}
+QUERIES = {**relational.QUERIES, **domain.QUERIES, **reviews.QUERIES}
+ORACLES = {**relational.ORACLES, **domain.ORACLES, **reviews.ORACLES}
 FLAGSHIP = "dm1_scorecard"
