@@ -1,8 +1,8 @@
 """Queries by name, and the SQL that gives the same rows."""
 
-from .plans import domain, relational
+from .plans import domain, more, relational
 from .streaming import reviews
 
-QUERIES = {**relational.QUERIES, **domain.QUERIES, **reviews.QUERIES}
-ORACLES = {**relational.ORACLES, **domain.ORACLES, **reviews.ORACLES}
+QUERIES = {**relational.QUERIES, **domain.QUERIES, **more.QUERIES, **reviews.QUERIES}
+ORACLES = {**relational.ORACLES, **domain.ORACLES, **more.ORACLES, **reviews.ORACLES}
 FLAGSHIP = "dm1_scorecard"
