@@ -121,6 +121,8 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     unique, repeated = RepeatFilter(hashed, hashed.count(), max_filter_bits).split(hashed)
     members, groups = _groups(repeated)
+    # Written first: the join then has a shuffle of its own on either side, so a hot group's members can be split.
+    groups = staged(groups, "groups")
     marked = members.join(groups, "sha", "left").select(
         "id",
         "keep_id",

@@ -31,50 +31,61 @@ END_ID = 0
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 as is, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class WordTokens:
     """Token ids of texts, by a bounded memory of the ids of single words.
 
     White space never reaches the vocabulary, so a text's ids are its words' ids in order. New words are split into
-    pre-tokens and encoded together in one call; the word ends in the ids tell them apart again.
+    pre-tokens, and each distinct pre-token goes through the vocabulary's merges once.
     """
 
     def __init__(self, path: str, most_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
-        self.is_end[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.piece_ids = self.tokenizer.model.tokenize
         self.most_words = most_words
         self._forget()
 
     def _forget(self):
         self.words: dict[bytes, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.at = np.zeros(1 << 18, np.int64)
         self.size = np.zeros(1 << 18, np.int64)
         self.used = 0
 
+    def _piece(self, piece: str) -> list[int]:
+        found = self.pieces.get(piece)
+        if found is None:
+            raw = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            found = self.pieces[piece] = [t.id for t in self.piece_ids(raw)]
+        return found
+
     def _learn(self, new: list[bytes]) -> None:
-        tokens: list[str] = []
-        counts = np.empty(len(new), np.int64)
+        flat: list[int] = []
+        cut = np.zeros(len(new) + 1, np.int64)
         for k, word in enumerate(new):
             w = word.decode()
             if not w.isascii():
                 w = unicodedata.normalize("NFC", w)
             w = w.lower()
             if w.isalpha():
-                tokens.append(w)
-                counts[k] = 1
+                flat += self._piece(w)
             else:
-                found = PRETOKEN.findall(w)
-                tokens += found
-                counts[k] = len(found)
-        ids = np.array(self.tokenizer.encode(" ".join(tokens), add_special_tokens=False).ids, np.uint32)
-        ends = np.concatenate([[0], np.flatnonzero(self.is_end[ids]) + 1])
-        if len(ends) != len(tokens) + 1:
-            raise ValueError("the vocabulary does not mark word ends")
-        cut = ends[np.concatenate([[0], np.cumsum(counts)])]
+                for piece in PRETOKEN.findall(w):
+                    flat += self._piece(piece)
+            cut[k + 1] = len(flat)
+        ids = np.array(flat, np.uint32)
         first = len(self.words)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
