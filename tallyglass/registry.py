@@ -1,8 +1,9 @@
 """Queries by name, and the SQL that gives the same rows."""
 
-from .plans import domain, more, relational
+from .plans import catalogue, domain, more, relational
 from .streaming import reviews
 
-QUERIES = {**relational.QUERIES, **domain.QUERIES, **more.QUERIES, **reviews.QUERIES}
-ORACLES = {**relational.ORACLES, **domain.ORACLES, **more.ORACLES, **reviews.ORACLES}
+PLANS = (relational, domain, more, catalogue, reviews)
+QUERIES = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
+ORACLES = {name: text for plan in PLANS for name, text in plan.ORACLES.items()}
 FLAGSHIP = "dm1_scorecard"
