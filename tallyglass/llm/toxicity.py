@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Inputs of a word are its own embedding (unknown words share one) and the mean embedding of its hashed character
-trigrams, so that inflected and unseen forms are recognised by their letters. A text is cut into overlapping windows;
+Inputs of a word are its own embedding (unknown words share one), the mean embedding of its hashed character
+trigrams and the sum of the embeddings of its known beginnings (stems of 3 to 8 letters), so that inflected and unseen
+forms are recognised by their letters. In training, words and stems are left out at random. A text is cut into overlapping windows;
 in each, a GRU runs in both directions and attention pools the states into one logit. The text's score is that of its
 highest window, and training follows the same rule: a document's loss goes to its highest window.
 
@@ -26,8 +27,9 @@ from .sampling import held_out, labelled_sample
 
 WORDS = re.compile(r"\w+")
 WINDOW, STRIDE = 64, 48
-HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 12, 8, 16, 12
+HIDDEN, WORD_DIM, CHAR_DIM, STEM_DIM, ATTEND = 12, 8, 8, 8, 12
 GRAMS = 1 << 13
+STEMS = range(3, 9)
 
 
 def sigmoid(x):
@@ -47,6 +49,10 @@ def trigram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((code ^ (code >> 17)) % GRAMS)[keep], np.cumsum(count) - count
 
 
+def stems_of(word: str) -> list[str]:
+    return [word[:k] for k in STEMS if len(word) >= k]
+
+
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, length) of the overlapping windows that cover texts of these lengths."""
     n = np.maximum(1, -(-(lengths - WINDOW) // STRIDE) + 1)
@@ -56,14 +62,16 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Network:
-    def __init__(self, vocabulary: list[str], seed: int = 11):
+    def __init__(self, vocabulary: list[str], stems: list[str], seed: int = 11):
         rng = np.random.default_rng(seed)
         self.vocab = {w: k + 1 for k, w in enumerate(vocabulary)}
-        d, h = WORD_DIM + CHAR_DIM, HIDDEN
+        self.stems = {w: k + 1 for k, w in enumerate(stems)}
+        d, h = WORD_DIM + CHAR_DIM + STEM_DIM, HIDDEN
         f = lambda *s: (rng.standard_normal(s) / np.sqrt(s[-2] if len(s) > 1 else s[0])).astype(np.float32)
         self.p = {
             "words": (rng.standard_normal((len(vocabulary) + 1, WORD_DIM)) * 0.1).astype(np.float32),
             "grams": (rng.standard_normal((GRAMS, CHAR_DIM)) * 0.5).astype(np.float32),
+            "stems": (rng.standard_normal((len(stems) + 1, STEM_DIM)) * 0.1).astype(np.float32),
             "wx": f(2, d, 3 * h),
             "bx": np.zeros((2, 1, 3 * h), np.float32),
             "u": f(2, h, 3 * h),
@@ -74,13 +82,21 @@ class Network:
             "bo": np.full(1, -1.0, np.float32),
         }
 
-    def inputs(self, words: list[str]):
-        """Input vectors of distinct words, and what backward() needs."""
+    def features(self, words: list[str]):
+        """Of distinct words: ids, and runs (flat, starts, sizes) of trigram codes and of known stems."""
         ids = np.array([self.vocab.get(w, 0) for w in words], np.int64)
+        found = [[0, *(k for s in stems_of(w) if (k := self.stems.get(s)))] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        stems = np.fromiter((k for some in found for k in some), np.int64, int(sizes.sum()))
         codes, starts = trigram_rows(words)
-        count = np.diff(np.append(starts, len(codes)))
-        grams = np.add.reduceat(self.p["grams"][codes], starts, axis=0) / count[:, None]
-        return np.concatenate([self.p["words"][ids], grams.astype(np.float32)], 1), (ids, codes, count)
+        return ids, (codes, starts, np.diff(np.append(starts, len(codes)))), (stems, np.cumsum(sizes) - sizes, sizes)
+
+    def inputs(self, features):
+        """Input vectors of distinct words."""
+        ids, (codes, at, count), (stems, stem_at, _) = features
+        grams = np.add.reduceat(self.p["grams"][codes], at, axis=0) / count[:, None]
+        leads = np.add.reduceat(self.p["stems"][stems], stem_at, axis=0)
+        return np.concatenate([self.p["words"][ids], grams, leads], 1).astype(np.float32)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Gate inputs of distinct words for both directions, with a last row for padding."""
@@ -183,41 +199,71 @@ def layout(texts: list[list[str]]):
     return list(known), doc, ids, size
 
 
-def train(texts: list[str], y: np.ndarray, steps: int = 360, batch: int = 48, rate: float = 0.006, most_words: int = 1200, seed: int = 3) -> Network:
+def some_features(features, pick: np.ndarray):
+    """The features of some of the words."""
+    ids, *runs = features
+    out = []
+    for flat, starts, sizes in runs:
+        n = sizes[pick]
+        ends = np.cumsum(n)
+        out.append((flat[np.arange(n.sum()) + np.repeat(starts[pick] - (ends - n), n)], ends - n, n))
+    return ids[pick], *out
+
+
+def noisy(features, rng, share: float):
+    """Features with a share of the words and stems made unknown, so that the letters have to serve."""
+    ids, grams, (stems, at, sizes) = features
+    return np.where(rng.random(len(ids)) < share, 0, ids), grams, (np.where(rng.random(len(stems)) < share, 0, stems), at, sizes)
+
+
+def train(texts: list[str], y: np.ndarray, steps: int = 360, batch: int = 48, rate: float = 0.006, most_words: int = 1200, left_out: float = 0.3, seed: int = 3) -> Network:
     """Fit on texts of up to most_words words (longer ones are left to scoring)."""
     split = [WORDS.findall((t or "").lower()) for t in texts]
     use = [k for k, w in enumerate(split) if 0 < len(w) <= most_words]
-    counts = Counter(w for k in use for w in set(split[k]))
-    net = Network([w for w, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:6000] if c >= 3])
-    opt, rng = Adam(net.p, rate), np.random.default_rng(seed)
-    pos, neg = ([k for k in use if y[k] == c] for c in (1, 0))
-    if not pos or not neg:
+    split, y = [split[k] for k in use], np.asarray(y)[use]
+    counts = Counter(w for words in split for w in set(words))
+    begun = Counter(s for words in split for s in {s for w in set(words) for s in stems_of(w)})
+    most = lambda found, n, least: [w for w, c in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:n] if c >= least]
+    net = Network(most(counts, 6000, 3), most(begun, 20000, 5))
+    pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(pos) or not len(neg):
         return net
+    opt, rng = Adam(net.p, rate), np.random.default_rng(seed)
+    words, whose, all_ids, sizes = layout(split)
+    features = net.features(words)
+    first = np.searchsorted(whose, np.arange(len(split) + 1))
+
+    def used(rows):
+        """The words of some windows, and the windows as ids into them (the padding id sorts last)."""
+        seen, ids = np.unique(all_ids[rows], return_inverse=True)
+        return some_features(features, seen[seen < len(words)]), ids.reshape(len(rows), WINDOW)
+
     for step in range(steps):
         opt.rate = rate * min(1.0, 3 * (1 - step / steps) + 0.05)
         some = [*rng.choice(pos, batch // 3), *rng.choice(neg, batch - batch // 3)]
-        words, doc, ids, size = layout([split[k] for k in some])
-        target = y[some].astype(np.float32)
-        x, (wid, codes, count) = net.inputs(words)
-        gates = net.project(x)
+        rows = np.concatenate([np.arange(first[k], first[k + 1]) for k in some])
+        doc = np.repeat(np.arange(batch), [first[k + 1] - first[k] for k in some])
         if step >= steps // 6:
-            logit = net.forward(gates, ids, size)
+            part, ids = used(rows)
+            logit = net.forward(net.project(net.inputs(noisy(part, rng, left_out))), ids, sizes[rows])
             order = np.lexsort((logit, doc))
-            top = order[np.append(doc[order][1:] != doc[order][:-1], True)]
-            doc, ids, size = doc[top], ids[top], size[top]
+            pick = order[np.append(doc[order][1:] != doc[order][:-1], True)]
         else:
             pick = rng.permutation(len(doc))[: 4 * batch]
-            doc, ids, size = doc[pick], ids[pick], size[pick]
-        logit, saved = net.forward(gates, ids, size, keep=True)
-        d = (sigmoid(logit) - target[doc]) / len(doc)
+        doc, rows = doc[pick], rows[pick]
+        part, ids = used(rows)
+        part = wid, (codes, _, count), (stems, _, runs) = noisy(part, rng, left_out)
+        x = net.inputs(part)
+        gates = net.project(x)
+        logit, saved = net.forward(gates, ids, sizes[rows], keep=True)
+        d = (sigmoid(logit) - y[some][doc]) / len(doc)
         g, dgates = net.backward(d.astype(np.float32), saved, gates.shape[1])
         g["wx"] = np.matmul(x.T[None], dgates)
         g["bx"] = dgates.sum(1, keepdims=True)
-        dx = np.matmul(dgates, net.p["wx"].transpose(0, 2, 1)).sum(0)
-        g["words"] = np.zeros_like(net.p["words"])
-        np.add.at(g["words"], wid, dx[:, :WORD_DIM])
-        g["grams"] = np.zeros_like(net.p["grams"])
-        np.add.at(g["grams"], codes, np.repeat(dx[:, WORD_DIM:] / count[:, None], count, axis=0))
+        dx = np.split(np.matmul(dgates, net.p["wx"].transpose(0, 2, 1)).sum(0), [WORD_DIM, WORD_DIM + CHAR_DIM], axis=1)
+        for name, at, grad in (("words", wid, dx[0]), ("grams", codes, np.repeat(dx[1] / count[:, None], count, axis=0)), ("stems", stems, np.repeat(dx[2], runs, axis=0))):
+            g[name] = np.zeros_like(net.p[name])
+            np.add.at(g[name], at, grad)
         opt.step(g)
     return net
 
@@ -225,7 +271,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 360, batch: int = 48, ra
 def score_texts(net: Network, texts: list[str | None], chunk: int = 4096) -> np.ndarray:
     split = [WORDS.findall((t or "").lower()) for t in texts]
     words, doc, ids, size = layout(split)
-    gates = net.project(net.inputs(words)[0]) if words else np.zeros((2, 1, 3 * HIDDEN), np.float32)
+    gates = net.project(net.inputs(net.features(words))) if words else np.zeros((2, 1, 3 * HIDDEN), np.float32)
     best = np.full(len(texts), -np.inf)
     for lo in range(0, len(doc), chunk):
         part = slice(lo, lo + chunk)

@@ -7,15 +7,15 @@ from tallyglass.llm import toxicity as T
 
 
 def test_gradients_agree_with_differences():
-    net = T.Network(["a", "b"])
+    net = T.Network(["a", "b"], ["xyz", "xy"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     words, doc, ids, size = T.layout([["a", "xyz", "b", "a"], ["q"] * 70])
 
     def loss():
-        x, _ = net.inputs(words)
+        x = net.inputs(net.features(words))
         return float((net.forward(net.project(x).astype(np.float64), ids, size) * (1 + np.arange(len(doc)))).sum())
 
-    x, _ = net.inputs(words)
+    x = net.inputs(net.features(words))
     gates = net.project(x)
     _, saved = net.forward(gates, ids, size, keep=True)
     g, dgates = net.backward((1 + np.arange(len(doc))).astype(float), saved, gates.shape[1])
