@@ -85,9 +85,16 @@ class Network:
     def features(self, words: list[str]):
         """Of distinct words: ids, and runs (flat, starts, sizes) of trigram codes and of known stems."""
         ids = np.array([self.vocab.get(w, 0) for w in words], np.int64)
-        found = [[0, *(k for s in stems_of(w) if (k := self.stems.get(s)))] for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        stems = np.fromiter((k for some in found for k in some), np.int64, int(sizes.sum()))
+        known, stems, ends = self.stems.get, [], []
+        for word in words:
+            stems.append(0)
+            for n in range(STEMS.start, min(len(word) + 1, STEMS.stop)):
+                # A stem is at least as frequent as its extensions, so after an unknown one no longer one is known.
+                if (k := known(word[:n])) is None:
+                    break
+                stems.append(k)
+            ends.append(len(stems))
+        stems, sizes = np.array(stems, np.int64), np.diff(np.array([0, *ends], np.int64))
         codes, starts = trigram_rows(words)
         return ids, (codes, starts, np.diff(np.append(starts, len(codes)))), (stems, np.cumsum(sizes) - sizes, sizes)
 
