@@ -1,11 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks: runs of text between block-level tags, each with its root-to-leaf path of block tags. Per
-path, text length and punctuation are added up and divided by the number of blocks; both ratios are smoothed with
-those of the path's parent, so that a heading shares in the article around it, and fused into one score. Paths below a
-share of the best score (a smaller one inside article or main elements) are dropped, and so are paths through an element whose tag, role or class names it as
-furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments). The blocks of the other paths are
-the text, in page order.
+path, text length and punctuation are added up, each block up to `LONG` characters and `MARKS` marks, and divided by
+the number of blocks; both ratios are smoothed with those of the path's parent, so that a heading shares in the article
+around it, and fused into one score. The bounds hold for the score alone: one very long block cannot outweigh normal
+paragraphs, and its text stays whole. Paths below a share of the best score (a smaller one inside article or main
+elements) are dropped, unless they lie in an article or main element that holds a selected path, or hang as lists,
+tables, captions or other flow elements on the element around a selected block. Paths through an element whose tag,
+role or class names it as furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) are dropped
+always. The blocks of the other paths are the text, in page order.
 
 Defined results: null html counts as empty and gives empty text; html without tags is one block; unclosed and stray
 tags are tolerated; rows that repeat an id are extracted each; nothing is capped.
@@ -44,21 +47,28 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 CONTENT_WEIGHT = 4.0
 KEEP_SHARE = 0.2
 KEEP_SHARE_INSIDE = 0.02
+LONG = 400
+MARKS = 8
+FLOW = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption blockquote pre details summary".split())
 
 
 def blocks(html: str):
-    """(path, text, furniture, inside) of every block that has text, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []
+    """The blocks that have text, in page order, and the elements (tag, parent) that they number.
+
+    A block is (path, text, furniture, box, element); box is the outermost article or main element around it, or 0.
+    """
+    stack: list[tuple[str, str, bool, int, int]] = []
     text: list[str] = []
     out = []
+    elements = [("", 0)]
 
     def cut():
         if text:
             block = " ".join(unescape("".join(text)).split())
             text.clear()
             if block:
-                top = stack[-1] if stack else ("", "", False, False)
-                out.append((top[1], block, top[2], top[3]))
+                top = stack[-1] if stack else ("", "", False, 0, 0)
+                out.append((top[1], block, *top[2:]))
 
     at = 0
     for m in TOKEN.finditer(html):
@@ -93,44 +103,57 @@ def blocks(html: str):
             continue
         attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[4])} if m[4] else {}
         words = set(re.split(r"[^a-z0-9]+", (attributes.get("class", "") + " " + attributes.get("id", "")).lower()))
-        _, path, furniture, inside = stack[-1] if stack else ("", "", False, False)
+        _, path, furniture, box, parent = stack[-1] if stack else ("", "", False, 0, 0)
         furniture = (
             furniture
             or tag in FURNITURE_TAGS
-            or (tag == "header" and not inside)
+            or (tag == "header" and not box)
             or attributes.get("role", "").lower() in FURNITURE_ROLES
             or (bool(words & FURNITURE) and tag not in ("html", "body", "article", "main"))
             or attributes.get("aria-hidden") == "true"
             or (m[4] and re.search(r"(?<![\w-])hidden(?![\w=-])|display\s*:\s*none", m[4]) is not None)
         )
-        inside = inside or tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or attributes.get("itemprop") == "articleBody"
+        if not box and (tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or attributes.get("itemprop") == "articleBody"):
+            box = len(elements)
         label = tag + "".join("." + w for w in sorted(words) if w and not w.isdigit())
-        stack.append((tag, f"{path}/{label}", furniture, inside))
+        stack.append((tag, f"{path}/{label}", furniture, box, len(elements)))
+        elements.append((tag, parent))
     if at < len(html):
         text.append(html[at:])
     cut()
-    return out
+    return out, elements
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html or "")
+    found, elements = blocks(html or "")
     length, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
-    for path, text, _, _ in found:
-        chars, points = len(text), len(PUNCTUATION.findall(text))
+    for path, text, _, _, _ in found:
+        chars, points = min(len(text), LONG), min(len(PUNCTUATION.findall(text)), MARKS)
         for key in {(path, True), (path.rpartition("/")[0], False)}:
             length[key] += chars
             marks[key] += points
             count[key] += 1
     scores = {}
-    for path, _, furniture, inside in found:
+    for path, _, furniture, box, _ in found:
         if path in scores or furniture:
             continue
         own, around = (path, True), (path.rpartition("/")[0], False)
         ratio, points = ((f[own] / count[own] + f[around] / count[around]) / 2 for f in (length, marks))
-        scores[path] = ratio * (1 + points) * (CONTENT_WEIGHT if inside else 1)
+        scores[path] = ratio * (1 + points) * (CONTENT_WEIGHT if box else 1)
     best = max(scores.values(), default=0)
     least = {False: KEEP_SHARE * best, True: KEEP_SHARE_INSIDE * best}
-    return " ".join(text for path, text, furniture, inside in found if not furniture and scores[path] >= least[inside])
+    boxes, held = set(), [False] * len(elements)
+    for path, _, furniture, box, element in found:
+        if not furniture and scores[path] >= least[box > 0]:
+            boxes.add(box)
+            tag, parent = elements[element]
+            held[element] = element > 0 and tag not in ("html", "body")
+            if tag in FLOW and elements[parent][0] not in ("", "html", "body"):
+                held[parent] = True
+    boxes.discard(0)
+    for k, (tag, parent) in enumerate(elements):
+        held[k] = held[k] or (tag in FLOW and held[parent])
+    return " ".join(text for path, text, furniture, box, element in found if not furniture and (scores[path] >= least[box > 0] or box in boxes or held[element]))
 
 
 def _extract(batches):

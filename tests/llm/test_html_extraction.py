@@ -33,6 +33,23 @@ def test_other_layouts():
     assert H.main_text(plain) == f"{long.strip()} {long.strip()}"
 
 
+def test_short_items_and_one_long_block():
+    prose = "A paragraph of the report, as they come; it has marks. " * 7
+    rows = "<tr><th>Year</th><th>Sum</th></tr><tr><td>1999</td><td>12</td></tr>"
+    body = f"<h2>Parts</h2><p>{prose}</p><ul><li>first short item</li><li>second</li></ul><table><caption>Sums</caption>{rows}</table><p>{prose}</p><figure><img src=x><figcaption>A view</figcaption></figure>"
+    want = " ".join(["Parts", prose.strip(), "first short item second Sums Year Sum 1999 12", prose.strip(), "A view"])
+    menu = "<div><div><a href=1>Home</a></div><div><a href=2>News</a></div></div>"
+    quote = "Words of a very long block, which goes on. " * 2400
+    short = "A paragraph of two hundred characters, with a few marks, as is usual in a report of this kind. " * 2
+    both = " ".join([*[short.strip()] * 20, quote.strip()])
+    for a, b in (("<article>", "</article>"), ("<main><div class=x>", "</div></main>"), ("<div class=post>", "</div>")):
+        assert H.main_text(f"<body>{menu}{a}{body}{b}</body>") == want
+        assert H.main_text(f"<body>{menu}{a}{body}<blockquote>{quote}</blockquote>{b}</body>") == f"{want} {quote.strip()}"
+        assert H.main_text(f"<body>{menu}{a}{f'<p>{short}</p>' * 20}<blockquote>{quote}</blockquote>{b}</body>") == both
+    apart = f"<body>{menu}<div class=a>{f'<p>{short}</p>' * 20}</div><div class=b><blockquote>{quote}</blockquote></div></body>"
+    assert H.main_text(apart) == both
+
+
 def test_edges(spark):
     assert H.main_text(None) == H.main_text("") == H.main_text("<p></p>") == ""
     assert H.main_text("just text &lt;3") == "just text <3"
