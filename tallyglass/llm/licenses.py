@@ -1,9 +1,14 @@
 """License recognition by sentence rules, with DataFrame functions only.
 
-Texts are cut into sentences, normalised (lower case, runs of letters and digits) and mapped to identifiers of known
-license sentences. The identifiers, in text order, form a sequence; a rule is an ordered list of identifiers and
-matches where the sequence holds them in that order, other known sentences between them allowed. The rule tables are
-a fixed part of the library, so mapping and matching happen in place and nothing is shuffled or broadcast per corpus.
+Texts are normalised (lower case, runs of letters and digits) with their breaks marked: hard ones at the end of a
+sentence or paragraph, soft ones at a bare line end. A known license sentence is found where it stands between two
+breaks of either kind and holds soft ones only: on a line of its own, or wrapped over lines, also behind comment signs.
+A known sentence that makes up the first or last lines of a longer one counts besides it, as it may be a notice.
+Their identifiers, in text order, form a sequence; a rule is an ordered list of identifiers and matches where the
+sequence holds them in that order, other known sentences between them allowed. The rule tables are a fixed part of the
+library, so mapping and matching happen in place and nothing is shuffled or broadcast per corpus.
+
+The SQL cuts at every line end, so it gives the same rows for texts whose known sentences are not wrapped.
 
 Defined results: null text counts as empty and matches nothing; a rule is reported once per row, however often it
 occurs; rows that repeat an id are reported each; very long texts are searched whole.
@@ -74,8 +79,11 @@ RULES = {
     "cc0-waiver": ("CC0-1.0", ["cc0"]),
     "unlicense-text": ("Unlicense", ["unlicense"]),
 }
-#: A sentence ends at a mark followed by white space, or at a line end after which a new sentence or item begins.
+#: Where the SQL cuts: at a mark followed by white space and at every line end.
 BREAK = r"[.!?;:]+[\s\"')\]]+|\n\s*\n|\n"
+#: Where no sentence goes on: a mark followed by white space, or lines without letters and digits.
+HARD_BREAK = r"[.!?;:]+[\s\"')\]]+|\n[^\p{L}\p{N}]*\n"
+HARD, SOFT = "\x01", "\x02"
 
 
 def _numbers() -> dict[str, int]:
@@ -91,12 +99,28 @@ def _rules() -> list[tuple[str, str, int, str]]:
     return [(rule, name, len(ids), r"\|" + _pattern(ids) + r"\|") for rule, (name, ids) in RULES.items()]
 
 
+def _finder() -> str:
+    """A break with a known sentence after it: group 1 is the shortest one, group 2 one that goes on from another."""
+    one_of = lambda known: "|".join(s.replace(" ", f"[ {SOFT}]++") for s in sorted(known, key=len))
+    longer = [s for s in SENTENCES.values() if any(s.startswith(t + " ") for t in SENTENCES.values())]
+    end = f" ?[{HARD}{SOFT}]"
+    return f"[{HARD}{SOFT}] ?(?=({one_of(SENTENCES.values())}){end})(?:(?=({one_of(longer)}){end})|)"
+
+
+def _sentences(text):
+    """The known sentences of a text, normalised, in text order."""
+    plain = F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), HARD + SOFT, "--")
+    marked = F.translate(F.regexp_replace(plain, HARD_BREAK, HARD), "\n", SOFT)
+    stream = F.concat(F.lit(HARD), F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{HARD}{SOFT}]+", " "), F.lit(HARD))
+    first, more = (F.regexp_extract_all(stream, F.lit(_finder()), F.lit(k)) for k in (1, 2))
+    both = F.when(F.size(first) > 0, F.flatten(F.zip_with(first, more, lambda a, b: F.array_distinct(F.array(a, b)))))
+    return F.transform(F.filter(both, lambda s: s != ""), lambda s: F.regexp_replace(s, f"[ {SOFT}]+", " "))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, rule, n_sentences, n_known): the rules that each text matches."""
     known = F.create_map(*[F.lit(x) for name, k in _numbers().items() for x in (SENTENCES[name], k)])
-    norm = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
-    sentences = F.split(F.coalesce(docs[text_col].cast("string"), F.lit("")), BREAK)
-    ids = F.filter(F.transform(sentences, lambda s: F.element_at(known, norm(s))), lambda k: k.isNotNull())
+    ids = F.transform(_sentences(docs[text_col]), lambda s: F.element_at(known, s))
     found = docs.select(docs[id_col].alias("id"), ids.alias("ids")).filter(F.size("ids") > 0)
     found = found.select("id", F.size("ids").alias("n_known"), F.concat(F.lit("|"), F.array_join(F.col("ids").cast("array<string>"), "|"), F.lit("|")).alias("seq"))
     rules = F.array(*[F.struct(F.lit(a).alias("rule"), F.lit(b).alias("license"), F.lit(n).alias("n_sentences"), F.lit(p).alias("pattern")) for a, b, n, p in _rules()])
