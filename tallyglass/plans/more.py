@@ -107,12 +107,21 @@ def j21(spark, sf):
     return j.groupBy("agency").agg(ONE().alias("n"), F.array_join(F.array_sort(F.collect_set("state")), ",").alias("states"))
 
 
+def latest_active(o, e):
+    """The officer with the latest start, then the largest id, among those active on each event date."""
+    days = o.select("officer", "a", F.explode(F.sequence("a", F.date_add("a", 89))).alias("date"))
+    return e.select("date").distinct().join(days, "date").groupBy("date").agg(F.max_by("officer", F.struct("a", "officer")).alias("officer"))
+
+
 @query("j22_latest_active", sql(", o AS (SELECT filing_id AS officer, filed_date AS a, filed_date + 90 AS b FROM filings WHERE filing_id % 40 = 3), e AS (SELECT DISTINCT date FROM civic_events) SELECT date, arg_max(officer, (a, officer)) AS officer FROM e JOIN o ON date >= a AND date < b GROUP BY 1", "filings", "civic_events"))
 def j22(spark, sf):
-    o = B.filings(spark, sf).filter("filing_id % 40 = 3").select(C("filing_id").alias("officer"), C("filed_date").alias("a"))
-    days = o.select("officer", "a", F.explode(F.sequence("a", F.date_add("a", 89))).alias("date"))
-    e = B.civic_events(spark, sf).select("date").distinct()
-    return e.join(days, "date").groupBy("date").agg(F.max_by("officer", F.struct("a", "officer")).alias("officer"))
+    return latest_active(B.filings(spark, sf).filter("filing_id % 40 = 3").select(C("filing_id").alias("officer"), C("filed_date").alias("a")), B.civic_events(spark, sf))
+
+
+@query("j22_latest_active_all", sql(", o AS (SELECT filing_id AS officer, filed_date AS a, filed_date + 90 AS b FROM filings), e AS (SELECT DISTINCT date FROM civic_events) SELECT date, arg_max(officer, (a, officer)) AS officer FROM e JOIN o ON date >= a AND date < b GROUP BY 1", "filings", "civic_events"))
+def j22_all(spark, sf):
+    # Of officers with the same start only the largest id can win, so one row a start date is enough.
+    return latest_active(B.filings(spark, sf).groupBy(C("filed_date").alias("a")).agg(F.max("filing_id").alias("officer")), B.civic_events(spark, sf))
 
 
 @query("a3_counts_by_source", "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents GROUP BY 1, 2")
@@ -218,14 +227,24 @@ def dm2(spark, sf):
     return x.select("person_id", score.alias("score"), why.alias("deductions"))
 
 
-@query("dm3_timeline", sql(", b AS (SELECT person_id, date_trunc('month', trade_date)::DATE AS bucket, count(*) AS n, CAST(count(*) FILTER (action = 'BUY') AS BIGINT) AS buys FROM trades WHERE person_id < 40 GROUP BY 1, 2), r AS (SELECT person_id, min(bucket) AS lo, max(bucket) AS hi FROM b GROUP BY 1), s AS (SELECT person_id, unnest(generate_series(lo, hi, INTERVAL 1 MONTH))::DATE AS bucket FROM r) SELECT person_id, bucket, coalesce(n, 0) AS n, coalesce(buys, 0) AS buys, CASE WHEN n IS NULL THEN 'no_trades' END AS gap FROM s LEFT JOIN b USING (person_id, bucket)", "trades"))
-def dm3(spark, sf):
-    b = B.trades(spark, sf).filter("person_id < 40").groupBy("person_id", F.trunc("trade_date", "month").alias("bucket")).agg(ONE().alias("n"), count_if(C("action") == "BUY").alias("buys"))
+def timeline(trades):
+    """Trades and buys of each person by month, with the months without trades marked as gaps."""
+    b = trades.groupBy("person_id", F.trunc("trade_date", "month").alias("bucket")).agg(ONE().alias("n"), count_if(C("action") == "BUY").alias("buys"))
     r = b.groupBy("person_id").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
     s = r.select("person_id", F.explode(F.expr("sequence(lo, hi, interval 1 month)")).alias("bucket"))
     return s.join(b, ["person_id", "bucket"], "left").select("person_id", "bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("buys", F.lit(0)).alias("buys"), F.when(C("n").isNull(), "no_trades").alias("gap"))
 
 
+@query("dm3_timeline", sql(", b AS (SELECT person_id, date_trunc('month', trade_date)::DATE AS bucket, count(*) AS n, CAST(count(*) FILTER (action = 'BUY') AS BIGINT) AS buys FROM trades WHERE person_id < 40 GROUP BY 1, 2), r AS (SELECT person_id, min(bucket) AS lo, max(bucket) AS hi FROM b GROUP BY 1), s AS (SELECT person_id, unnest(generate_series(lo, hi, INTERVAL 1 MONTH))::DATE AS bucket FROM r) SELECT person_id, bucket, coalesce(n, 0) AS n, coalesce(buys, 0) AS buys, CASE WHEN n IS NULL THEN 'no_trades' END AS gap FROM s LEFT JOIN b USING (person_id, bucket)", "trades"))
+def dm3(spark, sf):
+    return timeline(B.trades(spark, sf).filter("person_id < 40"))
+
+
+@query("dm3_timeline_all", sql(", b AS (SELECT person_id, date_trunc('month', trade_date)::DATE AS bucket, count(*) AS n, CAST(count(*) FILTER (action = 'BUY') AS BIGINT) AS buys FROM trades GROUP BY 1, 2), r AS (SELECT person_id, min(bucket) AS lo, max(bucket) AS hi FROM b GROUP BY 1), s AS (SELECT person_id, unnest(generate_series(lo, hi, INTERVAL 1 MONTH))::DATE AS bucket FROM r) SELECT person_id, bucket, coalesce(n, 0) AS n, coalesce(buys, 0) AS buys, CASE WHEN n IS NULL THEN 'no_trades' END AS gap FROM s LEFT JOIN b USING (person_id, bucket)", "trades"))
+def dm3_all(spark, sf):
+    return timeline(B.trades(spark, sf))
+
+
 @query("dm10_series_diagnostics", sql(", n AS (SELECT symbol, date, cents, lag(date) OVER w AS pd, lag(cents) OVER w AS pc FROM series WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT symbol, count(*) AS points, CAST(count(*) FILTER (date - pd > 7) AS BIGINT) AS gaps, CAST(count(*) FILTER (abs(cents - pc) * 100 >= 35 * pc) AS BIGINT) AS extreme, min(date) AS first_date, max(date) AS last_date FROM n GROUP BY 1", "series"))
 def dm10(spark, sf):
     w = Window.partitionBy("symbol").orderBy("date")
