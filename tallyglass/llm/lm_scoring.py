@@ -6,9 +6,10 @@ to a tail class read off its letters, whose words share the class's probability
 one, with one more share for words never seen. So the model spreads its mass over the same open vocabulary as the
 add-one base, and rare words need nothing but their count.
 
-Training is truncated backpropagation in numpy: a bounded warm-up on the driver, then one pass over a window of every
-training document by as many trainers as the cluster has slots, each starting from the warm-up, and the average of
-their weights by tokens; counts and windows both grow with the input. Scoring reads every whole text in lock-step
+Training is truncated backpropagation in numpy: a bounded warm-up on the driver, then one pass over every training
+document, whole, by as many trainers as the cluster has slots, each starting from the warm-up, and the average of
+their weights by tokens. A trainer reads many texts side by side, a segment of each at a time; the state is carried to
+each text's end, the gradient is cut between segments. Scoring reads every whole text in lock-step
 batches, carrying the state from window to window until each document ends. Counts of words beyond a bounded table of
 frequent ones are joined by word, with equal words of a document merged first.
 
@@ -258,6 +259,33 @@ class Trainer:
             part = slice(lo, lo + SEGMENT)
             h = self._segment(before[:, part], codes[:, part], cls[:, part], mask[:, part], h)
 
+    def stream(self, vocab: Vocabulary, texts) -> None:
+        """One pass over whole texts (token lists): a lane takes the next text when its own has ended."""
+        model, texts = self.model, iter(texts)
+        rate, begin = self.rate, len(model.p["x"]) - 1
+        lanes: list = []
+        h = np.zeros((0, HIDDEN), np.float32)
+        while model.head:
+            while len(lanes) < BATCH and (words := next(texts, None)):
+                codes, tails = vocab.encode(words)
+                sym, cls = model.symbols(codes, tails)
+                lanes.append((0, np.concatenate([[begin], sym]).astype(np.int32), codes, cls))
+            if not lanes:
+                break
+            h = np.concatenate([h, np.zeros((len(lanes) - len(h), HIDDEN), np.float32)])
+            before, codes, cls = (np.zeros((len(lanes), SEGMENT), np.int64) for _ in range(3))
+            mask = np.zeros((len(lanes), SEGMENT), bool)
+            for k, (at, sym, code, kind) in enumerate(lanes):
+                size = min(SEGMENT, len(code) - at)
+                before[k, :size], codes[k, :size], cls[k, :size] = (x[at : at + size] for x in (sym, code, kind))
+                mask[k, :size] = True
+            # The last long texts run beside few others: a step of fewer tokens is a smaller one.
+            self.rate = rate * min(1.0, 2 * int(mask.sum()) / (BATCH * SEGMENT))
+            h = self._segment(before, codes, cls, mask, h)
+            going = [k for k, (at, _, code, _) in enumerate(lanes) if at + SEGMENT < len(code)]
+            lanes, h = [(lanes[k][0] + SEGMENT, *lanes[k][1:]) for k in going], h[going]
+        self.rate = rate
+
     def _segment(self, before, codes, cls, mask, h):
         model, p, k = self.model, self.model.p, HIDDEN
         g = {n: np.zeros_like(x) for n, x in p.items()}
@@ -299,11 +327,12 @@ class Trainer:
 
 
 def window_texts(docs: DataFrame) -> DataFrame:
-    """A window of every text, placed by a hash: (text, first, last) with whether it begins or ends the text."""
+    """A window of each of `id`, `text`, placed by a hash: (id, text, first, last), whether it begins or ends the text."""
+    docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
     size = F.length("text")
     at = F.when(size > WINDOW_CHARS, F.pmod(F.xxhash64("text"), F.greatest(size - WINDOW_CHARS + 1, F.lit(1)))).otherwise(0).cast("int")
-    cut = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("at", at)
-    return cut.select(F.substring("text", F.col("at") + 1, F.lit(WINDOW_CHARS)).alias("text"), (F.col("at") == 0).alias("first"), (F.col("at") + WINDOW_CHARS >= size).alias("last"))
+    cut = docs.withColumn("at", at)
+    return cut.select("id", F.substring("text", F.col("at") + 1, F.lit(WINDOW_CHARS)).alias("text"), (F.col("at") == 0).alias("first"), (F.col("at") + WINDOW_CHARS >= size).alias("last"))
 
 
 def window_tokens(text: str, first: bool, last: bool) -> list[bytes]:
@@ -313,6 +342,11 @@ def window_tokens(text: str, first: bool, last: bool) -> list[bytes]:
     return (words if first else words[1:]) + ([END] if last else [])
 
 
+def warm_rows(train: DataFrame, most: int) -> list:
+    """Windows of the `most` rows whose ids have the smallest hashes, so copies of a text count as often as they occur."""
+    return window_texts(train).orderBy(F.xxhash64("id", F.lit(3)), F.xxhash64("text")).limit(most).collect()
+
+
 def warm_up(vocab: Vocabulary, rows: list, updates: int = 500) -> Model:
     model = Model(vocab)
     trainer, rng = Trainer(model, 0.01), np.random.default_rng(9)
@@ -328,16 +362,8 @@ def _train(shared, chunk: int = 16_384):
         vocab, start = shared.value
         model = Model(vocab)
         model.p = {n: x.copy() for n, x in start.items()}
-        trainer, held = Trainer(model, 0.003), []
-        for batch in batches:
-            for text, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if words := window_tokens(text, first, last):
-                    held.append(words)
-                if len(held) == BATCH:
-                    trainer.windows(vocab, held)
-                    held = []
-        if held:
-            trainer.windows(vocab, held)
+        trainer = Trainer(model, 0.003)
+        trainer.stream(vocab, ([*tokens(t), END] for b in batches for lo in range(0, b.num_rows, 256) for t in b.column(0).slice(lo, 256).to_pylist()))
         if trainer.trained:
             flat = np.concatenate([x.ravel() for x in model.p.values()])
             parts = [flat[k : k + chunk].tobytes() for k in range(0, len(flat), chunk)]
@@ -355,19 +381,15 @@ def _average(frame):
 
 
 def fit(train: DataFrame, warm_windows: int = 3000) -> tuple[Vocabulary, Model, DataFrame]:
-    """The vocabulary's bounded facts, the model, and the counted words (word, tail, n) of a frame with `text`."""
+    """The vocabulary's bounded facts, the model, and the counted words (word, tail, n) of a frame with `id` and `text`."""
     spark = train.sparkSession
     counted = train.select("text").mapInArrow(_counts(), "word binary, tail int, n long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
     counted = staged(counted, "counts")
     vocab = Vocabulary(counted)
-    windows = window_texts(train)
-    docs = max(1, int(vocab.count[vocab.code[END]])) if END in vocab.code else 1
-    share = min(1.0, warm_windows / docs)
-    warm = windows.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * warm_windows).collect()
-    model = warm_up(vocab, sorted(warm, key=lambda r: r.text))
+    model = warm_up(vocab, sorted(warm_rows(train, warm_windows), key=lambda r: r.text))
     slots = 2 * spark.sparkContext.defaultParallelism
     shared = spark.sparkContext.broadcast((vocab, model.p))
-    sums = windows.coalesce(slots).mapInArrow(_train(shared), "part int, weight double, data binary")
+    sums = train.select("text").coalesce(slots).mapInArrow(_train(shared), "part int, weight double, data binary")
     mean = sorted(sums.groupBy("part").applyInPandas(_average, "part int, data binary").collect(), key=lambda r: r.part)
     if mean:
         flat, at = np.concatenate([np.frombuffer(r.data, np.float32) for r in mean]), 0
@@ -447,7 +469,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     held = crc_bucket(F.col("id"), SPLIT) == HELD
-    vocab, model, counted = fit(rows.filter(~held).select("text"))
+    vocab, model, counted = fit(rows.filter(~held))
     shared = spark.sparkContext.broadcast((vocab, model))
     schema = f"row long, id {id_type}, n_tokens long, n_known long, base double, score double, rare {RARE}"
     scored = staged(rows.mapInArrow(_scores(shared), schema), "scored")

@@ -1,8 +1,10 @@
 import zlib
 from collections import Counter
 from math import isclose, log10
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from tallyglass.llm import lm_scoring as L
 
@@ -69,3 +71,22 @@ def test_probabilities_sum_to_one_and_gradients():
         down = m.output(h, np.array([3]), V.word_class[[3]])[0][0]
         m.p[name][at] = old
         assert abs(-(up - down) / 2e-5 - g[name][at]) < 1e-4
+
+
+def test_trains_on_whole_texts(spark):
+    texts = [None, "", *(" ".join(f"w{(k * j) % 97}" for j in range(n)) for k, n in enumerate([1, 23, 24, 25, 3000] + [150] * 200))]
+    counted = spark.createDataFrame([(w, 0, n) for w, n in Counter(w for t in texts for w in [*L.tokens(t), L.END]).items()], "word binary, tail int, n long")
+    vocab = L.Vocabulary(counted)
+    start = L.Model(vocab)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    out = list(L._train(SimpleNamespace(value=(vocab, start.p)))(iter([batch])))
+    assert out[0].column(1)[0].as_py() == sum(len(L.tokens(t)) + 1 for t in texts)
+    flat = np.frombuffer(b"".join(out[0].column(2).to_pylist()), np.float32)
+    assert np.isfinite(flat).all()
+
+
+def test_warm_up_rows_by_id(spark):
+    docs = spark.range(9000).selectExpr("id", "if(id % 3 = 0, 'a copy of one text', concat('text ', id)) as text")
+    rows = L.warm_rows(docs, 300)
+    assert len(rows) == 300 and 60 <= sum(r.text == "a copy of one text" for r in rows) <= 140
+    assert sorted(rows) == sorted(L.warm_rows(docs.repartition(7), 300))
