@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +17,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyglass-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -25,6 +31,17 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tallyglass/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def open_shared(path: str, mode: str):
+    """A stream over a file of the shared folder, from a task."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    if mode == "w":
+        system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        return system.open_output_stream(name, compression=None)
+    return system.open_input_file(name)
+
+
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = frame.sparkSession
@@ -33,6 +50,13 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most `rows` rows, so that a task holds few texts at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def crc_bucket(col: Column, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -1,12 +1,14 @@
 """Exact duplicates by two-pass Bloom filtering.
 
-Pass one counts, for every text hash, a few Bloom cells; cells hit at least twice form the filter of possibly
-repeated hashes. Pass two tests every row against it: rows that fail some cell are certainly unique and go straight
-through, only the others are shuffled and compared by their whole SHA-256.
+Pass one: each task marks the Bloom cells of its rows in bitmaps of its own, cells seen and cells seen twice, cut into
+segments; what travels is a segment's bitmap, or its list of cells where that is shorter, never a row. Merged by
+segment, the cells seen twice form the filter of possibly repeated hashes. Pass two tests every row against it: rows
+that fail some cell are certainly unique and go straight through, only the others are shuffled and compared by their
+whole SHA-256.
 
-The filter is sized from the row count and split into segments of the hash space of at most `max_filter_bits` bits
-each, so what the driver gathers and broadcasts at a time never exceeds that bound. A false positive costs a little
-shuffle, never a wrong result.
+A filter of up to `max_filter_bits` bits is broadcast. A larger one stays in the shared folder, a file a segment; then
+hashes, not texts, are dealt to their segment once (a rebalancing exchange, which splits a hot segment) and tested
+there, and a text finds its group by a join on its hash. A false positive costs a little shuffle, never a wrong result.
 
 Defined results: null text counts as empty (so empty and null texts are one group); texts are equal when identical
 after lower-casing A-Z; of equal texts the largest id stays; a null id stays only if its whole group has none; of
@@ -20,15 +22,15 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, utf8
+from .common import open_shared, slices, stage_path, staged, utf8
 
 CELLS = 3
 BITS_PER_ROW = 16
-BUCKET = 32768
+SEGMENT_BITS = 1 << 23
 
 
 @F.pandas_udf(T.StringType())
@@ -38,72 +40,162 @@ def text_sha256(text: pd.Series) -> pd.Series:
 
 
 def _digests(batches):
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts = batch.column(0), batch.column(1)
         shas = pa.array([hashlib.sha256(utf8(t).lower()).hexdigest() for t in texts.to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays([ids, shas], ["id", "sha"])
 
 
-def _cell(i: int, bits: int):
-    return F.pmod(F.xxhash64("sha", F.lit(i)), F.lit(bits))
+def cells_of(h: np.ndarray, segments: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segment of each 64-bit hash, and its cells (CELLS rows) in that segment."""
+    h = h.view(np.uint64)
+    segment = (h >> np.uint64(40)) % np.uint64(segments)
+    cells = np.empty((CELLS, len(h)), np.uint64)
+    for k in range(CELLS):
+        x = (h ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        cells[k] = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(24)
+    return segment, cells % np.uint64(bits)
+
+
+def _packed(cells: np.ndarray, bits: int) -> bytes:
+    """A list of cells, or a bitmap where that is shorter."""
+    if 4 * len(cells) < bits // 8:
+        return b"l" + cells.astype("<u4").tobytes()
+    marks = np.zeros(bits, bool)
+    marks[cells] = True
+    return b"b" + np.packbits(marks, bitorder="little").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if data[:1] == b"l":
+        return np.frombuffer(data, "<u4", offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1), bitorder="little"))
+
+
+def _bitmaps(segments: int, bits: int, most: int = 2_000_000):
+    def out(held):
+        segment, cells = cells_of(np.concatenate(held), segments, bits)
+        found, count = np.unique((segment[None] * np.uint64(bits) + cells).ravel(), return_counts=True)
+        at = found // np.uint64(bits)
+        numbers, first = np.unique(at, return_index=True)
+        rows = []
+        for n, lo, hi in zip(numbers.tolist(), first, np.append(first[1:], len(found)), strict=True):
+            own = (found[lo:hi] - np.uint64(n * bits)).astype(np.int64)
+            rows.append((n, _packed(own, bits), _packed(own[count[lo:hi] > 1], bits)))
+        n, seen, twice = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(seen, pa.binary()), pa.array(twice, pa.binary())], ["segment", "seen", "twice"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            size += batch.num_rows
+            if size >= most:
+                yield out(held)
+                held, size = [], 0
+        if size:
+            yield out(held)
+
+    return run
+
+
+def _merged(bits: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        seen, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        for some, more in zip(frame.seen, frame.twice, strict=True):
+            cells = _unpacked(some)
+            twice[cells[seen[cells]]] = True
+            twice[_unpacked(more)] = True
+            seen[cells] = True
+        return pd.DataFrame({"segment": frame.segment[:1], "bits": [np.packbits(twice, bitorder="little").tobytes()]})
+
+    return run
+
+
+def _filed(folder: str):
+    def run(batches):
+        for batch in batches:
+            for segment, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with open_shared(f"{folder}/{segment}", "w") as file:
+                    file.write(bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["segment"])
+
+    return run
+
+
+def _tested(folder: str, segments: int, bits: int):
+    """Rows (id, sha, h) with `repeated`, by the filters of their segments, each read once for a run of rows."""
+
+    def run(batches):
+        number, marks = -1, None
+        for batch in batches:
+            segment, cells = cells_of(batch.column(2).to_numpy(), segments, bits)
+            hit = np.zeros(batch.num_rows, bool)
+            for n in np.unique(segment).tolist():
+                if n != number:
+                    with open_shared(f"{folder}/{n}", "r") as file:
+                        number, marks = n, np.frombuffer(file.read(), np.uint8)
+                own = np.flatnonzero(segment == n)
+                c = cells[:, own].astype(np.int64)
+                hit[own] = ((marks[c >> 3] >> (c & 7)) & 1).all(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit)], ["id", "sha", "repeated"])
+
+    return run
 
 
 class RepeatFilter:
-    """Filters of possibly repeated hashes, one per segment of the hash space."""
+    """The filter of possibly repeated hashes of a frame with `id` and `sha`."""
 
     def __init__(self, hashed: DataFrame, rows: int, max_filter_bits: int):
-        need = max(BUCKET, rows * BITS_PER_ROW)
-        self.segments = -(-need // max_filter_bits)
-        share = -(-need // self.segments)
-        self.bits = -(-share // BUCKET) * BUCKET
+        need = max(1 << 15, rows * BITS_PER_ROW)
+        self.bits = min(SEGMENT_BITS, 1 << (need - 1).bit_length(), 1 << (max(8, max_filter_bits).bit_length() - 1))
+        self.segments = -(-need // self.bits)
+        self.small = self.segments * self.bits <= max_filter_bits
         self.hashed = hashed
-
-    def segment(self):
-        return F.pmod(F.xxhash64("sha", F.lit(-1)), F.lit(self.segments))
-
-    def build(self, segment: int):
-        """A broadcast bit array of at most max_filter_bits for one segment."""
-        cells = (
-            self.hashed.filter(self.segment() == segment)
-            .select(F.explode(F.array(*[_cell(i, self.bits) for i in range(CELLS)])).alias("cell"))
-            .groupBy("cell")
-            .count()
-            .filter("count > 1")
-        )
-        maps = (
-            cells.select((F.col("cell") / BUCKET).cast("long").alias("bucket"), (F.col("cell") % BUCKET).alias("bit"))
-            .groupBy("bucket")
-            .agg(F.bitmap_construct_agg("bit").alias("bits"))
-        )
-        packed = np.zeros(self.bits // 8, np.uint8)
-        for row in maps.toLocalIterator():
-            at = row.bucket * (BUCKET // 8)
-            packed[at : at + BUCKET // 8] = np.frombuffer(row.bits, np.uint8)
-        return self.hashed.sparkSession.sparkContext.broadcast(packed)
-
-    def test(self, shared):
-        """A column: true if all of the row's cells are hit twice."""
+        maps = hashed.select(F.xxhash64("sha").alias("h")).mapInArrow(_bitmaps(self.segments, self.bits), "segment int, seen binary, twice binary")
+        filters = maps.groupBy("segment").applyInPandas(_merged(self.bits), "segment int, bits binary")
+        spark = hashed.sparkSession
+        if self.small:
+            packed = np.zeros((self.segments, self.bits // 8), np.uint8)
+            for row in filters.collect():
+                packed[row.segment] = np.frombuffer(row.bits, np.uint8)
+            self.shared = spark.sparkContext.broadcast(packed)
+        else:
+            self.folder = stage_path(spark, "filter")
+            filters.mapInArrow(_filed(self.folder), "segment int").count()
+
+    def test(self, sha: Column) -> Column:
+        """A column: true if all of the row's cells are marked in the broadcast filter."""
+        shared, segments, bits = self.shared, self.segments, self.bits
 
         @F.pandas_udf("boolean")
-        def repeated(*cells: pd.Series) -> pd.Series:
-            bits, hit = shared.value, True
-            for c in cells:
-                c = c.to_numpy()
-                hit = hit & ((bits[c >> 3] >> (c & 7)) & 1).astype(bool)
-            return pd.Series(hit)
-
-        return repeated(*[_cell(i, self.bits) for i in range(CELLS)])
-
-    def split(self, frame: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(certainly unique rows, possibly repeated rows) of a frame with a `sha` column."""
-        unique = repeated = None
-        for s in range(self.segments):
-            part = frame if self.segments == 1 else frame.filter(self.segment() == s)
-            part = part.withColumn("__repeated", self.test(self.build(s)))
-            sure, perhaps = (part.filter(c).drop("__repeated") for c in (~F.col("__repeated"), F.col("__repeated")))
-            unique = sure if unique is None else unique.unionByName(sure)
-            repeated = perhaps if repeated is None else repeated.unionByName(perhaps)
-        return unique, repeated
+        def repeated(h: pd.Series) -> pd.Series:
+            segment, cells = cells_of(h.to_numpy(), segments, bits)
+            cells = cells.astype(np.int64)
+            return pd.Series(((shared.value[segment.astype(np.int64), cells >> 3] >> (cells & 7)) & 1).all(0))
+
+        return repeated(F.xxhash64(sha))
+
+    def split_hashes(self) -> tuple[DataFrame, DataFrame]:
+        """(certainly unique rows, possibly repeated rows) of the filter's own frame."""
+        if self.small:
+            tested = self.hashed.withColumn("repeated", self.test(F.col("sha")))
+        else:
+            of = F.pmod(F.shiftrightunsigned("h", 40), F.lit(self.segments))
+            dealt = self.hashed.select("id", "sha", F.xxhash64("sha").alias("h")).withColumn("segment", of)
+            dealt = dealt.hint("rebalance", F.col("segment")).sortWithinPartitions("segment").select("id", "sha", "h")
+            kind = self.hashed.schema["id"].dataType.simpleString()
+            tested = staged(dealt.mapInArrow(_tested(self.folder, self.segments, self.bits), f"id {kind}, sha string, repeated boolean"), "tested")
+        return tuple(tested.filter(c).drop("repeated") for c in (~F.col("repeated"), F.col("repeated")))
+
+    def split_texts(self, frame: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows outside the groups of `sha` to compare, the others) of a frame of texts with `sha`, read once."""
+        if self.small:
+            tested = frame.withColumn("__repeated", self.test(F.col("sha")))
+        else:
+            tested = frame.join(groups.select("sha", F.lit(True).alias("__repeated")), "sha", "left")
+            tested = tested.withColumn("__repeated", F.coalesce("__repeated", F.lit(False)))
+        return tuple(tested.filter(c).drop("__repeated") for c in (~F.col("__repeated"), F.col("__repeated")))
 
 
 def _groups(repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +211,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(_digests, f"id {id_type}, sha string"),
         "digests",
     )
-    unique, repeated = RepeatFilter(hashed, hashed.count(), max_filter_bits).split(hashed)
+    unique, repeated = RepeatFilter(hashed, hashed.count(), max_filter_bits).split_hashes()
     members, groups = _groups(repeated)
     # Written first: the join then has a shuffle of its own on either side, so a hot group's members can be split.
     groups = staged(groups, "groups")
@@ -145,10 +237,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "digests",
     )
     bloom = RepeatFilter(hashed, hashed.count(), max_filter_bits)
-    with_sha = plain.withColumn("sha", text_sha256(F.col(ptext).cast("string")))
-    unique, perhaps = bloom.split(with_sha)
-    _, repeated = bloom.split(hashed)
-    _, groups = _groups(repeated)
+    groups = staged(_groups(bloom.split_hashes()[1])[1], "groups")
+    unique, perhaps = bloom.split_texts(plain.withColumn("sha", text_sha256(F.col(ptext).cast("string"))), groups)
     stay = groups.select(F.col("sha").alias("g_sha"), "keep_id")
     survivors = perhaps.join(stay, (F.col("sha") == F.col("g_sha")) & F.col(pid).eqNullSafe(F.col("keep_id")), "left_semi")
     survivors = survivors.dropDuplicates(["sha"])

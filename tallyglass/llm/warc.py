@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage_path, staged, utf8
+from .common import open_shared, slices, stage_path, staged, utf8
 from .exact_dedup import RepeatFilter
 
 URN = "urn:tallyglass:record:"
@@ -38,17 +38,6 @@ MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def open_shared(path: str, mode: str):
-    from pyarrow import fs
-
-    path = re.sub(r"^file:/+", "file:///", path)
-    system, name = fs.FileSystem.from_uri(path)
-    if mode == "w":
-        system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-        return system.open_output_stream(name, compression=None)
-    return system.open_input_file(name)
-
-
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -105,7 +94,7 @@ def _write(folder: str, most: int):
 
 
 def _digests(batches):
-    for batch in batches:
+    for batch in slices(batches):
         payloads = [utf8(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(payload_digest, payloads), pa.string()), pa.array(map(len, payloads), pa.int64())], ["id", "sha", "size"])
 
@@ -121,9 +110,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     id_type = plain.schema["id"].dataType.simpleString()
     hashed = staged(plain.select("id", "payload").mapInArrow(_digests, f"id {id_type}, sha string, size long"), "payloads")
     bloom = RepeatFilter(hashed, hashed.count(), max_filter_bits)
-    unique, perhaps = bloom.split(plain.withColumn("sha", _digest("payload")))
-    _, repeated = bloom.split(hashed)
+    repeated = hashed.join(bloom.split_hashes()[1].select("sha").distinct(), "sha", "left_semi")
     first = repeated.filter(F.col("size") >= revisit_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = staged(first, "first")
+    unique, perhaps = bloom.split_texts(plain.withColumn("sha", _digest("payload")), first)
     perhaps = perhaps.join(first, "sha", "left")
     refers = F.when(F.col("id").isNull() | (F.col("id") != F.col("first")), F.col("first"))
     columns = [F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "url", "payload", "sha"]
@@ -276,9 +266,16 @@ def _read(payloads: bool, rows: int = 200):
     return run
 
 
-def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
-    """Records and quarantined gaps of the archives in column `path`, a file to a task at a time."""
-    spread = files.select("path").repartition(F.col("path"))
+def read_archives(files: DataFrame, payloads: bool = True, task_bytes: int = 64 << 20) -> DataFrame:
+    """Records and quarantined gaps of the archives in column `path`.
+
+    Whole archives go to tasks by their number, in as many tasks as their `bytes` ask for (a task each without that
+    column); the number of partitions is given, so that small paths are not gathered into one task.
+    """
+    size = F.sum("bytes") if "bytes" in files.columns else F.lit(0)
+    total = files.agg(size.alias("bytes"), F.count(F.lit(1)).alias("files")).first()
+    tasks = min(total.files, max(files.sparkSession.sparkContext.defaultParallelism, -(-(total.bytes or 0) // task_bytes))) if total.bytes else total.files
+    spread = files.select("path").repartitionByRange(max(1, tasks), "path")
     return spread.mapInArrow(_read(payloads), RECORDS)
 
 
