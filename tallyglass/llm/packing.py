@@ -1,10 +1,11 @@
 """Pattern packing of token sequences by non-negative least squares.
 
-Documents are tokenised and cut into pieces of at most `capacity` tokens. The lengths form a histogram of at most
-`capacity` bars, whatever the corpus size. Patterns of two or three lengths that fill a sequence exactly are
-enumerated; non-negative least squares fits a repeat count to each so that together they use up the histogram; the
-counts are rounded down to what is there, and the residual histogram is packed best-fit-decreasing, by bars rather
-than by documents. The plan is thus a bounded table. Pieces get their rank within their length from per-partition
+Documents are tokenised and cut into pieces of at most `capacity` tokens. The lengths form a histogram, whatever the
+corpus size. Patterns of two to six lengths, in bars of some tokens' width, that fill a sequence are enumerated;
+non-negative least squares fits a repeat count to each so that together they use up the histogram, with at most as many
+patterns in use as there are bars. The counts are rounded, each repetition takes pieces of its bars and, as its last,
+the one that fits best, and the residual pieces are packed best-fit-decreasing, by lengths rather than by documents,
+into what is left free and into new sequences. The plan is thus a bounded table. Pieces get their rank within their length from per-partition
 counts, and look their place up in the plan, so no document list ever gathers anywhere.
 
 Defined results: null text counts as empty and gives one piece holding the end id alone; rows that repeat an id are
@@ -27,6 +28,8 @@ from .common import staged
 
 CAPACITY = 2048
 END_ID = 0
+#: Bars of the histogram that patterns are made of, most pieces of a pattern, and most tokens that a pattern leaves free.
+BARS, MOST_DOCUMENTS, SLACK = 64, 6, 4
 #: The tokenizer's own pre-tokens: fixed by its vocabulary file.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -48,49 +51,61 @@ class WordTokens:
     pre-tokens, and each distinct pre-token goes through the vocabulary's merges once.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.piece_ids = self.tokenizer.model.tokenize
         self.most_words = most_words
-        self._forget()
-
-    def _forget(self):
         self.words: dict[bytes, int] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.at = np.zeros(1 << 18, np.int64)
-        self.size = np.zeros(1 << 18, np.int64)
+        self.ids = np.zeros(1 << 18, np.uint32)
+        self.at, self.size, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
         self.used = 0
 
+    def _forget(self):
+        """Keep the words met most often, a third of the bound; the others are learnt anew when they return."""
+        n = len(self.words)
+        least = max(2, int(np.partition(self.hits[:n], -(self.most_words // 3))[-(self.most_words // 3)]) + 1)
+        keep = np.flatnonzero(self.hits[:n] >= least)
+        size = self.size[keep]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(keep) else 0
+        self.ids[:total] = self.ids[np.arange(total) + np.repeat(self.at[keep] - (ends - size), size)]
+        place = np.full(n, -1, np.int64)
+        place[keep] = np.arange(len(keep))
+        self.words = {w: k for w, k in zip(self.words, place.tolist(), strict=True) if k >= 0}
+        self.at[: len(keep)], self.size[: len(keep)], self.hits[: len(keep)] = ends - size, size, self.hits[keep] // 2
+        self.hits[len(keep) :] = 0
+        self.used = total
+        self.pieces.clear()
+
     def _piece(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            raw = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-            found = self.pieces[piece] = [t.id for t in self.piece_ids(raw)]
+        raw = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        if len(self.pieces) >= self.most_words // 2:
+            self.pieces.clear()
+        found = self.pieces[piece] = [t.id for t in self.piece_ids(raw)]
         return found
 
     def _learn(self, new: list[bytes]) -> None:
+        text = b" ".join(new).decode()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
         flat: list[int] = []
-        cut = np.zeros(len(new) + 1, np.int64)
-        for k, word in enumerate(new):
-            w = word.decode()
-            if not w.isascii():
-                w = unicodedata.normalize("NFC", w)
-            w = w.lower()
+        cut, known, piece_of = np.zeros(len(new) + 1, np.int64), self.pieces.get, self._piece
+        for k, w in enumerate(text.lower().split(" "), 1):
             if w.isalpha():
-                flat += self._piece(w)
+                flat += known(w) or piece_of(w)
             else:
                 for piece in PRETOKEN.findall(w):
-                    flat += self._piece(piece)
-            cut[k + 1] = len(flat)
+                    flat += known(piece) or piece_of(piece)
+            cut[k] = len(flat)
         ids = np.array(flat, np.uint32)
         first = len(self.words)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while first + len(new) > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+            self.at, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.hits))
         self.ids[self.used : self.used + len(ids)] = ids
         self.at[first : first + len(new)] = self.used + cut[:-1]
         self.size[first : first + len(new)] = np.diff(cut)
@@ -111,27 +126,25 @@ class WordTokens:
         known = self.words
         if new := list({w for words in split for w in words if w not in known}):
             self._learn(new)
-        out = []
+        out, met = [], []
         for k, words in enumerate(split):
             if k in odd:
                 out.append(odd[k])
                 continue
             w = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            met.append(w)
             size = self.size[w]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(w) else 0
             out.append(self.ids[np.arange(total) + np.repeat(self.at[w] - (ends - size), size)])
+        if met:
+            self.hits += np.bincount(np.concatenate(met), minlength=len(self.hits))
         return out
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
-def _pieces(path: str, capacity: int, keep_ids: bool, step: int = 512):
+def _pieces(path: str, capacity: int, keep_ids: bool, step: int = 256):
     def run(batches):
-        if path not in _tokens:
-            _tokens[path] = WordTokens(path)
-        tokens = _tokens[path]
+        tokens = WordTokens(path)
         part, rank = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
@@ -156,33 +169,46 @@ def _pieces(path: str, capacity: int, keep_ids: bool, step: int = 512):
     return run
 
 
-def fit_counts(patterns: np.ndarray, bars: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative least squares for the repeat count of each pattern (rows of lengths, zero for none)."""
-    size = len(bars)
+def patterns_of(bars: int, most: int) -> list[tuple[int, ...]]:
+    """The multisets of two to `most` bar numbers that fill a sequence; a piece lies half a bar below its bar's top."""
+    rows: list[tuple[int, ...]] = []
 
-    def used(x):
-        return sum(np.bincount(patterns[:, j], x, size) for j in range(patterns.shape[1]))
+    def grow(head: tuple[int, ...], least: int, left: int, k: int) -> None:
+        if k == 1:
+            if least <= left <= bars:
+                rows.append((*head, left))
+            return
+        for b in range(least, left // k + 1):
+            grow((*head, b), b, left - b, k - 1)
 
-    def back(r):
-        r = r.copy()
-        r[0] = 0
-        return sum(r[patterns[:, j]] for j in range(patterns.shape[1]))
+    for k in range(2, most + 1):
+        grow((), 1, bars + k // 2, k)
+    return rows
 
-    v = np.ones(len(patterns))
-    for _ in range(15):
-        u = used(v)
-        u[0] = 0
-        v = back(u)
-        top = np.linalg.norm(v)
-        v /= top or 1
-    x = y = np.zeros(len(patterns))
-    t = 1.0
+
+def fit_counts(a: np.ndarray, bars: np.ndarray, rounds: int = 1000) -> np.ndarray:
+    """Non-negative least squares by active sets: a repeat count for each pattern, at most as many of them as bars."""
+    x, on = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     for _ in range(rounds):
-        r = bars - used(y)
-        new = np.maximum(0, y + back(r) / (top * 1.05 or 1))
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y = new + (t - 1) / t_new * (new - x)
-        x, t = new, t_new
+        gain = a.T @ (bars - a @ x)
+        gain[on] = -np.inf
+        best = int(np.argmax(gain))
+        if gain[best] <= 1e-9 * max(1.0, float(bars.max())):
+            break
+        on[best] = True
+        while on.any():
+            at = np.flatnonzero(on)
+            free = np.linalg.lstsq(a[:, at], bars, rcond=None)[0]
+            if free.min() > 0:
+                x[:] = 0
+                x[at] = free
+                break
+            # Go towards the free solution until the first count is used up, and leave that pattern out.
+            low = free <= 0
+            step = float(np.min(x[at][low] / (x[at][low] - free[low])))
+            x[at] += step * (free - x[at])
+            gone = at[low & (x[at] <= 1e-12)] if (low & (x[at] <= 1e-12)).any() else at[[int(np.argmin(x[at]))]]
+            x[gone], on[gone] = 0, False
     return x
 
 
@@ -193,30 +219,65 @@ def plan(bars: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     if left[capacity]:
         groups.append((int(left[capacity]), (capacity,)))
         left[capacity] = 0
-    there = np.flatnonzero(left)
-    a, b = np.meshgrid(there, there, indexing="ij")
-    a, b = a[a <= b], b[a <= b]
-    c = capacity - a - b
-    pair = c == 0
-    triple = (c >= b) & (left[np.maximum(c, 0)] > 0)
-    patterns = np.concatenate([np.stack([a[pair], b[pair], 0 * a[pair]], 1), np.stack([a[triple], b[triple], c[triple]], 1)])
-    if len(patterns):
-        x = fit_counts(patterns, left.astype(float))
-        for k in np.argsort(-x, kind="stable"):
-            if x[k] < 0.5:
-                break
-            lengths, need = np.unique(patterns[k][patterns[k] > 0], return_counts=True)
-            n = int(min(round(x[k]), (left[lengths] // need).min()))
-            if n > 0:
-                left[lengths] -= n * need
-                groups.append((n, tuple(int(v) for v in patterns[k] if v)))
-    return groups + _best_fit(left, capacity)
-
-
-def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Best-fit-decreasing over bars: many equal pieces go into many equal bins at once."""
+    if not left.any():
+        return groups
+    width = -(-capacity // BARS)
+    wide = np.bincount(-(-np.arange(capacity + 1) // width), left, BARS + 1)[1:]
+    mean = float((left * np.arange(capacity + 1)).sum() / left.sum())
+    # Half of the short pieces stay out of the fit: they fill what the patterns leave free.
+    wide[: BARS // 8] *= 0.5
+    patterns = patterns_of(BARS, int(np.clip(np.ceil(2 * capacity / mean), 2, MOST_DOCUMENTS)))
+    a = np.zeros((BARS, len(patterns)))
+    for k, pattern in enumerate(patterns):
+        for b in pattern:
+            a[b - 1, k] += 1
+    x = fit_counts(a, wide)
+    for k in np.argsort(-x, kind="stable"):
+        if x[k] < 0.5:
+            break
+        groups += _repeat(left, patterns[k], int(np.rint(x[k])), width, capacity)
+    return _best_fit(left, capacity, groups)
+
+
+def _repeat(left: np.ndarray, pattern: tuple[int, ...], times: int, width: int, capacity: int):
+    """Up to `times` sequences of a pattern, many equal ones at once; what they use is taken from `left`.
+
+    All pieces but the shortest come from their bars, the most frequent length first; the last is the longest that
+    fits, at most SLACK tokens short of a full sequence.
+    """
+    groups = []
+    while times:
+        lengths: list[int] = []
+        for place, b in enumerate(reversed(pattern)):
+            last = place + 1 == len(pattern)
+            room = capacity - sum(lengths)
+            low, high = (max(1, room - SLACK), room) if last else ((b - 1) * width + 1, min(b * width, capacity))
+            if high < low:
+                return groups
+            some = left[low : high + 1].copy()
+            for n in lengths:
+                if low <= n <= high:
+                    some[n - low] -= 1
+            there = np.flatnonzero(some > 0)
+            if not len(there):
+                return groups
+            lengths.append(low + int(there[-1] if last else np.argmax(some)))
+        used, each = np.unique(lengths, return_counts=True)
+        n = int(min(times, (left[used] // each).min()))
+        left[used] -= n * each
+        times -= n
+        groups.append((n, tuple(lengths)))
+    return groups
+
+
+def _best_fit(left: np.ndarray, capacity: int, groups=()) -> list[tuple[int, tuple[int, ...]]]:
+    """Best-fit-decreasing over lengths, into the groups' free room first: many equal pieces go into many equal bins."""
     free: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
     room = np.zeros(capacity + 1, bool)
+    for group in groups:
+        rest = capacity - sum(group[1])
+        free.setdefault(rest, []).append(group)
+        room[rest] = True
     for length in range(capacity, 0, -1):
         n = int(left[length])
         while n:

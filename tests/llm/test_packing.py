@@ -64,3 +64,27 @@ def test_plan_uses_each_piece_once():
         assert (back == bars).all()
         if n > 1000:
             assert sum(c for c, _ in groups) <= -(-int((bars * np.arange(513)).sum()) // 512) * 1.005 + 1
+
+
+def test_most_short_pieces_come_from_patterns(spark, monkeypatch):
+    for sf in ("sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        lengths = docs.select("doc_id", "text").mapInArrow(P._pieces(PATH, 2048, False), "id long, piece int, start long, length long, ids_crc32 long, part int, local long")
+        bars = np.zeros(2049, np.int64)
+        for r in lengths.groupBy("length").count().collect():
+            bars[r.length] = r["count"]
+        real, left = P._best_fit, []
+        monkeypatch.setattr(P, "_best_fit", lambda rest, *a: left.append(rest.sum()) or real(rest, *a))
+        groups = P.plan(bars, 2048)
+        monkeypatch.undo()
+        assert left[0] <= 0.5 * bars[:2048].sum(), (sf, left, bars.sum())
+        assert sum(c for c, _ in groups) <= -(-int((bars * np.arange(2049)).sum()) // 2048) * 1.001 + 1
+
+
+def test_forgetting_keeps_the_ids(spark):
+    texts = [" ".join(f"w{(k * j) % 997}x{j % 7}," for j in range(300)) for k in range(40)] + ["É é, don't 12"]
+    t, few = Tokenizer.from_file(PATH), P.WordTokens(PATH, most_words=500)
+    for _ in range(2):
+        for k in range(0, len(texts), 3):
+            for text, ids in zip(texts[k : k + 3], few.encode(texts[k : k + 3]), strict=True):
+                assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
