@@ -6,8 +6,9 @@ forms are recognised by their letters. In training, words and stems are left out
 in each, a GRU runs in both directions and attention pools the states into one logit. The text's score is that of its
 highest window, and training follows the same rule: a document's loss goes to its highest window.
 
-Fitting uses at most `most_per_class` labelled rows of each class (a documented bound); scoring covers every window
-of every whole text, in place, without a shuffle.
+Fitting uses at most `most_per_class` labelled rows of each class (a documented bound), whole texts of any length, of
+which a step draws at most `most_windows` windows; scoring covers every window of every whole text, in place, without a
+shuffle.
 
 Defined results: null text counts as empty; a text without words has one window without states, whose score is the
 model's bias; rows that repeat an id are scored each; without training rows of both classes every score is the share.
@@ -223,10 +224,10 @@ def noisy(features, rng, share: float):
     return np.where(rng.random(len(ids)) < share, 0, ids), grams, (np.where(rng.random(len(stems)) < share, 0, stems), at, sizes)
 
 
-def train(texts: list[str], y: np.ndarray, steps: int = 360, batch: int = 48, rate: float = 0.006, most_words: int = 1200, left_out: float = 0.3, seed: int = 3) -> Network:
-    """Fit on texts of up to most_words words (longer ones are left to scoring)."""
+def train(texts: list[str], y: np.ndarray, steps: int = 360, batch: int = 48, rate: float = 0.006, most_windows: int = 25, left_out: float = 0.3, seed: int = 3) -> Network:
+    """Fit on texts of any length; a step draws at most most_windows windows of a text, others the next time."""
     split = [WORDS.findall((t or "").lower()) for t in texts]
-    use = [k for k, w in enumerate(split) if 0 < len(w) <= most_words]
+    use = [k for k, w in enumerate(split) if w]
     split, y = [split[k] for k in use], np.asarray(y)[use]
     counts = Counter(w for words in split for w in set(words))
     begun = Counter(s for words in split for s in {s for w in set(words) for s in stems_of(w)})
@@ -248,8 +249,9 @@ def train(texts: list[str], y: np.ndarray, steps: int = 360, batch: int = 48, ra
     for step in range(steps):
         opt.rate = rate * min(1.0, 3 * (1 - step / steps) + 0.05)
         some = [*rng.choice(pos, batch // 3), *rng.choice(neg, batch - batch // 3)]
-        rows = np.concatenate([np.arange(first[k], first[k + 1]) for k in some])
-        doc = np.repeat(np.arange(batch), [first[k + 1] - first[k] for k in some])
+        parts = [np.arange(first[k], first[k + 1]) for k in some]
+        parts = [p if len(p) <= most_windows else rng.choice(p, most_windows, replace=False) for p in parts]
+        rows, doc = np.concatenate(parts), np.repeat(np.arange(batch), [len(p) for p in parts])
         if step >= steps // 6:
             part, ids = used(rows)
             logit = net.forward(net.project(net.inputs(noisy(part, rng, left_out))), ids, sizes[rows])
@@ -275,7 +277,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 360, batch: int = 48, ra
     return net
 
 
-def score_texts(net: Network, texts: list[str | None], chunk: int = 4096) -> np.ndarray:
+def score_texts(net: Network, texts: list[str | None], chunk: int = 1024) -> np.ndarray:
     split = [WORDS.findall((t or "").lower()) for t in texts]
     words, doc, ids, size = layout(split)
     gates = net.project(net.inputs(net.features(words))) if words else np.zeros((2, 1, 3 * HIDDEN), np.float32)
@@ -296,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_per_class
     return train([r.text for r in rows], y)
 
 
-def _scores(shared, step: int = 512):
+def _scores(shared, step: int = 256):
     def run(batches):
         net = shared.value
         for batch in batches:
@@ -330,7 +332,7 @@ def drop_toxic(docs: DataFrame, model, threshold: float = 0.7, text_col: str = "
         net, texts = shared.value, text.tolist()
         if isinstance(net, float):
             return pd.Series(np.full(len(texts), net))
-        return pd.Series(np.concatenate([score_texts(net, texts[k : k + 512]) for k in range(0, len(texts), 512)] or [np.zeros(0)]))
+        return pd.Series(np.concatenate([score_texts(net, texts[k : k + 256]) for k in range(0, len(texts), 256)] or [np.zeros(0)]))
 
     return docs.filter(toxicity(docs[text_col].cast("string")) < threshold)
 
