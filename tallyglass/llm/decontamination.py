@@ -1,18 +1,21 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, with DataFrame functions only.
 
-Items are partitioned by their number of distinct word shingles. An item of n shingles is contained to at least
-`threshold` only if no more than floor((1 - threshold) n) of its shingles are missing, so of its bottom-k MinHash
-sketch with k = floor((1 - threshold) n) + 1 at least one value occurs in the document: the sketch size follows from
-the size partition and the search misses nothing. Document shingles are hashed in place and probed against the
-sketches; each candidate is then verified by the exact containment of the item's shingle texts, in the same row, so
-document texts are never shuffled and a passage that many documents share makes no pairs among them.
+Items are partitioned by their number of distinct word shingles, a class for each power of two. An item of n shingles is
+contained to at least `threshold` only if no more than floor((1 - threshold) n) of its shingles are missing, so of its
+bottom-k MinHash sketch with k = floor((1 - threshold) n) + 1 at least one value occurs in the document. The largest
+value of a class's sketches bounds what a document has to show for that class: its own min-wise sketch for the class
+are the hashes of its shingles up to that bound (about a fifth of them for large items, all for the smallest), found
+without a miss, unlike a sketch of fixed size, however long the document. Documents are probed class by class; each
+candidate is then verified by the exact containment of the item's shingle texts, in the same row, so document texts are
+never shuffled and a passage that many documents share makes no pairs among them.
 
 The sketches are broadcast while the benchmark has at most `broadcast_items` items (it is counted first); beyond
 that they are joined by hash.
 
 Defined results: null text counts as empty; words are runs of letters and digits, lower-cased; an item of fewer than
 `width` words is one shingle of its own length, searched at that length; an item without words never matches; items
-that repeat an id are told apart by their text and reported under the id; documents that repeat an id are united.
+that repeat an id are told apart by their text and reported under the id; `leaks` unites documents that repeat an id,
+`drop_contaminated` judges each row by its own text, so rows with a repeated or null id never take others along.
 """
 
 from __future__ import annotations
@@ -68,21 +71,28 @@ def sketches(items: DataFrame, id_col: str, text_col: str, width: int, threshold
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, broadcast_items: int = 20_000) -> DataFrame:
     """(id, item_id, n_shingles, n_found, containment) for every item contained to at least the threshold."""
     index = staged(sketches(items, item_id_col, item_text_col, width, threshold), "sketches")
-    facts = index.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths"), F.max(F.size("shingles")).alias("longest")).first()
+    facts = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("shingles")).alias("longest")).first()
     small = facts.n <= broadcast_items and facts.n * (facts.longest or 0) <= 64 * broadcast_items
-    probe = index.select(F.explode_outer("sketch").alias("hash"), F.col("width").alias("of_width"), "key")
-    source = docs.select(docs[id_col].alias("id"), words(docs[text_col]).alias("ws"))
+    bounds = index.groupBy("width", "size_class").agg(F.max(F.array_max("sketch")).alias("most")).collect()
+    probe = index.select("width", "size_class", "key", F.explode("sketch").alias("hash"))
+    probe = probe.select(F.col("width").alias("of_width"), _probe(F.col("hash"), F.col("size_class")).alias("probe"), "key")
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("ws", words(F.col("text")))
     found = None
-    for w in sorted(facts.widths) or [width]:
+    for w in sorted({b.width for b in bounds}) or [width]:
         wanted = probe.filter(F.col("of_width") == w).drop("of_width")
-        # The hashes are a column of their own and explode is the outer one: it then runs inside generated code, copies
-        # no text, and gets no inferred size filter that would split the text anew for every shingle.
-        hashed = source.select("id", "ws", _hashes(F.col("ws"), w).alias("hashes"))
+        # The hashes are a column of their own, so explodes run inside generated code and copy no text.
+        hashed = source.select("id", "text", "ws", _hashes(F.col("ws"), w).alias("hashes"))
+        own = sorted((b.size_class, b.most) for b in bounds if b.width == w)
+        by_class = [F.struct(F.lit(c).alias("size_class"), F.filter("hashes", lambda h, most=most: h <= most).alias("sketch")) for c, most in own] or [F.struct(F.lit(0).alias("size_class"), F.col("hashes").alias("sketch"))]
+        sketched = hashed.select("id", "text", "ws", F.explode(F.array(*by_class)).alias("s")).select("id", "text", "ws", "s.size_class", F.col("s.sketch").alias("sketch"))
+        probes = sketched.select("id", "text", "ws", "size_class", F.explode("sketch").alias("hash")).withColumn("probe", _probe(F.col("hash"), F.col("size_class")))
         if small:
-            hits = hashed.select("id", "ws", F.explode_outer("hashes").alias("hash")).join(F.broadcast(wanted), "hash").drop("hash")
+            hits = probes.join(F.broadcast(wanted), "probe").select("id", "ws", "key")
         else:
-            hits = hashed.select("id", F.explode_outer("hashes").alias("hash")).join(wanted, "hash").select("id", "key").distinct()
-            hits = source.select(F.col("id").alias("own"), "ws").join(hits, F.col("own").eqNullSafe(F.col("id"))).drop("own")
+            # Documents are told apart by id and text here, so that each meets its own candidates only.
+            mark = F.sha2(F.coalesce("text", F.lit("")), 256)
+            hits = probes.select(F.struct("id", mark.alias("mark")).alias("doc"), "probe").join(wanted, "probe").select("doc", "key").distinct()
+            hits = source.select(F.struct("id", mark.alias("mark")).alias("doc"), "id", "ws").dropDuplicates(["doc"]).join(hits, "doc")
         entries = index.select("key", "item_id", "width", "shingles")
         pairs = hits.join(F.broadcast(entries) if small else entries, "key")
         shared = F.size(F.array_intersect("shingles", _texts(F.col("ws"), F.col("width"))))
@@ -93,13 +103,21 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_id_col), "m.n_shingles", "m.n_found", "m.containment")
 
 
+def _probe(value: Column, size_class: Column) -> Column:
+    """One long for a hash within a size class."""
+    return F.xxhash64(size_class, value)
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     pid, ptext = (f"c{names.index(c)}" for c in (id_col, text_col))
-    gone = leaks(plain.select(F.col(pid).alias("id"), F.col(ptext).alias("text")), items, "id", "text", **options).select(F.col("id").alias("gone")).distinct()
-    return plain.join(gone, F.col(pid).eqNullSafe(F.col("gone")), "left_anti").toDF(*names)
+    own = F.struct(F.col(pid).alias("id"), F.sha2(F.coalesce(F.col(ptext).cast("string"), F.lit("")), 256).alias("mark"))
+    gone = leaks(plain.select(own.alias("id"), F.col(ptext).alias("text")), items, "id", "text", **options)
+    gone = gone.select(F.col("id.id").alias("gone_id"), F.col("id.mark").alias("gone_mark")).distinct()
+    kept = plain.withColumn("mark", own["mark"]).join(gone, (F.col("mark") == F.col("gone_mark")) & F.col(pid).eqNullSafe(F.col("gone_id")), "left_anti")
+    return kept.drop("mark").toDF(*names)
 
 
 ORACLE = r"""
