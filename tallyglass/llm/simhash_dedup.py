@@ -8,8 +8,17 @@ than `node_rows` fingerprints is first opened by further bits, and its child pai
 own. Each walk returns a spanning star of the links found, not the links themselves, so groups of copies never turn
 into pairs; components are then joined by alternating large-star and small-star rounds over those edges.
 
+`drop_near_duplicates` removes texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Three
+bits of 64 reach only such pairs as are nearly equal, so the whole-text fingerprint, linked by the trie, is one of
+several candidate tables; each of the others holds the SimHash of three shingles picked by a min-wise hash, and two
+texts meet there with probability about similarity cubed. In each group of candidates the members are compared exactly
+with the group's first row, what fails with the next rows, and so on until nobody is left to compare, so a group of
+copies costs one comparison a row and no pairs.
+
 Defined results: null text counts as empty; texts without words have fingerprint zero and link like any other; rows
-that repeat an id get the same component; null ids are never a component's name unless the component has no other.
+that repeat an id each have their own text's component; null ids are never a component's name unless the component has
+no other. `drop_near_duplicates` keeps exactly one row of each component, that of the smallest id (a null id only where
+there is no other; of rows that repeat id and text one), so ids that repeat, or are null, never take other rows along.
 """
 
 from __future__ import annotations
@@ -18,15 +27,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, utf8
+from .common import slices, staged, utf8
 
 SEED = 42
 BUDGET = 3
 BLOCKS = 4
 BLOCK_BITS = 16
+WIDTH, SIMILARITY = 5, 0.8
+TABLES, PICKED = 8, 3
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
@@ -56,7 +67,7 @@ def fingerprint(hashes: list[int]) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches):
         values = [fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["id", "fp"])
 
@@ -207,23 +218,35 @@ def _rotl(col, by: int):
     return col if by == 0 else F.shiftleft(col, by).bitwiseOR(F.shiftrightunsigned(col, 64 - by))
 
 
-def link_edges(fps: DataFrame, node_rows: int = 20_000, split_bits: int = 10) -> DataFrame:
-    """Edges (a, b) that span every component of distinct fingerprints `fp` linked within the budget."""
+def _masks(bits: int) -> list[int]:
+    return [m for m in range(1 << bits) if m.bit_count() <= BUDGET]
+
+
+def link_edges(fps: DataFrame, node_rows: int = 20_000, most_bits: int = 16) -> DataFrame:
+    """Edges (a, b) that span every component of distinct fingerprints `fp` linked within the budget.
+
+    A node of up to node_rows fingerprints is one task's work; a larger one is opened by as many further bits as bring
+    its children to a quarter of that on average (most_bits at most), so a row is copied for the pairs of its own node's
+    size: 15 times at four bits, 176 at ten.
+    """
     turned = fps.select(F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _rotl(F.col("fp"), b * BLOCK_BITS).alias("key")) for b in range(BLOCKS)])).alias("t")).select("t.*")
     turned = staged(turned.withColumn("node", F.shiftrightunsigned("key", 64 - BLOCK_BITS)), "trie")
-    large = turned.groupBy("block", "node").count().filter(F.col("count") > node_rows).select("block", "node", F.lit(1).alias("large"))
+    bits = F.least(F.ceil(F.log2(F.col("count") / node_rows)).cast("int") + 2, F.lit(most_bits))
+    large = staged(turned.groupBy("block", "node").count().filter(F.col("count") > node_rows).select("block", "node", bits.alias("bits")), "large")
     placed = turned.join(large, ["block", "node"], "left")
-    whole = placed.filter("large is null").select("block", "key", F.lit(BLOCK_BITS).alias("depth"), F.lit(False).alias("pair"), F.xxhash64("block", "node").alias("group"))
-    masks = [m for m in range(1 << split_bits) if m.bit_count() <= BUDGET]
-    sub = F.shiftrightunsigned("key", 64 - BLOCK_BITS - split_bits).bitwiseAND(F.lit((1 << split_bits) - 1))
-    opened = (
-        placed.filter("large is not null")
-        .withColumn("sub", sub)
-        .withColumn("other", F.explode(F.lit(masks).cast("array<bigint>")))
-        .withColumn("other", F.col("sub").bitwiseXOR(F.col("other")))
-        .select("block", "key", F.lit(BLOCK_BITS + split_bits).alias("depth"), (F.col("sub") != F.col("other")).alias("pair"), F.xxhash64("block", "node", F.least("sub", "other"), F.greatest("sub", "other")).alias("group"))
-    )
-    dealt = whole.unionByName(opened).repartition("group").sortWithinPartitions("group", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
+    whole = placed.filter("bits is null").select("block", "key", F.lit(BLOCK_BITS).alias("depth"), F.lit(False).alias("pair"), F.xxhash64("block", "node").alias("group"))
+    dealt = whole
+    for n in sorted(r.bits for r in large.select("bits").distinct().collect()):
+        sub = F.shiftrightunsigned("key", 64 - BLOCK_BITS - n).bitwiseAND(F.lit((1 << n) - 1))
+        opened = (
+            placed.filter(F.col("bits") == n)
+            .withColumn("sub", sub)
+            .withColumn("other", F.explode(F.lit(_masks(n)).cast("array<bigint>")))
+            .withColumn("other", F.col("sub").bitwiseXOR(F.col("other")))
+            .select("block", "key", F.lit(BLOCK_BITS + n).alias("depth"), (F.col("sub") != F.col("other")).alias("pair"), F.xxhash64("block", "node", F.least("sub", "other"), F.greatest("sub", "other")).alias("group"))
+        )
+        dealt = dealt.unionByName(opened)
+    dealt = dealt.repartition("group").sortWithinPartitions("group", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
     return dealt.select("group", "block", "key", "depth", "pair").mapInArrow(_edges, "a long, b long")
 
 
@@ -238,13 +261,15 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
+            return staged(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")), "roots")
         seen = state
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written first: a hub's edges are then a shuffle of their own, which can be split.
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         star = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         star = star.filter("hi <> lo").distinct()
-        least = star.groupBy("hi").agg(F.min("lo").alias("m"))
+        star = staged(star, "star")
+        least = staged(star.groupBy("hi").agg(F.min("lo").alias("m")), "least")
         small = star.join(least, "hi")
         small = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(small.select("hi", "m"))
         edges = staged(small.filter("hi <> lo").distinct(), "edges")
@@ -259,20 +284,121 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     fps = staged(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct")
     roots = connected(link_edges(fps.select("fp")))
-    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = named.join(least, "root").select("fp", "component_id")
+    named = staged(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "named")
+    least = staged(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    of_fp = staged(named.join(least, "root").select("fp", "component_id"), "components")
     return prints.join(of_fp, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay (the smallest id of each component), with all their columns."""
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the `width`-word shingles; of fewer words, the whole sequence; of none, zero."""
+    words = utf8(text).lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    if not len(h):
+        return np.zeros(1, np.uint64)
+    width = min(width, len(h))
+    n = len(h) - width + 1
+    mixed = np.full(n, width, np.uint64)
+    for k in range(width):
+        mixed = (mixed ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def picked_prints(shingles: np.ndarray) -> np.ndarray:
+    """TABLES fingerprints, each the SimHash of the PICKED shingles that its own min-wise hash puts first."""
+    order = (shingles[None] ^ (np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    order ^= order >> np.uint64(31)
+    order *= np.uint64(0x9E3779B97F4A7C15)
+    n = min(PICKED, len(shingles))
+    first = np.argpartition(order, n - 1, axis=1)[:, :n]
+    votes = np.unpackbits(shingles[first].view(np.uint8).reshape(TABLES, n, 8), axis=2, bitorder="little").sum(1)
+    return np.packbits(2 * votes > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _sets(batches):
+    for batch in slices(batches):
+        sets = [shingle_set(t) for t in batch.column(3).to_pylist()]
+        prints = [np.append(np.uint64(fingerprint(x.tolist())), picked_prints(x)) for x in sets]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        lists = lambda x, at: pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(x).view(np.int64)))
+        wide = np.arange(0, (TABLES + 1) * len(sets) + 1, TABLES + 1, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends)), lists(sets, ends), lists(prints, wide)], ["row", "id", "digest", "n", "shingles", "prints"])
+
+
+def candidate_groups(texts: DataFrame) -> DataFrame:
+    """(group, row, n) of the groups of two rows or more of `texts` (row, n, prints) that share a table's entry."""
+    prints = texts.select("row", "n", F.posexplode("prints").alias("table", "fp"))
+    roots = connected(link_edges(texts.select(F.col("prints")[0].alias("fp")).distinct()))
+    whole = prints.filter("table = 0").join(roots, prints.fp == roots.node, "left").select("row", "n", F.xxhash64(F.lit(0), F.coalesce("root", "fp")).alias("group"))
+    members = staged(whole.unionByName(prints.filter("table > 0").select("row", "n", F.xxhash64("table", "fp").alias("group"))), "members")
+    several = staged(members.groupBy("group").count().filter("count > 1").select("group"), "several")
+    return members.join(several, "group")
+
+
+def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float, later: int = 8) -> DataFrame:
+    """Rows of a group linked (a, b) to one of its heads, at a Jaccard similarity of `threshold` or more.
+
+    Every row is compared with its group's head, the smallest row. While some row of a group has no link to a head, the
+    `later` smallest of these become heads too and are compared with the whole group.
+    """
+    links, left = None, staged(groups.withColumn("linked", F.lit(False)), "groups")
+    sets = staged(sets.join(left.select("row").distinct(), "row", "left_semi"), "wanted")
+    while True:
+        loose = left.filter(~F.col("linked"))
+        if links is None:
+            heads = loose.groupBy("group").agg(F.min("row").alias("head"))
+        else:
+            place = F.row_number().over(Window.partitionBy("group").orderBy("row"))
+            heads = loose.select("group", F.col("row").alias("head"), place.alias("place")).filter(F.col("place") <= later).drop("place")
+        heads = staged(heads, "heads")
+        asked = left.join(heads, "group").join(sets.select(F.col("row").alias("head"), F.col("n").alias("head_n")), "head").filter("head <> row")
+        asked = staged(asked.filter(F.least("n", "head_n") >= F.lit(threshold) * F.greatest("n", "head_n") - 1e-9).select("group", "row", "head"), "asked")
+        pairs = asked.select("row", "head").distinct()
+        if links is not None:
+            pairs = pairs.join(links.select(F.col("a").alias("row"), F.col("b").alias("head")), ["row", "head"], "left_anti")
+        both = pairs.join(sets.select("row", F.col("shingles").alias("x")), "row").join(sets.select(F.col("row").alias("head"), F.col("shingles").alias("y")), "head")
+        common = F.size(F.array_intersect("x", "y"))
+        found = staged(both.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select(F.col("row").alias("a"), F.col("head").alias("b")), "links")
+        links = found if links is None else staged(links.unionByName(found), "links")
+        hit = asked.join(links, (asked.row == links.a) & (asked["head"] == links.b), "left_semi").select("group", "row").distinct().withColumn("hit", F.lit(True))
+        rest = left.join(heads.select("group", F.col("head").alias("row")), ["group", "row"], "left_anti").join(hit, ["group", "row"], "left")
+        rest = staged(rest.select("group", "row", "n", (F.col("linked") | F.coalesce("hit", F.lit(False))).alias("linked")), "rest")
+        open_groups = rest.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("linked")).alias("loose")).filter("rows > 1 and loose > 0").select("group")
+        left = staged(rest.join(staged(open_groups, "open"), "group"), "left")
+        if left.isEmpty():
+            return links
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near copies (that of the smallest id), with all its columns."""
+    if width != WIDTH:
+        raise ValueError(f"shingles have {WIDTH} words")
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     pid, ptext = (f"c{names.index(c)}" for c in (id_col, text_col))
-    marked = near_duplicates(plain.select(pid, ptext), pid, ptext)
-    gone = marked.filter(~F.col(pid).eqNullSafe(F.col("component_id"))).select(F.col(pid).alias("gone"))
-    return plain.join(gone, F.col(pid).eqNullSafe(F.col("gone")), "left_anti").toDF(*names)
+    text = F.coalesce(F.col(ptext).cast("string"), F.lit(""))
+    plain = plain.withColumn("digest", F.unhex(F.sha2(text.cast("binary"), 256)))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = plain.select(F.monotonically_increasing_id().alias("row"), F.col(pid).alias("id"), "digest", text.alias("text"))
+    sets = staged(rows.mapInArrow(_sets, f"row long, id {id_type}, digest binary, n int, shingles array<long>, prints array<long>"), "sets")
+    # Rows of one text are one node, named by its first row.
+    texts = staged(sets.groupBy("digest").agg(F.min("row").alias("row")), "texts")
+    firsts = staged(sets.select("row", "n", "prints").join(texts.select("row"), "row", "left_semi"), "firsts")
+    links = similar_pairs(candidate_groups(firsts), sets.select("row", "n", "shingles"), threshold)
+    roots = connected(links)
+    named = texts.join(roots, texts.row == roots.node, "left").select("digest", F.coalesce("root", "row").alias("root"))
+    marked = staged(sets.select("row", "id", "digest").join(staged(named, "named"), "digest"), "marked")
+    stays = staged(marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("m")).select(F.col("m.row").alias("row")), "stays")
+    # What becomes of the rows of an (id, text): all go, or one stays where several have both; of others all stay.
+    fate = marked.join(stays.withColumn("stay", F.lit(1)), "row", "left").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.count("stay").alias("stay"))
+    fate = staged(fate.filter("rows > stay").select(F.col("id").alias("f_id"), F.col("digest").alias("f_digest"), "stay"), "fate")
+    same = F.col(pid).eqNullSafe(F.col("f_id")) & (F.col("digest") == F.col("f_digest"))
+    out = plain.join(fate, same, "left_anti")
+    again = fate.filter("stay > 0")
+    if not again.isEmpty():
+        out = out.unionByName(plain.join(again, same, "left_semi").dropDuplicates([pid, "digest"]))
+    return out.drop("digest").toDF(*names)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import corpus_pipeline as P
 from tallyglass.llm import toxicity
 
 from .test_packing import check as check_packing
-from .test_simhash_dedup import brute, brute_fp
+from .test_simhash_dedup import near_kept
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,8 +44,7 @@ def test_stages(spark, tmp_path):
                 last[hashlib.sha256((r.text or "").encode().lower()).digest()] = i
             assert kept == set(last.values())
         elif name == "simhash_near_dedup":
-            roots = brute([(i, brute_fp(r.text)) for i, r in sorted(rows.items())])
-            assert kept == {i for i in rows if roots[i] == i}
+            assert kept == {i for i, _ in near_kept([(i, r.text) for i, r in sorted(rows.items())])}
         else:
             for i, r in rows.items():
                 s = shingles(r.text)
@@ -54,12 +53,42 @@ def test_stages(spark, tmp_path):
 
 
 def test_stages_take_odd_rows(spark, monkeypatch):
-    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b", None, "s", 3), (3, "a b", None, "s", 3), (None, "x y z", "en", None, 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    """Exactly these rows stay after each stage, of nulls, empty texts, ties, repeated rows and repeated ids."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (3, "other words, same id"), (None, "x y z"), (None, "unlike it"), (None, None)]
+    rows += [(4, near), (4, near.replace("w30", "z")), (None, near.replace("w10", "z")), (5, item), (None, item), (5, "clean, as 5 goes"), (6, "vile " * 9)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], kind)
     monkeypatch.setattr(toxicity, "fit", lambda *a, **k: 0.1)
-    for frame in (odd, odd.limit(0)):
-        docs = frame
-        for name, stage in P.STAGES:
-            docs = stage(spark, docs, SF)
-            if name != P.STAGES[-1][0]:
-                assert docs.columns == odd.columns
-        assert docs.count() >= (frame is odd)
+    monkeypatch.setattr(toxicity, "score_texts", None)
+    gone = {
+        "toxicity": [],
+        "exact_dedup": [(1, None), (3, "a b"), (None, None)],
+        "simhash_near_dedup": [(4, near.replace("w30", "z")), (None, near.replace("w10", "z"))],
+        "benchmark_decontamination": [(5, item)],
+    }
+    want = list(rows)
+    want.remove((None, item))  # of equal texts the largest id stays, a null id only alone
+    docs = odd
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == odd.columns
+        for row in gone[name]:
+            want.remove(row)
+        got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        if name == "toxicity":
+            assert got == sorted(rows, key=str)
+        elif name == "simhash_near_dedup":
+            # Of the two near copies under one id either may stay.
+            plain = lambda x: sorted(((i, (t or "").replace(" z ", " w30 ")) for i, t in x), key=str)
+            assert plain(got) == plain(want)
+        elif name == "exact_dedup":
+            assert got == sorted(want, key=str)
+    pieces = P.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in pieces if r.piece == 0) == sorted(str(i) for i, _ in want)
+    empty = odd.limit(0)
+    for name, stage in P.STAGES:
+        empty = stage(spark, empty, SF)
+        assert name == P.STAGES[-1][0] or empty.columns == odd.columns
+    assert empty.count() == 0

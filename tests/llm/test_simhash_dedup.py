@@ -49,8 +49,8 @@ def test_trie_and_components(spark):
     fps = sorted({f & (2**64 - 1) for f in fps})
     frame = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
     want = brute(list(enumerate(fps)))
-    for node_rows in (20_000, 3):
-        roots = {r.node: r.root for r in S.connected(S.link_edges(frame, node_rows=node_rows, split_bits=6)).collect()}
+    for node_rows, most_bits in ((20_000, 16), (3, 6), (3, 12)):
+        roots = {r.node: r.root for r in S.connected(S.link_edges(frame, node_rows=node_rows, most_bits=most_bits)).collect()}
         name = {i: roots.get(int(np.uint64(f).view(np.int64)), int(np.uint64(f).view(np.int64))) for i, f in enumerate(fps)}
         first = {}
         assert all(first.setdefault(want[i], name[i]) == name[i] for i in want)
@@ -66,5 +66,67 @@ def test_edges(spark):
     assert {c for (i, f), c in comp.items() if f == "0" * 16} == {3}
     assert {c for (i, f), c in comp.items() if i in (1, 2)} == {1}
     left = S.drop_near_duplicates(docs)
-    assert left.columns == docs.columns and {1, 3} <= {r.doc_id for r in left.collect()} and not {2, 4} & {r.doc_id for r in left.collect()}
+    assert left.columns == docs.columns
+    kept = sorted((str(r.doc_id), r.text[:9] if r.text else r.text) for r in left.collect())
+    assert kept == sorted([("1", "a b c d e"), ("3", None), ("5", "one"), ("7", "w w w w w"), ("None", "zz yy xx")])
     assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+def jaccard_sets(text):
+    w = (text or "").encode().lower().split()
+    n = min(5, len(w))
+    return {b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if w else {b""}
+
+
+def near_components(rows, threshold=0.8):
+    """Rows linked by exact 5-word Jaccard, by brute force over an index of all shingles: root of each position."""
+    sets = [jaccard_sets(t) for _, t in rows]
+    where = {}
+    for k, x in enumerate(sets):
+        for g in x:
+            where.setdefault(g, []).append(k)
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, x in enumerate(sets):
+        for j in {j for g in x for j in where[g] if j < k}:
+            both = len(x & sets[j])
+            if both >= threshold * (len(x) + len(sets[j]) - both) - 1e-9:
+                a, b = find(j), find(k)
+                root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(rows))]
+
+
+def near_kept(rows):
+    """The (id, text) rows that stay: of each component the smallest id, nulls last."""
+    groups = {}
+    for k, r in enumerate(near_components(rows)):
+        groups.setdefault(r, []).append(rows[k])
+    return sorted((min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in groups.values()), key=str)
+
+
+def test_near_copies_by_jaccard(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = " ".join(word() for _ in range(60))
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.choice([40, 90, 200]))]
+        rows.append((len(rows), " ".join(base)))
+        for edits in (1, 1, 2, 4):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((rng.choice([len(rows), 7, None]), " ".join(copy)))
+    rows += [(1000 + k, " ".join(word() for _ in range(80)) + " " + shared) for k in range(40)]
+    rows += [(5, "one two"), (5, "ONE two"), (5, "one three"), (None, None), (None, ""), (3, " \t"), (None, rows[0][1])]
+    docs = spark.createDataFrame([(a, b, "x", 1) for a, b in rows], "doc_id long, text string, row string, digest int")
+    got = sorted(((r.doc_id, r.text) for r in S.drop_near_duplicates(docs).collect()), key=str)
+    want = near_kept(rows)
+    norm = lambda x: sorted(str((a, sorted(jaccard_sets(t)))) for a, t in x)
+    assert norm(got) == norm(want)
+    assert S.drop_near_duplicates(docs.limit(0)).count() == 0
