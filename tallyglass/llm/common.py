@@ -50,6 +50,13 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def few_rows(spark: SparkSession, most: int = 1000) -> None:
+    """At most `most` rows in a batch between Spark and Python: texts may be long. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Record batches of at most `rows` rows, so that a task holds few texts at a time."""
     for batch in batches:

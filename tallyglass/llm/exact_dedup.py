@@ -18,37 +18,41 @@ rows that repeat both id and text exactly one is kept; other columns, whatever t
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import open_shared, slices, stage_path, staged, utf8
+from .common import few_rows, open_shared, slices, stage_path, staged, utf8
 
 CELLS = 3
 BITS_PER_ROW = 16
 SEGMENT_BITS = 1 << 23
 
 
-@F.pandas_udf(T.StringType())
-def text_sha256(text: pd.Series) -> pd.Series:
+def text_sha256(text: str | None) -> str:
     """SHA-256, lowercase hex, of the text with A-Z lower-cased."""
-    return text.map(lambda t: hashlib.sha256(utf8(t).lower()).hexdigest(), na_action=None)
+    return hashlib.sha256(utf8(text).lower()).hexdigest()
 
 
 def _digests(batches):
     for batch in slices(batches):
         ids, texts = batch.column(0), batch.column(1)
-        shas = pa.array([hashlib.sha256(utf8(t).lower()).hexdigest() for t in texts.to_pylist()], pa.string())
+        shas = pa.array(map(text_sha256, texts.to_pylist()), pa.string())
         yield pa.RecordBatch.from_arrays([ids, shas], ["id", "sha"])
 
 
+def hashes_of(shas) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, shas), np.uint64)
+
+
 def cells_of(h: np.ndarray, segments: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The segment of each 64-bit hash, and its cells (CELLS rows) in that segment."""
-    h = h.view(np.uint64)
     segment = (h >> np.uint64(40)) % np.uint64(segments)
     cells = np.empty((CELLS, len(h)), np.uint64)
     for k in range(CELLS):
@@ -88,7 +92,7 @@ def _bitmaps(segments: int, bits: int, most: int = 2_000_000):
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            held.append(batch.column(0).to_numpy())
+            held.append(hashes_of(batch.column(0).to_pylist()))
             size += batch.num_rows
             if size >= most:
                 yield out(held)
@@ -124,12 +128,12 @@ def _filed(folder: str):
 
 
 def _tested(folder: str, segments: int, bits: int):
-    """Rows (id, sha, h) with `repeated`, by the filters of their segments, each read once for a run of rows."""
+    """Rows (id, sha) with `repeated`, by the filters of their segments, each read once for a run of rows."""
 
     def run(batches):
         number, marks = -1, None
         for batch in batches:
-            segment, cells = cells_of(batch.column(2).to_numpy(), segments, bits)
+            segment, cells = cells_of(hashes_of(batch.column(1).to_pylist()), segments, bits)
             hit = np.zeros(batch.num_rows, bool)
             for n in np.unique(segment).tolist():
                 if n != number:
@@ -152,7 +156,7 @@ class RepeatFilter:
         self.segments = -(-need // self.bits)
         self.small = self.segments * self.bits <= max_filter_bits
         self.hashed = hashed
-        maps = hashed.select(F.xxhash64("sha").alias("h")).mapInArrow(_bitmaps(self.segments, self.bits), "segment int, seen binary, twice binary")
+        maps = hashed.select("sha").mapInArrow(_bitmaps(self.segments, self.bits), "segment int, seen binary, twice binary")
         filters = maps.groupBy("segment").applyInPandas(_merged(self.bits), "segment int, bits binary")
         spark = hashed.sparkSession
         if self.small:
@@ -164,38 +168,39 @@ class RepeatFilter:
             self.folder = stage_path(spark, "filter")
             filters.mapInArrow(_filed(self.folder), "segment int").count()
 
-    def test(self, sha: Column) -> Column:
-        """A column: true if all of the row's cells are marked in the broadcast filter."""
+    def test(self, text: Column, digest: Callable[[str | None], str]) -> Column:
+        """A struct (sha, repeated) of a text: repeated if all of its cells are marked in the broadcast filter."""
         shared, segments, bits = self.shared, self.segments, self.bits
 
-        @F.pandas_udf("boolean")
-        def repeated(h: pd.Series) -> pd.Series:
-            segment, cells = cells_of(h.to_numpy(), segments, bits)
+        @F.pandas_udf("sha string, repeated boolean")
+        def tested(texts: pd.Series) -> pd.DataFrame:
+            shas = [digest(t) for t in texts]
+            segment, cells = cells_of(hashes_of(shas), segments, bits)
             cells = cells.astype(np.int64)
-            return pd.Series(((shared.value[segment.astype(np.int64), cells >> 3] >> (cells & 7)) & 1).all(0))
+            return pd.DataFrame({"sha": shas, "repeated": ((shared.value[segment.astype(np.int64), cells >> 3] >> (cells & 7)) & 1).all(0)})
 
-        return repeated(F.xxhash64(sha))
+        return tested(text)
 
     def split_hashes(self) -> tuple[DataFrame, DataFrame]:
         """(certainly unique rows, possibly repeated rows) of the filter's own frame."""
         if self.small:
-            tested = self.hashed.withColumn("repeated", self.test(F.col("sha")))
+            tested = self.hashed.withColumn("t", self.test(F.col("sha"), str)).select(*self.hashed.columns, "t.repeated")
         else:
-            of = F.pmod(F.shiftrightunsigned("h", 40), F.lit(self.segments))
-            dealt = self.hashed.select("id", "sha", F.xxhash64("sha").alias("h")).withColumn("segment", of)
-            dealt = dealt.hint("rebalance", F.col("segment")).sortWithinPartitions("segment").select("id", "sha", "h")
+            of = F.pmod(F.xxhash64("sha"), F.lit(self.segments))
+            dealt = self.hashed.select("id", "sha", of.alias("segment")).hint("rebalance", F.col("segment")).sortWithinPartitions("segment")
             kind = self.hashed.schema["id"].dataType.simpleString()
-            tested = staged(dealt.mapInArrow(_tested(self.folder, self.segments, self.bits), f"id {kind}, sha string, repeated boolean"), "tested")
+            tested = staged(dealt.select("id", "sha").mapInArrow(_tested(self.folder, self.segments, self.bits), f"id {kind}, sha string, repeated boolean"), "tested")
         return tuple(tested.filter(c).drop("repeated") for c in (~F.col("repeated"), F.col("repeated")))
 
-    def split_texts(self, frame: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(rows outside the groups of `sha` to compare, the others) of a frame of texts with `sha`, read once."""
+    def split_texts(self, frame: DataFrame, text: str, digest: Callable[[str | None], str], groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows outside the groups of `sha` to compare, the others), with their `sha`, of a frame of texts."""
         if self.small:
-            tested = frame.withColumn("__repeated", self.test(F.col("sha")))
+            tested = frame.withColumn("t", self.test(F.col(text), digest)).select(*frame.columns, "t.sha", "t.repeated")
         else:
-            tested = frame.join(groups.select("sha", F.lit(True).alias("__repeated")), "sha", "left")
-            tested = tested.withColumn("__repeated", F.coalesce("__repeated", F.lit(False)))
-        return tuple(tested.filter(c).drop("__repeated") for c in (~F.col("__repeated"), F.col("__repeated")))
+            sha = F.pandas_udf(lambda texts: texts.map(digest, na_action=None), T.StringType())
+            tested = frame.withColumn("sha", sha(text)).join(groups.select("sha", F.lit(True).alias("repeated")), "sha", "left")
+            tested = tested.withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+        return tuple(tested.filter(c).drop("repeated") for c in (~F.col("repeated"), F.col("repeated")))
 
 
 def _groups(repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,6 +211,7 @@ def _groups(repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = 1 << 28) -> DataFrame:
     """One row per input row: the id, keep_id, group_size, kept and text_sha256."""
+    few_rows(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     hashed = staged(
         docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(_digests, f"id {id_type}, sha string"),
@@ -231,6 +237,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     pid, ptext = (f"c{names.index(c)}" for c in (id_col, text_col))
+    few_rows(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     hashed = staged(
         plain.select(F.col(pid).alias("id"), F.col(ptext).cast("string").alias("text")).mapInArrow(_digests, f"id {id_type}, sha string"),
@@ -238,11 +245,11 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     bloom = RepeatFilter(hashed, hashed.count(), max_filter_bits)
     groups = staged(_groups(bloom.split_hashes()[1])[1], "groups")
-    unique, perhaps = bloom.split_texts(plain.withColumn("sha", text_sha256(F.col(ptext).cast("string"))), groups)
+    unique, perhaps = bloom.split_texts(plain.withColumn("text", F.col(ptext).cast("string")), "text", text_sha256, groups)
     stay = groups.select(F.col("sha").alias("g_sha"), "keep_id")
     survivors = perhaps.join(stay, (F.col("sha") == F.col("g_sha")) & F.col(pid).eqNullSafe(F.col("keep_id")), "left_semi")
     survivors = survivors.dropDuplicates(["sha"])
-    return unique.unionByName(survivors).drop("sha").toDF(*names)
+    return unique.unionByName(survivors).drop("sha", "text").toDF(*names)
 
 
 ORACLE = """

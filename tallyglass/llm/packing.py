@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import few_rows, staged
 
 CAPACITY = 2048
 END_ID = 0
@@ -330,6 +330,7 @@ def _place(shared):
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
     """One row per piece: the id, piece, start, length, ids_crc32, the token ids (if kept), sequence_id and offset."""
+    few_rows(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long, part int, local long" + ", ids array<int>" * keep_ids
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))

@@ -10,10 +10,11 @@ into pairs; components are then joined by alternating large-star and small-star
 
 `drop_near_duplicates` removes texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Three
 bits of 64 reach only such pairs as are nearly equal, so the whole-text fingerprint, linked by the trie, is one of
-several candidate tables; each of the others holds the SimHash of three shingles picked by a min-wise hash, and two
-texts meet there with probability about similarity cubed. In each group of candidates the members are compared exactly
-with the group's first row, what fails with the next rows, and so on until nobody is left to compare, so a group of
-copies costs one comparison a row and no pairs.
+several candidate tables; each of the others holds the SimHash of PICKED shingles chosen by a min-wise hash, and two
+texts meet there with probability about similarity to that power, in one of TABLES tables at least nearly always. In
+each group of candidates the rows are compared exactly with a few heads, first those that share most tables with most
+rows, then, as long as some row is linked to none, further ones; so a group of copies costs some comparisons a row and
+no pairs.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and link like any other; rows
 that repeat an id each have their own text's component; null ids are never a component's name unless the component has
@@ -30,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, staged, utf8
+from .common import few_rows, slices, staged, utf8
 
 SEED = 42
 BUDGET = 3
 BLOCKS = 4
 BLOCK_BITS = 16
 WIDTH, SIMILARITY = 5, 0.8
-TABLES, PICKED = 8, 3
+TABLES, PICKED = 14, 5
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
@@ -277,6 +278,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, fingerprint (16 hex digits) and component_id."""
+    few_rows(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     prints = staged(
         docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(_fingerprints, f"id {id_type}, fp long"),
@@ -327,45 +329,50 @@ def _sets(batches):
 
 
 def candidate_groups(texts: DataFrame) -> DataFrame:
-    """(group, row, n) of the groups of two rows or more of `texts` (row, n, prints) that share a table's entry."""
+    """(group, row, n, rank) of the groups of two rows or more of `texts` (row, n, prints) that share a table's entry.
+
+    rank is the number of rows that the row meets in all its groups.
+    """
     prints = texts.select("row", "n", F.posexplode("prints").alias("table", "fp"))
     roots = connected(link_edges(texts.select(F.col("prints")[0].alias("fp")).distinct()))
     whole = prints.filter("table = 0").join(roots, prints.fp == roots.node, "left").select("row", "n", F.xxhash64(F.lit(0), F.coalesce("root", "fp")).alias("group"))
     members = staged(whole.unionByName(prints.filter("table > 0").select("row", "n", F.xxhash64("table", "fp").alias("group"))), "members")
-    several = staged(members.groupBy("group").count().filter("count > 1").select("group"), "several")
-    return members.join(several, "group")
+    several = staged(members.groupBy("group").count().filter("count > 1"), "several")
+    members = staged(members.join(several, "group"), "members")
+    rank = staged(members.groupBy("row").agg(F.sum("count").alias("rank")), "ranks")
+    return members.select("group", "row", "n").join(rank, "row")
 
 
-def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float, later: int = 8) -> DataFrame:
+def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float, heads: int = 4) -> DataFrame:
     """Rows of a group linked (a, b) to one of its heads, at a Jaccard similarity of `threshold` or more.
 
-    Every row is compared with its group's head, the smallest row. While some row of a group has no link to a head, the
-    `later` smallest of these become heads too and are compared with the whole group.
+    A round takes the `heads` rows of the largest rank as heads, and as many of those not yet linked to any head, and
+    compares each with all rows of its group outside its component. A group is done when every row is a head or hangs
+    together with one.
     """
-    links, left = None, staged(groups.withColumn("linked", F.lit(False)), "groups")
+    left = staged(groups.withColumn("root", F.col("row")), "groups")
     sets = staged(sets.join(left.select("row").distinct(), "row", "left_semi"), "wanted")
+    loose, links, used = left, None, None
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.col("rank").desc(), "row"))
     while True:
-        loose = left.filter(~F.col("linked"))
-        if links is None:
-            heads = loose.groupBy("group").agg(F.min("row").alias("head"))
-        else:
-            place = F.row_number().over(Window.partitionBy("group").orderBy("row"))
-            heads = loose.select("group", F.col("row").alias("head"), place.alias("place")).filter(F.col("place") <= later).drop("place")
-        heads = staged(heads, "heads")
-        asked = left.join(heads, "group").join(sets.select(F.col("row").alias("head"), F.col("n").alias("head_n")), "head").filter("head <> row")
-        asked = staged(asked.filter(F.least("n", "head_n") >= F.lit(threshold) * F.greatest("n", "head_n") - 1e-9).select("group", "row", "head"), "asked")
-        pairs = asked.select("row", "head").distinct()
-        if links is not None:
-            pairs = pairs.join(links.select(F.col("a").alias("row"), F.col("b").alias("head")), ["row", "head"], "left_anti")
-        both = pairs.join(sets.select("row", F.col("shingles").alias("x")), "row").join(sets.select(F.col("row").alias("head"), F.col("shingles").alias("y")), "head")
+        first = lambda rows: rows.select("group", "row", "root", place.alias("place")).filter(F.col("place") <= heads).drop("place")
+        new = staged(first(left) if links is None else first(left).unionByName(first(loose)).distinct(), "heads")
+        used = new.select("group", "row") if used is None else staged(used.unionByName(new.select("group", "row")), "used")
+        asked = left.select("group", "row", "n", "root").join(new.select("group", F.col("row").alias("head"), F.col("root").alias("head_root")), "group").filter("root <> head_root")
+        asked = asked.join(sets.select(F.col("row").alias("head"), F.col("n").alias("head_n")), "head")
+        close = asked.filter(F.least("n", "head_n") >= F.lit(threshold) * F.greatest("n", "head_n") - 1e-9)
+        pairs = staged(close.select(F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")).distinct(), "pairs")
+        both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        found = staged(both.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select(F.col("row").alias("a"), F.col("head").alias("b")), "links")
-        links = found if links is None else staged(links.unionByName(found), "links")
-        hit = asked.join(links, (asked.row == links.a) & (asked["head"] == links.b), "left_semi").select("group", "row").distinct().withColumn("hit", F.lit(True))
-        rest = left.join(heads.select("group", F.col("head").alias("row")), ["group", "row"], "left_anti").join(hit, ["group", "row"], "left")
-        rest = staged(rest.select("group", "row", "n", (F.col("linked") | F.coalesce("hit", F.lit(False))).alias("linked")), "rest")
-        open_groups = rest.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("linked")).alias("loose")).filter("rows > 1 and loose > 0").select("group")
-        left = staged(rest.join(staged(open_groups, "open"), "group"), "left")
+        found = both.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+        links = staged(found if links is None else links.unionByName(found), "links")
+        roots = connected(links).withColumnsRenamed({"node": "row", "root": "new_root"})
+        # Rows with their components; heads need no further comparison as rows.
+        rest = left.drop("root").join(used, ["group", "row"], "left_anti").join(roots, "row", "left")
+        rest = staged(rest.select("group", "row", "n", "rank", F.coalesce("new_root", "row").alias("root")), "rest")
+        held = used.join(roots, "row", "left").select("group", F.coalesce("new_root", "row").alias("root")).distinct()
+        loose = staged(rest.join(staged(held, "held"), ["group", "root"], "left_anti"), "loose")
+        left = staged(rest.join(staged(loose.select("group").distinct(), "open"), "group"), "left")
         if left.isEmpty():
             return links
 
@@ -374,6 +381,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each group of near copies (that of the smallest id), with all its columns."""
     if width != WIDTH:
         raise ValueError(f"shingles have {WIDTH} words")
+    few_rows(docs.sparkSession)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     pid, ptext = (f"c{names.index(c)}" for c in (id_col, text_col))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import few_rows, slices
 from .sampling import held_out, labelled_sample
 
 WORDS = re.compile(r"\w+")
@@ -313,6 +314,7 @@ def _scores(shared, step: int = 256):
 
 def score_toxicity(docs: DataFrame, model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, held_out, score and predicted."""
+    few_rows(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     out = rows.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), f"id {id_type}, score double")
@@ -321,20 +323,20 @@ def score_toxicity(docs: DataFrame, model, threshold: float = 0.7, id_col: str =
 
 def drop_toxic(docs: DataFrame, model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows scored below the threshold, with all their columns."""
-    from pyspark.sql import types as T
-
+    few_rows(docs.sparkSession)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = plain.withColumn("text", F.col(f"c{names.index(text_col)}").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def toxicity(text):
-        import pandas as pd
-
-        net, texts = shared.value, text.tolist()
-        if isinstance(net, float):
-            return pd.Series(np.full(len(texts), net))
-        return pd.Series(np.concatenate([score_texts(net, texts[k : k + 256]) for k in range(0, len(texts), 256)] or [np.zeros(0)]))
+    def kept(batches):
+        net = shared.value
+        for batch in slices(batches):
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            score = np.full(len(texts), net) if isinstance(net, float) else score_texts(net, texts)
+            yield batch.filter(pa.array(score < threshold))
 
-    return docs.filter(toxicity(docs[text_col].cast("string")) < threshold)
+    return plain.mapInArrow(kept, plain.schema).drop("text").toDF(*names)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,13 +22,11 @@ import uuid
 import zlib
 from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import open_shared, slices, stage_path, staged, utf8
+from .common import few_rows, open_shared, slices, stage_path, staged, utf8
 from .exact_dedup import RepeatFilter
 
 URN = "urn:tallyglass:record:"
@@ -99,13 +97,13 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(payload_digest, payloads), pa.string()), pa.array(map(len, payloads), pa.int64())], ["id", "sha", "size"])
 
 
-@F.pandas_udf(T.StringType())
-def _digest(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: payload_digest(utf8(t)), na_action=None)
+def _digest(text: str | None) -> str:
+    return payload_digest(utf8(text))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 0, archive_bytes: int = 32 << 20, max_filter_bits: int = 1 << 28) -> DataFrame:
     """Write the archives; return their manifest (path, bytes, records). Payloads under revisit_bytes never revisit."""
+    few_rows(pages.sparkSession)
     plain = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), pages[payload_col].cast("string").alias("payload"))
     id_type = plain.schema["id"].dataType.simpleString()
     hashed = staged(plain.select("id", "payload").mapInArrow(_digests, f"id {id_type}, sha string, size long"), "payloads")
@@ -113,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     repeated = hashed.join(bloom.split_hashes()[1].select("sha").distinct(), "sha", "left_semi")
     first = repeated.filter(F.col("size") >= revisit_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     first = staged(first, "first")
-    unique, perhaps = bloom.split_texts(plain.withColumn("sha", _digest("payload")), first)
+    unique, perhaps = bloom.split_texts(plain, "payload", _digest, first)
     perhaps = perhaps.join(first, "sha", "left")
     refers = F.when(F.col("id").isNull() | (F.col("id") != F.col("first")), F.col("first"))
     columns = [F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "url", "payload", "sha"]
