@@ -13,8 +13,8 @@ bits of 64 reach only such pairs as are nearly equal, so the whole-text fingerpr
 several candidate tables; each of the others holds the SimHash of PICKED shingles chosen by a min-wise hash, and two
 texts meet there with probability about similarity to that power, in one of TABLES tables at least nearly always. In
 each group of candidates the rows are compared exactly with a few heads, first those that share most tables with most
-rows, then, as long as some row is linked to none, further ones; so a group of copies costs some comparisons a row and
-no pairs.
+rows, then, as long as some row is linked to none, further ones; so a group of copies costs some comparisons a row, not
+its pairs.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and link like any other; rows
 that repeat an id each have their own text's component; null ids are never a component's name unless the component has
@@ -343,36 +343,38 @@ def candidate_groups(texts: DataFrame) -> DataFrame:
     return members.select("group", "row", "n").join(rank, "row")
 
 
-def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float, heads: int = 4) -> DataFrame:
+def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Rows of a group linked (a, b) to one of its heads, at a Jaccard similarity of `threshold` or more.
 
-    A round takes the `heads` rows of the largest rank as heads, and as many of those not yet linked to any head, and
-    compares each with all rows of its group outside its component. A group is done when every row is a head or hangs
-    together with one.
+    First every row is compared with the row of the largest rank in its group, then, in groups where some row has no
+    link yet, with the next two and with two of those rows. What is still without a link is compared among itself, with
+    four heads a round, then eight, and so on, until each row is linked to a head or is one. So no two rows that stay
+    are similar, and groups of up to five rows are linked in full; of a larger one a chain may stay in two parts, where
+    only rows that were linked to other heads join them.
     """
-    left = staged(groups.withColumn("root", F.col("row")), "groups")
+    left = staged(groups.withColumn("loose", F.lit(True)), "groups")
     sets = staged(sets.join(left.select("row").distinct(), "row", "left_semi"), "wanted")
-    loose, links, used = left, None, None
-    place = F.row_number().over(Window.partitionBy("group").orderBy(F.col("rank").desc(), "row"))
+    links, number, most = None, 0, 1
     while True:
-        first = lambda rows: rows.select("group", "row", "root", place.alias("place")).filter(F.col("place") <= heads).drop("place")
-        new = staged(first(left) if links is None else first(left).unionByName(first(loose)).distinct(), "heads")
-        used = new.select("group", "row") if used is None else staged(used.unionByName(new.select("group", "row")), "used")
-        asked = left.select("group", "row", "n", "root").join(new.select("group", F.col("row").alias("head"), F.col("root").alias("head_root")), "group").filter("root <> head_root")
-        asked = asked.join(sets.select(F.col("row").alias("head"), F.col("n").alias("head_n")), "head")
-        close = asked.filter(F.least("n", "head_n") >= F.lit(threshold) * F.greatest("n", "head_n") - 1e-9)
-        pairs = staged(close.select(F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")).distinct(), "pairs")
+        place = F.row_number().over(Window.partitionBy("group", "loose").orderBy(F.col("rank").desc(), "row"))
+        heads = left.select("group", "loose", "row", "n", place.alias("place")).filter(F.col("place") <= most)
+        heads = staged(heads.select("group", F.col("row").alias("head"), F.col("n").alias("head_n")), "heads")
+        asked = left.select("group", "row", "n").join(heads, "group").filter("row <> head")
+        asked = staged(asked.filter(F.least("n", "head_n") >= F.lit(threshold) * F.greatest("n", "head_n") - 1e-9).select("group", "row", "head"), "asked")
+        pairs = asked.select(F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")).distinct()
         both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        found = both.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
-        links = staged(found if links is None else links.unionByName(found), "links")
-        roots = connected(links).withColumnsRenamed({"node": "row", "root": "new_root"})
-        # Rows with their components; heads need no further comparison as rows.
-        rest = left.drop("root").join(used, ["group", "row"], "left_anti").join(roots, "row", "left")
-        rest = staged(rest.select("group", "row", "n", "rank", F.coalesce("new_root", "row").alias("root")), "rest")
-        held = used.join(roots, "row", "left").select("group", F.coalesce("new_root", "row").alias("root")).distinct()
-        loose = staged(rest.join(staged(held, "held"), ["group", "root"], "left_anti"), "loose")
-        left = staged(rest.join(staged(loose.select("group").distinct(), "open"), "group"), "left")
+        found = staged(both.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "links")
+        links = found if links is None else links.unionByName(found)
+        met = asked.join(found, (F.greatest("row", "head") == F.col("a")) & (F.least("row", "head") == F.col("b")), "left_semi").select("group", "row").distinct()
+        rest = left.join(heads.select("group", F.col("head").alias("row")), ["group", "row"], "left_anti").join(met.withColumn("met", F.lit(True)), ["group", "row"], "left")
+        rest = rest.select("group", "row", "n", "rank", (F.col("loose") & F.col("met").isNull()).alias("loose"))
+        if number:
+            left = staged(rest.filter("loose"), "left")
+        else:
+            rest = staged(rest, "rest")
+            left = staged(rest.join(staged(rest.filter("loose").select("group").distinct(), "open"), "group"), "left")
+        number, most = number + 1, most * 2
         if left.isEmpty():
             return links
 

@@ -17,7 +17,9 @@ model's bias; rows that repeat an id are scored each; without training rows of b
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -195,12 +197,18 @@ class Adam:
             self.p[n] -= np.float32(self.rate) * (self.m[n] / np.float32(1 - 0.9**self.k)) / (np.sqrt(self.v[n] / np.float32(1 - 0.99**self.k)) + np.float32(1e-7))
 
 
-def layout(texts: list[list[str]]):
-    """Distinct words, and the windows of all texts as ids into them (the padding id is their number)."""
+def layout(texts: Iterable[list[str]]):
+    """Distinct words, and the windows of all texts as ids into them (the padding id is their number).
+
+    Texts are read one after the other and let go, so only their ids are held.
+    """
     known: dict[str, int] = {}
-    flat = [known.setdefault(w, len(known)) for words in texts for w in words]
-    flat = np.array(flat + [0] * WINDOW, np.int32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat, lengths = array("i"), []
+    for words in texts:
+        flat.extend([known.setdefault(w, len(known)) for w in words])
+        lengths.append(len(words))
+    flat = np.append(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.zeros(WINDOW, np.int32))
+    lengths = np.array(lengths, np.int64)
     doc, start, size = windows(lengths)
     base = (np.cumsum(lengths) - lengths)[doc] + start
     ids = flat[base[:, None] + np.arange(WINDOW)]
@@ -227,20 +235,22 @@ def noisy(features, rng, share: float):
 
 def train(texts: list[str], y: np.ndarray, steps: int = 360, batch: int = 48, rate: float = 0.006, most_windows: int = 25, left_out: float = 0.3, seed: int = 3) -> Network:
     """Fit on texts of any length; a step draws at most most_windows windows of a text, others the next time."""
-    split = [WORDS.findall((t or "").lower()) for t in texts]
-    use = [k for k, w in enumerate(split) if w]
-    split, y = [split[k] for k in use], np.asarray(y)[use]
-    counts = Counter(w for words in split for w in set(words))
-    begun = Counter(s for words in split for s in {s for w in set(words) for s in stems_of(w)})
+    split = lambda: (WORDS.findall((t or "").lower()) for t in texts)
+    use = [k for k, w in enumerate(split()) if w]
+    texts, y = [texts[k] for k in use], np.asarray(y)[use]
+    counts, begun = Counter(), Counter()
+    for words in split():
+        counts.update(set(words))
+        begun.update({s for w in set(words) for s in stems_of(w)})
     most = lambda found, n, least: [w for w, c in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:n] if c >= least]
     net = Network(most(counts, 6000, 3), most(begun, 20000, 5))
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(pos) or not len(neg):
         return net
     opt, rng = Adam(net.p, rate), np.random.default_rng(seed)
-    words, whose, all_ids, sizes = layout(split)
+    words, whose, all_ids, sizes = layout(split())
     features = net.features(words)
-    first = np.searchsorted(whose, np.arange(len(split) + 1))
+    first = np.searchsorted(whose, np.arange(len(texts) + 1))
 
     def used(rows):
         """The words of some windows, and the windows as ids into them (the padding id sorts last)."""
@@ -279,8 +289,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 360, batch: int = 48, ra
 
 
 def score_texts(net: Network, texts: list[str | None], chunk: int = 1024) -> np.ndarray:
-    split = [WORDS.findall((t or "").lower()) for t in texts]
-    words, doc, ids, size = layout(split)
+    words, doc, ids, size = layout(WORDS.findall((t or "").lower()) for t in texts)
     gates = net.project(net.inputs(net.features(words))) if words else np.zeros((2, 1, 3 * HIDDEN), np.float32)
     best = np.full(len(texts), -np.inf)
     for lo in range(0, len(doc), chunk):
