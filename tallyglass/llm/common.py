@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 
@@ -42,10 +44,29 @@ def open_shared(path: str, mode: str):
     return system.open_input_file(name)
 
 
-def staged(frame: DataFrame, name: str) -> DataFrame:
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes what `staged` writes inside, but for what it is told to keep."""
+    paths: list[str] = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(frame: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = frame.sparkSession
     path = stage_path(spark, name)
+    if not keep and (paths := _scratch.get()) is not None:
+        paths.append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -1,14 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks: runs of text between block-level tags, each with its root-to-leaf path of block tags. Per
-path, text length and punctuation are added up, each block up to `LONG` characters and `MARKS` marks, and divided by
-the number of blocks; both ratios are smoothed with those of the path's parent, so that a heading shares in the article
-around it, and fused into one score. The bounds hold for the score alone: one very long block cannot outweigh normal
-paragraphs, and its text stays whole. Paths below a share of the best score (a smaller one inside article or main
-elements) are dropped, unless they lie in an article or main element that holds a selected path, or hang as lists,
-tables, captions or other flow elements on the element around a selected block. Paths through an element whose tag,
-role or class names it as furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) are dropped
-always. The blocks of the other paths are the text, in page order.
+path, text length, punctuation and the share of text in links are added up, each block up to `LONG` characters and
+`MARKS` marks; the ratios to the number of blocks are smoothed with those of the path's parent, so that a heading shares
+in the article around it, and fused into one score. The bounds hold for the score alone: one very long block cannot
+outweigh normal paragraphs, and its text stays whole. Paths below a share of the best score (a smaller one inside article
+or main elements) are dropped, unless they lie in an article or main element that holds a selected path, or hang as
+lists, tables, captions or other flow elements on the element around a selected block. Paths through an element whose
+tag, role or class names it as furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
+dropped always. The blocks of the other paths are the text, in page order.
+
+Paths are numbers, found by their parent's number and their last label, so a page's cost grows with its length, however
+deep its tags are nested.
 
 Defined results: null html counts as empty and gives empty text; html without tags is one block; unclosed and stray
 tags are tolerated; rows that repeat an id are extracted each; nothing is capped.
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import few_rows, slices
+
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|button|title|canvas|audio|video"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
@@ -45,57 +50,73 @@ FURNITURE = set(
 )
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 CONTENT_WEIGHT = 4.0
-KEEP_SHARE = 0.2
-KEEP_SHARE_INSIDE = 0.02
+KEEP_SHARE, KEEP_SHARE_INSIDE = 0.2, 0.02
 LONG = 400
 MARKS = 8
 FLOW = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption blockquote pre details summary".split())
 
 
 def blocks(html: str):
-    """The blocks that have text, in page order, and the elements (tag, parent) that they number.
+    """The blocks that have text, in page order, the parent of each path, and the elements (tag, parent) they number.
 
-    A block is (path, text, furniture, box, element); box is the outermost article or main element around it, or 0.
+    A block is (path, text, characters in links, furniture, box, element); box is the outermost article or main element
+    around it, or 0.
     """
-    stack: list[tuple[str, str, bool, int, int]] = []
+    stack: list[tuple[str, int, bool, int, int]] = []
+    open_tags: dict[str, int] = defaultdict(int)
+    paths: dict[tuple[int, str], int] = {}
+    above = [0]
     text: list[str] = []
     out = []
     elements = [("", 0)]
+    links = linked = 0
 
     def cut():
+        nonlocal linked
         if text:
             block = " ".join(unescape("".join(text)).split())
             text.clear()
             if block:
-                top = stack[-1] if stack else ("", "", False, 0, 0)
-                out.append((top[1], block, *top[2:]))
+                top = stack[-1] if stack else ("", 0, False, 0, 0)
+                out.append((top[1], block, min(linked, len(block)), *top[2:]))
+        linked = 0
+
+    def close(depth: int):
+        for s in stack[depth:]:
+            open_tags[s[0]] -= 1
+        del stack[depth:]
 
     at = 0
     for m in TOKEN.finditer(html):
         if m.start() > at:
             text.append(html[at : m.start()])
+            linked += (m.start() - at) * (links > 0)
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag or tag in INLINE:
-            if tag in ("br", "img", "wbr"):
-                text.append(" ")
-            elif m[1] and m[1].lower() not in ("script", "style"):
+            if tag == "a":
+                links = max(0, links - 1) if m[2] else links + 1
+            elif tag in ("br", "img", "wbr") or m[1] and m[1].lower() not in ("script", "style"):
                 text.append(" ")
             continue
         cut()
+        links = 0
         if m[2]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if open_tags[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
-        if tag in CLOSES_P and any(s[0] == "p" for s in stack):
-            depth = max(k for k, s in enumerate(stack) if s[0] == "p")
-            if not any(s[0] in HOLDS for s in stack[depth + 1 :]):
-                del stack[depth:]
-        if same := SAME.get(tag):
+        if tag in CLOSES_P and open_tags["p"]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "p":
+                    close(k)
+                    break
+                if stack[k][0] in HOLDS:
+                    break
+        same = SAME.get(tag)
+        if same and any(open_tags[t] for t in same):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in same:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in HOLDS:
                     break
@@ -103,7 +124,7 @@ def blocks(html: str):
             continue
         attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[4])} if m[4] else {}
         words = set(re.split(r"[^a-z0-9]+", (attributes.get("class", "") + " " + attributes.get("id", "")).lower()))
-        _, path, furniture, box, parent = stack[-1] if stack else ("", "", False, 0, 0)
+        _, path, furniture, box, parent = stack[-1] if stack else ("", 0, False, 0, 0)
         furniture = (
             furniture
             or tag in FURNITURE_TAGS
@@ -115,36 +136,46 @@ def blocks(html: str):
         )
         if not box and (tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or attributes.get("itemprop") == "articleBody"):
             box = len(elements)
-        label = tag + "".join("." + w for w in sorted(words) if w and not w.isdigit())
-        stack.append((tag, f"{path}/{label}", furniture, box, len(elements)))
+        step = (path, tag + "".join("." + w for w in sorted(words) if w and not w.isdigit()))
+        if step not in paths:
+            paths[step] = len(above)
+            above.append(path)
+        stack.append((tag, paths[step], bool(furniture), box, len(elements)))
+        open_tags[tag] += 1
         elements.append((tag, parent))
     if at < len(html):
         text.append(html[at:])
     cut()
-    return out, elements
+    return out, above, elements
 
 
-def main_text(html: str | None) -> str:
-    found, elements = blocks(html or "")
-    length, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
-    for path, text, _, _, _ in found:
-        chars, points = min(len(text), LONG), min(len(PUNCTUATION.findall(text)), MARKS)
-        for key in {(path, True), (path.rpartition("/")[0], False)}:
-            length[key] += chars
-            marks[key] += points
-            count[key] += 1
+def path_scores(found, above) -> dict[tuple[int, bool], float]:
+    """The score of each (path, inside a box) of the blocks that are no furniture."""
+    own, around = defaultdict(lambda: [0.0] * 4), defaultdict(lambda: [0.0] * 4)
+    for path, text, linked, _, _, _ in found:
+        share = linked / len(text)
+        for sums in (own[path], around[above[path]]):
+            for k, x in enumerate((min(len(text), LONG), min(len(PUNCTUATION.findall(text)), MARKS), share, 1)):
+                sums[k] += x
     scores = {}
-    for path, _, furniture, box, _ in found:
-        if path in scores or furniture:
-            continue
-        own, around = (path, True), (path.rpartition("/")[0], False)
-        ratio, points = ((f[own] / count[own] + f[around] / count[around]) / 2 for f in (length, marks))
-        scores[path] = ratio * (1 + points) * (CONTENT_WEIGHT if box else 1)
+    for path, _, _, furniture, box, _ in found:
+        key = (path, box > 0)
+        if not furniture and key not in scores:
+            a, b = own[path], around[above[path]]
+            length, marks, linked = ((a[k] / a[3] + b[k] / b[3]) / 2 for k in range(3))
+            scores[key] = length * (1 + marks) * (1 - 0.9 * linked) * (CONTENT_WEIGHT if box else 1)
+    return scores
+
+
+def main_text(html: str | None) -> str:
+    found, above, elements = blocks(html or "")
+    scores = path_scores(found, above)
     best = max(scores.values(), default=0)
     least = {False: KEEP_SHARE * best, True: KEEP_SHARE_INSIDE * best}
-    boxes, held = set(), [False] * len(elements)
-    for path, _, furniture, box, element in found:
-        if not furniture and scores[path] >= least[box > 0]:
+    boxes, held, chosen = set(), [False] * len(elements), []
+    for path, _, _, furniture, box, element in found:
+        chosen.append(not furniture and scores[path, box > 0] >= least[box > 0])
+        if chosen[-1]:
             boxes.add(box)
             tag, parent = elements[element]
             held[element] = element > 0 and tag not in ("html", "body")
@@ -153,17 +184,18 @@ def main_text(html: str | None) -> str:
     boxes.discard(0)
     for k, (tag, parent) in enumerate(elements):
         held[k] = held[k] or (tag in FLOW and held[parent])
-    return " ".join(text for path, text, furniture, box, element in found if not furniture and (scores[path] >= least[box > 0] or box in boxes or held[element]))
+    return " ".join(text for (_, text, _, furniture, box, element), c in zip(found, chosen, strict=True) if c or not furniture and (box in boxes or held[element]))
 
 
 def _extract(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = [main_text(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: the id, url, main text and n_chars."""
+    few_rows(pages.sparkSession)
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].cast("string").alias("html"))
     out = rows.mapInArrow(_extract, f"id {kinds[0]}, url {kinds[1]}, text string")

@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few_rows, slices, staged, utf8
+from .common import few_rows, scratch, slices, staged, utf8
 
 SEED = 42
 BUDGET = 3
 BLOCKS = 4
 BLOCK_BITS = 16
 WIDTH, SIMILARITY = 5, 0.8
-TABLES, PICKED = 14, 5
+TABLES, PICKED, SMALL = 14, 5, 8
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
@@ -329,7 +329,7 @@ def _sets(batches):
 
 
 def candidate_groups(texts: DataFrame) -> DataFrame:
-    """(group, row, n, rank) of the groups of two rows or more of `texts` (row, n, prints) that share a table's entry.
+    """(group, row, n, size, rank) of the groups of two rows or more of `texts` (row, n, prints) that share a table's entry.
 
     rank is the number of rows that the row meets in all its groups.
     """
@@ -340,41 +340,37 @@ def candidate_groups(texts: DataFrame) -> DataFrame:
     several = staged(members.groupBy("group").count().filter("count > 1"), "several")
     members = staged(members.join(several, "group"), "members")
     rank = staged(members.groupBy("row").agg(F.sum("count").alias("rank")), "ranks")
-    return members.select("group", "row", "n").join(rank, "row")
+    return members.select("group", "row", "n", F.col("count").alias("size")).join(rank, "row")
 
 
 def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Rows of a group linked (a, b) to one of its heads, at a Jaccard similarity of `threshold` or more.
 
-    First every row is compared with the row of the largest rank in its group, then, in groups where some row has no
-    link yet, with the next two and with two of those rows. What is still without a link is compared among itself, with
-    four heads a round, then eight, and so on, until each row is linked to a head or is one. So no two rows that stay
-    are similar, and groups of up to five rows are linked in full; of a larger one a chain may stay in two parts, where
-    only rows that were linked to other heads join them.
+    First every row is compared with the row of the largest rank in its group. Rows that then have no link anywhere are
+    compared among themselves, with two heads a group, then four, and so on, until each row is linked to a head or is
+    one. So no two rows that stay are similar. Groups of up to SMALL rows are compared as a whole in every round and
+    linked in full; of a larger one a chain may stay in two parts, where only rows linked to other heads join them.
     """
     left = staged(groups.withColumn("loose", F.lit(True)), "groups")
     sets = staged(sets.join(left.select("row").distinct(), "row", "left_semi"), "wanted")
-    links, number, most = None, 0, 1
+    links, most = None, 1
     while True:
         place = F.row_number().over(Window.partitionBy("group", "loose").orderBy(F.col("rank").desc(), "row"))
         heads = left.select("group", "loose", "row", "n", place.alias("place")).filter(F.col("place") <= most)
         heads = staged(heads.select("group", F.col("row").alias("head"), F.col("n").alias("head_n")), "heads")
         asked = left.select("group", "row", "n").join(heads, "group").filter("row <> head")
-        asked = staged(asked.filter(F.least("n", "head_n") >= F.lit(threshold) * F.greatest("n", "head_n") - 1e-9).select("group", "row", "head"), "asked")
-        pairs = asked.select(F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")).distinct()
+        asked = asked.filter(F.least("n", "head_n") >= F.lit(threshold) * F.greatest("n", "head_n") - 1e-9)
+        pairs = staged(asked.select(F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")).distinct(), "pairs")
         both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         found = staged(both.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
-        met = asked.join(found, (F.greatest("row", "head") == F.col("a")) & (F.least("row", "head") == F.col("b")), "left_semi").select("group", "row").distinct()
-        rest = left.join(heads.select("group", F.col("head").alias("row")), ["group", "row"], "left_anti").join(met.withColumn("met", F.lit(True)), ["group", "row"], "left")
-        rest = rest.select("group", "row", "n", "rank", (F.col("loose") & F.col("met").isNull()).alias("loose"))
-        if number:
-            left = staged(rest.filter("loose"), "left")
-        else:
-            rest = staged(rest, "rest")
-            left = staged(rest.join(staged(rest.filter("loose").select("group").distinct(), "open"), "group"), "left")
-        number, most = number + 1, most * 2
+        met = staged(found.select(F.col("a").alias("row")).unionByName(found.select(F.col("b").alias("row"))).distinct(), "met").withColumn("met", F.lit(True))
+        rest = left.join(heads.select("group", F.col("head").alias("row")), ["group", "row"], "left_anti").join(met, "row", "left")
+        rest = staged(rest.select("group", "row", "n", "size", "rank", (F.col("loose") & F.col("met").isNull()).alias("loose")), "rest")
+        some = staged(rest.filter("loose").groupBy("group").count().select("group", F.col("count").alias("n_loose")), "open")
+        left = staged(rest.join(some, "group").filter(((F.col("size") <= SMALL) | F.col("loose")) & ((F.col("size") <= SMALL) | (F.col("n_loose") > 1))).drop("n_loose"), "left")
+        most *= 2
         if left.isEmpty():
             return links
 
@@ -390,19 +386,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(ptext).cast("string"), F.lit(""))
     plain = plain.withColumn("digest", F.unhex(F.sha2(text.cast("binary"), 256)))
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = plain.select(F.monotonically_increasing_id().alias("row"), F.col(pid).alias("id"), "digest", text.alias("text"))
-    sets = staged(rows.mapInArrow(_sets, f"row long, id {id_type}, digest binary, n int, shingles array<long>, prints array<long>"), "sets")
-    # Rows of one text are one node, named by its first row.
-    texts = staged(sets.groupBy("digest").agg(F.min("row").alias("row")), "texts")
-    firsts = staged(sets.select("row", "n", "prints").join(texts.select("row"), "row", "left_semi"), "firsts")
-    links = similar_pairs(candidate_groups(firsts), sets.select("row", "n", "shingles"), threshold)
-    roots = connected(links)
-    named = texts.join(roots, texts.row == roots.node, "left").select("digest", F.coalesce("root", "row").alias("root"))
-    marked = staged(sets.select("row", "id", "digest").join(staged(named, "named"), "digest"), "marked")
-    stays = staged(marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("m")).select(F.col("m.row").alias("row")), "stays")
-    # What becomes of the rows of an (id, text): all go, or one stays where several have both; of others all stay.
-    fate = marked.join(stays.withColumn("stay", F.lit(1)), "row", "left").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.count("stay").alias("stay"))
-    fate = staged(fate.filter("rows > stay").select(F.col("id").alias("f_id"), F.col("digest").alias("f_digest"), "stay"), "fate")
+    with scratch(docs.sparkSession):
+        rows = plain.select(F.monotonically_increasing_id().alias("row"), F.col(pid).alias("id"), "digest", text.alias("text"))
+        sets = staged(rows.mapInArrow(_sets, f"row long, id {id_type}, digest binary, n int, shingles array<long>, prints array<long>"), "sets")
+        # Rows of one text are one node, named by its first row.
+        texts = staged(sets.groupBy("digest").agg(F.min("row").alias("row")), "texts")
+        firsts = staged(sets.select("row", "n", "prints").join(texts.select("row"), "row", "left_semi"), "firsts")
+        links = similar_pairs(candidate_groups(firsts), sets.select("row", "n", "shingles"), threshold)
+        roots = connected(links)
+        named = texts.join(roots, texts.row == roots.node, "left").select("digest", F.coalesce("root", "row").alias("root"))
+        marked = staged(sets.select("row", "id", "digest").join(staged(named, "named"), "digest"), "marked")
+        stays = staged(marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("m")).select(F.col("m.row").alias("row")), "stays")
+        # What becomes of the rows of an (id, text): all go, or one stays where several have both; of others all stay.
+        fate = marked.join(stays.withColumn("stay", F.lit(1)), "row", "left").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.count("stay").alias("stay"))
+        fate = staged(fate.filter("rows > stay").select(F.col("id").alias("f_id"), F.col("digest").alias("f_digest"), "stay"), "fate", keep=True)
     same = F.col(pid).eqNullSafe(F.col("f_id")) & (F.col("digest") == F.col("f_digest"))
     out = plain.join(fate, same, "left_anti")
     again = fate.filter("stay > 0")

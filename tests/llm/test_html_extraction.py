@@ -58,3 +58,25 @@ def test_edges(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>t", "y")], "page_id long, url string, html string, text string")
     assert sorted(map(str, (tuple(r) for r in H.extract(rows).collect()))) == ["(1, 'u', '', 0)", "(1, 'u', '', 0)", "(None, None, 't', 1)"]
     assert H.extract(rows.limit(0)).count() == 0
+
+
+def test_neutral_class_names(monkeypatch):
+    """Without the word lists the ratios find the article of a layout that names nothing."""
+    for name in ("FURNITURE", "FURNITURE_TAGS", "FURNITURE_ROLES"):
+        monkeypatch.setattr(H, name, set())
+    prose = "A paragraph of the report, as they come; it has marks, and goes on for a while. " * 4
+    menu = "".join(f"<li><a href={k}>Item {k}</a></li>" for k in range(8))
+    page = f"<body><div class=q1><ul>{menu}</ul></div><div class=q2>{f'<p>{prose}</p>' * 5}</div><div class=q3><a href=x>Terms</a> <a href=y>About</a></div></body>"
+    assert H.main_text(page) == " ".join([prose.strip()] * 5)
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert H.main_text("<div>" * n + "deep") == "deep"
+        assert H.main_text("<x-y>" * n + "<td>a" * 50).startswith("a")
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
