@@ -28,9 +28,14 @@ def filings(spark, sf):
     )
 
 
-def trades(spark, sf):
+def trades(spark, sf, parts: bool = False):
+    """Line items with their orders; `asset_class` needs the parts table, which is joined only where asked for."""
     action = F.when(F.col("l_returnflag") == "R", "SELL").when(F.col("l_returnflag") == "A", "BUY").otherwise("EXCHANGE")
-    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if parts:
+        rows = rows.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    else:
+        rows = rows.withColumn("p_type", F.lit(None).cast("string"))
     return rows.select(
         F.col("l_orderkey").alias("filing_id"), F.col("l_linenumber").cast("long").alias("line"), F.col("o_custkey").alias("person_id"),
         F.col("l_shipdate").cast("date").alias("trade_date"), F.col("o_orderdate").cast("date").alias("reported_date"), action.alias("action"),

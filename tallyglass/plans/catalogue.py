@@ -53,7 +53,7 @@ def f12(spark, sf, asset: str = "ticker:P3", center: str = "1997-07-01", days: i
     kind, _, value = asset.partition(":")
     distance = F.abs(F.datediff("trade_date", F.lit(center).cast("date"))).cast("long")
     column = {"ticker": "ticker", "class": "asset_class"}[kind]
-    return B.trades(spark, sf).filter(C(column) == value).select("filing_id", "line", distance.alias("distance")).filter(C("distance") <= days)
+    return B.trades(spark, sf, parts=column == "asset_class").filter(C(column) == value).select("filing_id", "line", distance.alias("distance")).filter(C("distance") <= days)
 
 
 def dynamic_sort(frame, wanted: str, allowed: dict, default: str, ties: list):
@@ -200,7 +200,7 @@ def m3(spark, sf):
 
 @query("ar1_representative", sql(", k AS (SELECT ticker, asset_class, count(*) AS n FROM trades GROUP BY 1, 2) SELECT ticker, arg_min(asset_class, (-n, length(asset_class), asset_class)) AS representative, CAST(count(*) AS BIGINT) AS variants FROM k GROUP BY 1", "trades"))
 def ar1(spark, sf):
-    k = B.trades(spark, sf).groupBy("ticker", "asset_class").agg(ONE().alias("n"))
+    k = B.trades(spark, sf, parts=True).groupBy("ticker", "asset_class").agg(ONE().alias("n"))
     return k.groupBy("ticker").agg(F.min_by("asset_class", F.struct(-C("n"), F.length("asset_class"), C("asset_class"))).alias("representative"), ONE().alias("variants"))
 
 

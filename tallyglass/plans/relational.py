@@ -211,7 +211,7 @@ def a11(spark, sf):
 
 @query("a13_sorted_sets", sql("SELECT person_id, string_agg(DISTINCT asset_class, '|' ORDER BY asset_class) AS classes, count(DISTINCT ticker) AS n_tickers FROM trades GROUP BY 1", "trades"))
 def a13(spark, sf):
-    return B.trades(spark, sf).groupBy("person_id").agg(F.array_join(F.array_sort(F.collect_set("asset_class")), "|").alias("classes"), F.countDistinct("ticker").alias("n_tickers"))
+    return B.trades(spark, sf, parts=True).groupBy("person_id").agg(F.array_join(F.array_sort(F.collect_set("asset_class")), "|").alias("classes"), F.countDistinct("ticker").alias("n_tickers"))
 
 
 @query("a14_most_complete_row", sql("SELECT person_id, arg_max(filing_id, (cents, filing_id)) AS filing_id, max(cents) AS cents FROM filings GROUP BY 1", "filings"))
