@@ -14,7 +14,7 @@ several candidate tables; each of the others holds the SimHash of PICKED shingle
 texts meet there with probability about similarity to that power, in one of TABLES tables at least nearly always. In
 each group of candidates the rows are compared exactly with a few heads, first those that share most tables with most
 rows, then, as long as some row is linked to none, further ones; so a group of copies costs some comparisons a row, not
-its pairs.
+its pairs. The tables are taken a few at a time, and rows linked to a row of many links leave the later ones.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and link like any other; rows
 that repeat an id each have their own text's component; null ids are never a component's name unless the component has
@@ -38,7 +38,7 @@ BUDGET = 3
 BLOCKS = 4
 BLOCK_BITS = 16
 WIDTH, SIMILARITY = 5, 0.8
-TABLES, PICKED, SMALL = 14, 5, 8
+TABLES, PICKED, SMALL, TURN = 14, 5, 8, 5
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
@@ -328,28 +328,39 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends)), lists(sets, ends), lists(prints, wide)], ["row", "id", "digest", "n", "shingles", "prints"])
 
 
-def candidate_groups(texts: DataFrame) -> DataFrame:
-    """(group, row, n, size, rank) of the groups of two rows or more of `texts` (row, n, prints) that share a table's entry.
+def candidate_groups(texts: DataFrame, tables: range) -> DataFrame:
+    """(group, row, n, size, rank) of the groups of two rows or more of `texts` (row, n, prints) that share an entry of the tables.
 
     rank is the number of rows that the row meets in all its groups.
     """
-    prints = texts.select("row", "n", F.posexplode("prints").alias("table", "fp"))
-    roots = connected(link_edges(texts.select(F.col("prints")[0].alias("fp")).distinct()))
-    whole = prints.filter("table = 0").join(roots, prints.fp == roots.node, "left").select("row", "n", F.xxhash64(F.lit(0), F.coalesce("root", "fp")).alias("group"))
-    members = staged(whole.unionByName(prints.filter("table > 0").select("row", "n", F.xxhash64("table", "fp").alias("group"))), "members")
+    prints = texts.select("row", "n", F.posexplode(F.slice("prints", tables.start + 1, len(tables))).alias("table", "fp"))
+    prints = prints.withColumn("table", F.col("table") + tables.start)
+    members = prints.filter("table > 0").select("row", "n", F.xxhash64("table", "fp").alias("group"))
+    if 0 in tables:
+        whole = texts.select("row", "n", F.col("prints")[0].alias("fp"))
+        roots = connected(link_edges(whole.select("fp").distinct()))
+        whole = whole.join(roots, whole.fp == roots.node, "left").select("row", "n", F.xxhash64(F.lit(0), F.coalesce("root", "fp")).alias("group"))
+        members = whole.unionByName(members)
+    members = staged(members, "members")
     several = staged(members.groupBy("group").count().filter("count > 1"), "several")
     members = staged(members.join(several, "group"), "members")
     rank = staged(members.groupBy("row").agg(F.sum("count").alias("rank")), "ranks")
     return members.select("group", "row", "n", F.col("count").alias("size")).join(rank, "row")
 
 
-def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def ends(links: DataFrame) -> DataFrame:
+    """(row, other) of links (a, b), either way round."""
+    return links.select(F.col("a").alias("row"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("row"), F.col("a").alias("other")))
+
+
+def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float, linked: DataFrame) -> DataFrame:
     """Rows of a group linked (a, b) to one of its heads, at a Jaccard similarity of `threshold` or more.
 
-    First every row is compared with the row of the largest rank in its group. Rows that then have no link anywhere are
-    compared among themselves, with two heads a group, then four, and so on, until each row is linked to a head or is
-    one. So no two rows that stay are similar. Groups of up to SMALL rows are compared as a whole in every round and
-    linked in full; of a larger one a chain may stay in two parts, where only rows linked to other heads join them.
+    First every row is compared with the row of the largest rank in its group. Rows that then have no link anywhere
+    (`linked` holds those that came with one) are compared among themselves, with two heads a group, then four, and so
+    on, until each row is linked to a head or is one. So no two rows that stay are similar. Groups of up to SMALL rows
+    are compared as a whole in every round and linked in full; of a larger one a chain may stay in two parts, where only
+    rows linked to other heads join them.
     """
     left = staged(groups.withColumn("loose", F.lit(True)), "groups")
     sets = staged(sets.join(left.select("row").distinct(), "row", "left_semi"), "wanted")
@@ -365,7 +376,8 @@ def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float) -> DataF
         common = F.size(F.array_intersect("x", "y"))
         found = staged(both.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
-        met = staged(found.select(F.col("a").alias("row")).unionByName(found.select(F.col("b").alias("row"))).distinct(), "met").withColumn("met", F.lit(True))
+        linked = ends(found).select("row") if most > 1 else ends(found).select("row").unionByName(linked)
+        met = linked.distinct().withColumn("met", F.lit(True))
         rest = left.join(heads.select("group", F.col("head").alias("row")), ["group", "row"], "left_anti").join(met, "row", "left")
         rest = staged(rest.select("group", "row", "n", "size", "rank", (F.col("loose") & F.col("met").isNull()).alias("loose")), "rest")
         some = staged(rest.filter("loose").groupBy("group").count().select("group", F.col("count").alias("n_loose")), "open")
@@ -375,6 +387,29 @@ def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float) -> DataF
             return links
 
 
+def similar_texts(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between rows of `texts` (row, n, prints) that meet in a table and whose `sets` are similar.
+
+    The tables are taken TURN at a time. A row linked to a hub, that is a row of SMALL links or more, is left out of the
+    tables that follow unless it is a hub too: of a large group of copies only the hubs and what is not linked yet meet
+    again. Rows without a hub stay in all tables.
+    """
+    links, left = None, texts
+    linked = texts.select("row").limit(0)
+    for first in range(0, TABLES + 1, TURN):
+        groups = candidate_groups(left, range(first, min(first + TURN, TABLES + 1)))
+        found = similar_pairs(groups, sets, threshold, linked)
+        links = found if links is None else links.unionByName(found)
+        if first + TURN <= TABLES:
+            both = staged(ends(links.distinct()), "both")
+            hubs = staged(both.groupBy("row").count().filter(F.col("count") >= SMALL).select("row"), "hubs")
+            under = both.join(hubs.select(F.col("row").alias("other")), "other", "left_semi").select("row").distinct()
+            under = staged(under.join(hubs, "row", "left_anti"), "under")
+            left = staged(left.join(under, "row", "left_anti"), "firsts")
+            linked = both.select("row")
+    return links
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = SIMILARITY) -> DataFrame:
     """One row of each group of near copies (that of the smallest id), with all its columns."""
     if width != WIDTH:
@@ -392,8 +427,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         # Rows of one text are one node, named by its first row.
         texts = staged(sets.groupBy("digest").agg(F.min("row").alias("row")), "texts")
         firsts = staged(sets.select("row", "n", "prints").join(texts.select("row"), "row", "left_semi"), "firsts")
-        links = similar_pairs(candidate_groups(firsts), sets.select("row", "n", "shingles"), threshold)
-        roots = connected(links)
+        roots = connected(similar_texts(firsts, sets.select("row", "n", "shingles"), threshold))
         named = texts.join(roots, texts.row == roots.node, "left").select("digest", F.coalesce("root", "row").alias("root"))
         marked = staged(sets.select("row", "id", "digest").join(staged(named, "named"), "digest"), "marked")
         stays = staged(marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("m")).select(F.col("m.row").alias("row")), "stays")
