@@ -36,7 +36,7 @@ CLASSES, TAILS = 96, 48
 HIDDEN = 16
 SPLIT, HELD = 7, 2
 WINDOW_CHARS = 500
-SEGMENT, BATCH = 24, 128
+SEGMENT, BATCH, LANES = 24, 128, 256
 
 
 def tail_class(word: bytes) -> int:
@@ -157,23 +157,29 @@ class Model:
         n = np.tanh(x[:, 2 * k :] + r * gn)
         return n + z * (h - n), (r, z, n, gn)
 
-    def output(self, h, codes, cls, grads: dict | None = None):
+    def output(self, h, codes, cls, grads: dict | None = None, block: int = 2048):
         """Natural log probabilities of (class, head word in class); adds gradients of their negative sum."""
         p = self.p
-        # A column per token: sums and maxima then run along rows that lie together in memory.
-        logit = p["wc"].T @ h.T + p["bc"][:, None]
-        logit -= logit.max(0)
-        e = np.exp(logit)
-        s = e.sum(0)
-        row = np.arange(len(h))
-        out = logit[cls, row] - np.log(s)
-        dh = None
-        if grads is not None:
-            e /= s
-            e[cls, row] -= 1
-            grads["wc"] += h.T @ e.T
-            grads["bc"] += e.sum(1)
-            dh = e.T @ p["wc"].T
+        out = np.empty(len(h), np.result_type(h, p["wc"]))
+        dh = None if grads is None else np.empty_like(out, shape=h.shape)
+        for lo in range(0, len(h), block):
+            part = slice(lo, lo + block)
+            own, kind = h[part], cls[part]
+            # A column per token: sums and maxima then run along rows that lie together in memory.
+            logit = p["wc"].T @ own.T
+            logit += p["bc"][:, None]
+            logit -= logit.max(0)
+            row = np.arange(len(own))
+            out[part] = logit[kind, row]
+            e = np.exp(logit, out=logit)
+            s = e.sum(0)
+            out[part] -= np.log(s)
+            if grads is not None:
+                e /= s
+                e[kind, row] -= 1
+                grads["wc"] += (e @ own).T
+                grads["bc"] += e.sum(1)
+                dh[part] = (p["wc"] @ e).T
         order = np.argsort(cls.astype(np.int16), kind="stable")
         edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         own_h, own_codes, inner = h[order], codes[order], np.zeros(len(h), out.dtype)
@@ -266,64 +272,81 @@ class Trainer:
         lanes: list = []
         h = np.zeros((0, HIDDEN), np.float32)
         while model.head:
-            while len(lanes) < BATCH and (words := next(texts, None)):
+            while len(lanes) < LANES and (words := next(texts, None)):
                 codes, tails = vocab.encode(words)
                 sym, cls = model.symbols(codes, tails)
                 lanes.append((0, np.concatenate([[begin], sym]).astype(np.int32), codes, cls))
             if not lanes:
                 break
             h = np.concatenate([h, np.zeros((len(lanes) - len(h), HIDDEN), np.float32)])
-            before, codes, cls = (np.zeros((len(lanes), SEGMENT), np.int64) for _ in range(3))
-            mask = np.zeros((len(lanes), SEGMENT), bool)
+            # The last long texts run beside few others: their segments are longer, so that a step keeps its tokens.
+            long = min(max(SEGMENT, BATCH * SEGMENT // len(lanes)), max(len(code) - at for at, _, code, _ in lanes))
+            before, codes, cls = (np.zeros((len(lanes), long), np.int64) for _ in range(3))
+            mask = np.zeros((len(lanes), long), bool)
             for k, (at, sym, code, kind) in enumerate(lanes):
-                size = min(SEGMENT, len(code) - at)
+                size = min(long, len(code) - at)
                 before[k, :size], codes[k, :size], cls[k, :size] = (x[at : at + size] for x in (sym, code, kind))
                 mask[k, :size] = True
-            # The last long texts run beside few others: a step of fewer tokens is a smaller one.
-            self.rate = rate * min(1.0, 2 * int(mask.sum()) / (BATCH * SEGMENT))
+            self.rate = rate * min(1.0, 2 * int(mask.sum()) / (LANES * SEGMENT))
             h = self._segment(before, codes, cls, mask, h)
-            going = [k for k, (at, _, code, _) in enumerate(lanes) if at + SEGMENT < len(code)]
-            lanes, h = [(lanes[k][0] + SEGMENT, *lanes[k][1:]) for k in going], h[going]
+            going = [k for k, (at, _, code, _) in enumerate(lanes) if at + long < len(code)]
+            lanes, h = [(lanes[k][0] + long, *lanes[k][1:]) for k in going], h[going]
         self.rate = rate
 
     def _segment(self, before, codes, cls, mask, h):
+        """A step over a segment of each lane; a lane's mask is true up to its text's end. Arrays are laid out by time."""
         model, p, k = self.model, self.model.p, HIDDEN
-        g = {n: np.zeros_like(x) for n, x in p.items()}
-        tape, states = [], []
-        for t in range(before.shape[1]):
-            new, saved = model.cell(p["x"][before[:, t]], h)
-            tape.append((h, *saved))
-            states.append(new)
-            h = new
-        states = np.stack(states, 1)
-        real = mask
-        _, dh_out = model.output(states[real], codes[real], cls[real], g)
-        scale = np.float32(1 / max(1, int(real.sum())))
-        dstate = np.zeros_like(states)
+        before, real = before.T, mask.T
+        steps, lanes = before.shape
+        x = p["x"][before]
+        states = np.empty((steps + 1, lanes, k), np.float32)
+        states[0], tape = h, []
+        for t in range(steps):
+            states[t + 1], saved = model.cell(x[t], states[t])
+            tape.append(saved)
+        g = {n: np.zeros_like(p[n]) for n in ("wc", "bc", "wo", "bo")}
+        _, dh_out = model.output(states[1:][real], codes.T[real], cls.T[real], g)
+        dstate = np.zeros((steps, lanes, k), np.float32)
         dstate[real] = dh_out
-        dh = np.zeros_like(h)
-        for t in range(before.shape[1] - 1, -1, -1):
-            hp, r, z, n, gn = tape[t]
-            d = dh + dstate[:, t]
-            dz = d * (hp - n) * z * (1 - z)
+        dx, dg = (np.empty((steps, lanes, 3 * k), np.float32) for _ in range(2))
+        dh = np.zeros((lanes, k), np.float32)
+        for t in range(steps - 1, -1, -1):
+            r, z, n, gn = tape[t]
+            d = dh + dstate[t]
             dn = d * (1 - z) * (1 - n * n)
-            dr = dn * gn * r * (1 - r)
-            dg = np.concatenate([dr, dz, dn * r], 1)
-            g["u"] += hp.T @ dg
-            np.add.at(g["x"], before[:, t], np.concatenate([dr, dz, dn], 1))
-            dh = d * z + dg @ p["u"].T
-        self.trained += int(real.sum())
+            dx[t, :, :k] = dn * gn * r * (1 - r)
+            dx[t, :, k : 2 * k] = d * (states[t] - n) * z * (1 - z)
+            dx[t, :, 2 * k :] = dn
+            dg[t] = dx[t]
+            dg[t, :, 2 * k :] *= r
+            dh = d * z + dg[t] @ p["u"].T
+        g["u"] = states[:-1].reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+        # Only the input rows of the segment's symbols have a gradient, and only they are moved.
+        sym = before[real]
+        order = np.argsort(sym, kind="stable")
+        rows, at = np.unique(sym[order], return_index=True)
+        g["x"] = np.add.reduceat(dx[real][order], at, axis=0)
+        scale = np.float32(1 / max(1, len(sym)))
+        self.trained += len(sym)
         self.k += 1
-        norm = scale * np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        norm = scale * np.sqrt(sum(float(np.vdot(y, y)) for y in g.values()))
         scale *= np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         a, b = np.float32(1 - 0.9**self.k), np.float32(1 - 0.99**self.k)
-        for name, x in g.items():
-            x *= scale
-            m, v = self.m[name], self.v[name]
-            m += np.float32(0.1) * (x - m)
-            v += np.float32(0.01) * (x * x - v)
-            p[name] -= np.float32(self.rate) * (m / a) / (np.sqrt(v / b) + np.float32(1e-6))
-        return h
+        for name, y in g.items():
+            y *= scale
+            own = rows if name == "x" else slice(None)
+            m, v = self.m[name][own], self.v[name][own]
+            m += np.float32(0.1) * (y - m)
+            y *= y
+            v += np.float32(0.01) * (y - v)
+            step = np.sqrt(v / b)
+            step += np.float32(1e-6)
+            np.divide(m, step, out=step)
+            step *= np.float32(self.rate) / a
+            p[name][own] -= step
+            if name == "x":
+                self.m[name][own], self.v[name][own] = m, v
+        return states[-1]
 
 
 def window_texts(docs: DataFrame) -> DataFrame:
@@ -362,7 +385,7 @@ def _train(shared, chunk: int = 16_384):
         vocab, start = shared.value
         model = Model(vocab)
         model.p = {n: x.copy() for n, x in start.items()}
-        trainer = Trainer(model, 0.003)
+        trainer = Trainer(model, 0.006)
         trainer.stream(vocab, ([*tokens(t), END] for b in batches for lo in range(0, b.num_rows, 256) for t in b.column(0).slice(lo, 256).to_pylist()))
         if trainer.trained:
             flat = np.concatenate([x.ravel() for x in model.p.values()])
