@@ -1,6 +1,6 @@
 """The corpus queries, and SQL for those it can express."""
 
-from . import decontamination, exact_dedup, html_extraction, licenses, lm_scoring, packing, quality, simhash_dedup, toxicity, warc
+from . import bpe, centroids, decontamination, exact_dedup, html_extraction, licenses, lm_scoring, packing, quality, simhash_dedup, toxicity, warc, whitening
 
 
 def _pipeline(spark, sf_dir):
@@ -20,10 +20,14 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_html_extraction": html_extraction.op10_html_extraction,
+    "op11_bpe_transducer": bpe.op11_bpe_transducer,
+    "op12_centroid_clustering": centroids.op12_centroid_clustering,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
     "pipeline": _pipeline,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op6_license_scan": licenses.ORACLE,
     "op8_benchmark_decontamination": decontamination.ORACLE,
+    "op12_centroid_clustering": centroids.ORACLE,
 }
