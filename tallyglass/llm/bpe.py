@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_rows, open_shared, slices, stage_path
+from .common import few_rows, open_shared, scratch, slices, stage_path, staged
 from .packing import BYTE_LETTERS
 
 LEXICON_WORDS, LEXICON_BYTES = 131_072, 32
@@ -419,15 +419,30 @@ def _count(codec: Codec, parts: list[str], most_bytes: int, seen: Counter) -> No
     seen.update([raw[a:b] for a, b in zip(at[keep].tolist(), (at + size)[keep].tolist(), strict=True)])
 
 
+def frequent(counts: DataFrame, words: int) -> list[bytes]:
+    """The most frequent words in byte order, at most `words`: whole classes of counts, sixteen to each doubling.
+
+    Only the classes' sizes and the words above the bound come to the driver.
+    """
+    level = F.floor(16 * F.log2("n"))
+    room, least = words, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r.level
+    return [] if least is None else sorted(bytes(r.word) for r in counts.filter(level >= least).select("word").collect())
+
+
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON_WORDS, most_bytes: int = LEXICON_BYTES) -> str:
-    """Compile the `words` most frequent pre-tokens of the documents; the file's path in the shared folder.
+    """Compile the most frequent pre-tokens of the documents, at most `words`; the file's path in the shared folder.
 
     The lexicon's size is a parameter, whatever the corpus: its words come to the driver, which merges and compiles them.
     """
-    counts = word_counts(docs, path, text_col, most_bytes)
-    top = sorted(bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect())
+    spark = docs.sparkSession
+    with scratch(spark):
+        top = frequent(staged(word_counts(docs, path, text_col, most_bytes), "words"), words)
     codec = Codec(path)
-    target = stage_path(docs.sparkSession, "lexicon") + ".bin"
+    target = stage_path(spark, "lexicon") + ".bin"
     write_lexicon(transducer(top, [codec._merge(w) for w in top]), target)
     return target
 

@@ -87,6 +87,12 @@ def test_words_are_counted_in_all_texts(spark, library):
     assert got == {w: n for w, n in want.items() if len(w) <= bpe.LEXICON_BYTES}
 
 
+def test_frequent_words_in_whole_classes_of_counts(spark):
+    counts = spark.createDataFrame([(b"a", 900), (b"c", 40), (b"b", 41), (b"x", 2), (b"y", 2), (b"z", 2), (b"w", 1)], "word binary, n long")
+    assert [bpe.frequent(counts, k) for k in (0, 1, 2, 3, 5, 6, 100)] == [[], [b"a"], [b"a"], [b"a", b"b", b"c"], [b"a", b"b", b"c"], [b"a", b"b", b"c", b"x", b"y", b"z"], [b"a", b"b", b"c", b"w", b"x", b"y", b"z"]]
+    assert bpe.frequent(counts.filter("false"), 9) == []
+
+
 def test_frames(spark, library):
     rows = [(k, t, "x") for k, t in enumerate(odd_texts(200))] + [(None, None, "x"), (1, "again", "x"), (1, "again", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
