@@ -1,9 +1,9 @@
 """Queries by name, and the SQL that gives the same rows."""
 
-from .plans import catalogue, domain, entities, identity, involvement, ledgers, more, parsers, relational, resolution
+from .plans import catalogue, domain, entities, identity, involvement, ledgers, more, parsers, relational, reports, resolution
 from .streaming import reviews
 
-PLANS = (relational, domain, more, catalogue, identity, parsers, resolution, involvement, entities, ledgers, reviews)
+PLANS = (relational, domain, more, catalogue, identity, parsers, resolution, involvement, entities, ledgers, reports, reviews)
 QUERIES = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 ORACLES = {name: text for plan in PLANS for name, text in plan.ORACLES.items()}
 FLAGSHIP = "dm1_scorecard"
