@@ -43,6 +43,23 @@ def band_join(left: DataFrame, right: DataFrame, key: str, left_date: str, right
     return probe.join(facts, [key, "__bucket"]).filter(F.abs(F.datediff(right_date, left_date)) <= days).drop("__bucket")
 
 
+def span_join(spans: DataFrame, facts: DataFrame, key: str, start: str, end: str, date: str, days: int = 0, open_end: str = "2100-01-01") -> DataFrame:
+    """Pairs of equal key with date from `days` before a span's start to `days` after its end; a null end is open.
+
+    Spans are dealt to the 64-day buckets that they touch up to the key's last fact, so a key's spans and facts aren't all
+    compared, and a hot key is spread over its buckets.
+    """
+    width = 64
+    last = facts.groupBy(key).agg(F.max(date).alias("__last"))
+    stop = F.least(F.coalesce(F.date_add(end, days), F.lit(open_end).cast("date")), F.col("__last"))
+    first = F.date_sub(start, days)
+    ends = [F.floor(day(x) / width) for x in (first, stop)]
+    probe = spans.join(last, key).filter(first <= stop).withColumn("__bucket", F.explode(F.sequence(*ends))).drop("__last")
+    rows = facts.withColumn("__bucket", F.floor(day(F.col(date)) / width))
+    inside = (F.col(date) >= F.date_sub(start, days)) & (F.col(end).isNull() | (F.col(date) <= F.date_add(end, days)))
+    return probe.join(rows, [key, "__bucket"]).filter(inside).drop("__bucket")
+
+
 def nearest_join(left: DataFrame, points: DataFrame, key: str, row_id: list[str], at: str, date: str, value: str, days: int) -> DataFrame:
     """(row_id, date, value) of the nearest point within days; ties go to the earlier date."""
     pairs = band_join(left.select(*row_id, key, at).distinct(), points.select(key, date, value), key, at, date, days)

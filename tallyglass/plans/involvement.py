@@ -183,7 +183,7 @@ _RECORDS = """rec AS (SELECT row_number() OVER () AS row, event_id, congress, ki
  UNION ALL SELECT row, roles, day >= a AND day < b, CASE WHEN nm = first || ' ' || last THEN 100 WHEN NOT ends_with(nm, last) THEN -1 WHEN starts_with(nm, first) THEN 90 WHEN nm[1] = first[1] THEN 70 ELSE 50 END
  FROM rec JOIN (SELECT *, replace(lower(full_name), '#', ' ') AS nm FROM roles) roles ON rec.congress = roles.congress AND rec.chamber = roles.chamber AND rec.state = roles.state WHERE by_name),
  pool AS (SELECT *, bool_or(act) OVER (PARTITION BY row) AS any_act FROM cand), live AS (SELECT row, roles, score, max(score) OVER (PARTITION BY row) AS top FROM pool WHERE act OR NOT any_act),
- one AS (SELECT row, arg_min(roles, {'a': roles.role_id, 'b': roles.person_id}) AS r, count(*) AS n, any_value(score) AS score FROM live WHERE score = top AND score >= 0 GROUP BY row),
+ one AS (SELECT row, arg_min(roles, {'a': roles.role_id, 'b': roles.person_id, 'c': roles.source_url}) AS r, count(*) AS n, any_value(score) AS score FROM live WHERE score = top AND score >= 0 GROUP BY row),
  obs0 AS (SELECT rec.*, CASE WHEN NOT by_name OR n = 1 THEN r END AS r FROM rec LEFT JOIN one USING (row)),
  obs1 AS (SELECT *, coalesce(CASE WHEN NOT by_name THEN bio0 END, r.bio) AS bio, CASE WHEN r IS NULL AND by_name THEN 'senate-lis:S' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') WHEN coalesce(CASE WHEN NOT by_name THEN bio0 END, r.bio) IS NULL AND NOT by_name THEN 'official-record:' || sha256(s_name || '|' || state || '|' || party)[1:24]
  WHEN coalesce(CASE WHEN NOT by_name THEN bio0 END, r.bio) IS NULL THEN 'senate-lis:S' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') ELSE 'congress:' || coalesce(CASE WHEN NOT by_name THEN bio0 END, r.bio) END AS official, CASE WHEN kind = 'recorded_vote' THEN lower(chamber) || '-' || congress || '-' || (year(day) % 2 + 1) || '-' || number END AS roll,

@@ -1,7 +1,7 @@
 """Tables and headings of HTML pages as rows, by Python table functions; what the columns mean is native.
 
-`cells` gives one row per cell and grid position: a cell that spans rows or columns fills all of its places, a table within
-a cell is a table of its own. `records` maps a table's first row to fields by their aliases, takes each page's first table
+`grids` gives one row per table and `cells` one per place of it: a cell that spans rows or columns fills all of its places, a
+table within a cell is a table of its own. `records` maps a table's first row to fields by their aliases, takes each page's first table
 that has all required fields, and gives one row per table row. `report_transactions` reads periodic transaction reports.
 
 Null and empty pages have no cells; unclosed cells, rows and tables end where the next begins or the page ends; spans that
@@ -16,7 +16,7 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELL = "table_no int, row_no int, col_no int, header boolean, text string, href string"
+GRID = "table_no int, grid array<array<struct<header:boolean,text:string,href:string>>>"
 BLOCK = "block_no int, tag string, classes string, text string"
 
 # The fields of a transaction report, the labels that stand for each, those that a table must have.
@@ -121,18 +121,16 @@ class _Tables(HTMLParser):
         return self.all
 
 
-class TableCells:
-    """The cells of a page's tables."""
+class TableGrids:
+    """A page's tables, each as its rows of cells; a place that no cell fills is null."""
 
     def eval(self, html: str):
         parser = _Tables()
         parser.feed(html or "")
         for t, grid in enumerate(parser.finish()):
             rows = [row for row in grid.rows if any(text for _, text, _ in row.values())]
-            for r, row in enumerate(rows):
-                for col in sorted(row):
-                    header, text, href = row[col]
-                    yield t, r, col, header, text, href
+            if rows:
+                yield t, [[row.get(col) for col in range(max(row) + 1)] for row in rows]
 
 
 class _Blocks(HTMLParser):
@@ -176,9 +174,15 @@ def _lateral(pages: DataFrame, id_col: str, html_col: str, kind: type, shape: st
     return rows.lateralJoin(F.udtf(kind, returnType=shape)(F.col("_html").outer())).drop("_html")
 
 
+def grids(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page, table_no, grid) of every table of every page that has a cell with text."""
+    return _lateral(pages, id_col, html_col, TableGrids, GRID)
+
+
 def cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page, table_no, row_no, col_no, header, text, href) of every table of every page."""
-    return _lateral(pages, id_col, html_col, TableCells, CELL)
+    """(page, table_no, row_no, col_no, header, text, href) of every cell of those tables."""
+    rows = grids(pages, id_col, html_col).select("page", "table_no", F.posexplode("grid").alias("row_no", "row"))
+    return rows.select("page", "table_no", "row_no", F.posexplode("row").alias("col_no", "c")).filter("c is not null").select("page", "table_no", "row_no", "col_no", "c.*")
 
 
 def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -189,19 +193,15 @@ def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 def records(found: DataFrame, fields: dict[str, list[str]], required: list[str]) -> DataFrame:
     """(page, table_no, row_no, one column per field): the rows of each page's first table with all required fields.
 
-    A label that no field knows is left out; of two columns with one field the later one counts.
+    found are grids. A label that no field knows is left out; of two columns with one field the later one counts.
     """
-    label = F.lower("text")
-    field = F.when(F.lit(False), None)
-    for name, aliases in fields.items():
-        field = field.when(label.isin(aliases), name)
-    heads = found.filter("row_no = 0").withColumn("field", field).filter("field is not null").groupBy("page", "table_no", "field").agg(F.max("col_no").alias("col_no"))
-    whole = heads.groupBy("page", "table_no").agg(F.count_if(F.col("field").isin(required)).alias("n")).filter(F.col("n") == len(required)).groupBy("page").agg(F.min("table_no").alias("table_no"))
-    columns = heads.join(whole, ["page", "table_no"])
-    # A table's rows are all of them, those too in which no field has a cell.
-    body = found.filter("row_no > 0").join(whole, ["page", "table_no"])
-    named = body.join(columns, ["page", "table_no", "col_no"], "left")
-    return named.groupBy("page", "table_no", "row_no").agg(*[F.max(F.when(F.col("field") == f, F.nullif("text", F.lit("")))).alias(f) for f in fields])
+    labels = F.transform(F.get("grid", F.lit(0)), lambda c: F.lower(c.text))
+    place = lambda names: F.array_max(F.transform(labels, lambda x, i: F.when(x.isin(names), i)))
+    placed = found.withColumn("_at", F.struct(*[place(names).alias(f) for f, names in fields.items()]))
+    whole = placed.filter(" and ".join(f"_at.`{f}` is not null" for f in required))
+    first = whole.groupBy("page").agg(F.min_by(F.struct("table_no", "grid", "_at"), "table_no").alias("t")).select("page", "t.*")
+    rows = first.select("page", "table_no", "_at", F.posexplode("grid").alias("row_no", "row")).filter("row_no > 0")
+    return rows.select("page", "table_no", "row_no", *[F.nullif(F.get("row", F.col(f"_at.`{f}`")).text, F.lit("")).alias(f) for f in fields])
 
 
 def portal_date(text: Column) -> Column:
@@ -211,7 +211,7 @@ def portal_date(text: Column) -> Column:
 
 def report_transactions(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page, row_number, fields, reason): the transactions of reports, and rows that lack a field or a valid date with the reason."""
-    rows = records(cells(pages, id_col, html_col), FIELDS, REQUIRED)
+    rows = records(grids(pages, id_col, html_col), FIELDS, REQUIRED)
     lacking = F.array_compact(F.array(*[F.when(F.col(f"`{f}`").isNull(), f) for f in NEEDED]))
     day = portal_date(F.col("transaction date"))
     reason = F.when(F.size(lacking) > 0, F.concat(F.lit("missing required field(s): "), F.array_join(lacking, ", "))).when(day.isNull(), "invalid transaction date")
