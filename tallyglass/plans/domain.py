@@ -98,7 +98,7 @@ def cluster_context(spark, sf):
     t = windows.gap_clusters(B.trades(spark, sf).select("person_id", "trade_date").distinct(), "person_id", "trade_date", 14)
     g = t.groupBy("person_id", "cluster").agg(F.min("trade_date").alias("cluster_start"), F.max("trade_date").alias("cluster_end"))
     f = B.filings(spark, sf).select("person_id", "filing_id", "filed_date")
-    x = g.join(f, "person_id").filter(C("filed_date").between(F.date_sub("cluster_start", 45), F.date_add("cluster_end", 45)))
+    x = temporal.span_join(g, f, "person_id", "cluster_start", "cluster_end", "filed_date", 45)
     early, late = F.datediff("cluster_start", "filed_date"), F.datediff("filed_date", "cluster_end")
     x = x.withColumn("bucket", F.when(early > 0, "before").when(late > 0, "after").otherwise("during")).withColumn("distance", F.greatest(early, late, F.lit(0)))
     return windows.top_per_group(x, ["person_id", "cluster_start", "bucket"], ["distance", "filing_id"], 2).select("person_id", "cluster_start", "bucket", "filing_id", "distance")
@@ -144,7 +144,7 @@ def topic_rules(spark, sf):
     return B.table(spark, sf, "events").select("event_id", F.array_join(hits, "|").alias("topics")).filter("topics <> ''")
 
 
-@query("er6_entity_ids")
+@query("er6_entity_ids", sql("SELECT person_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[(strpos('0123456789abcdef', h[17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS entity_id FROM (SELECT person_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('person:' || full_name)) AS h FROM people)", "people"))
 def entity_ids(spark, sf):
     """Stable version 5 ids of people in the URL namespace."""
     return B.people(spark, sf).select("person_id", T.uuid5_like("6ba7b8119dad11d180b400c04fd430c8", F.concat(F.lit("person:"), C("full_name"))).alias("entity_id"))
@@ -157,10 +157,12 @@ def line_transactions(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(dated).cast("long").alias("n_dated"))
 
 
-@query("v3_series_violations", sql(", n AS (SELECT symbol, date, cents, lag(date) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM series) SELECT symbol, date, date - prev AS gap_days FROM n WHERE cents <= 0 OR date - prev > 10", "series"))
+@query("v3_series_violations", sql(", s AS (SELECT person_id AS symbol, filed_date AS date, max(cents) AS cents FROM filings GROUP BY 1, 2), n AS (SELECT symbol, date, cents, lag(date) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM s) SELECT symbol, date, date - prev AS gap_days FROM n WHERE cents <= 0 OR date - prev > 180", "filings"))
 def series_violations(spark, sf):
-    n = B.series(spark, sf).withColumn("gap_days", F.datediff("date", F.lag("date").over(Window.partitionBy("symbol").orderBy("date"))).cast("long"))
-    return n.filter("cents <= 0 or gap_days > 10").select("symbol", "date", "gap_days")
+    """Values that aren't positive and gaps of over 180 days, in a series for each person."""
+    own = B.filings(spark, sf).groupBy(C("person_id").alias("symbol"), C("filed_date").alias("date")).agg(F.max("cents").alias("cents"))
+    n = own.withColumn("gap_days", F.datediff("date", F.lag("date").over(Window.partitionBy("symbol").orderBy("date"))).cast("long"))
+    return n.filter("cents <= 0 or gap_days > 180").select("symbol", "date", "gap_days")
 
 
 @query("v10_check_constraints", sql("SELECT filing_id, line, CASE WHEN reported_date < trade_date THEN 'reported_before_trade' ELSE 'confidence_out_of_range' END AS violation FROM trades WHERE reported_date < trade_date OR confidence_pct NOT BETWEEN 0 AND 100", "trades"))

@@ -334,9 +334,10 @@ def s2(spark, sf):
     return a.unionByName(b).groupBy("id").agg(F.max_by("name", "p").alias("name"))
 
 
-@query("s4_key_reconciliation", sql("(SELECT person_id, 'no_filing' AS side FROM (SELECT person_id FROM people EXCEPT SELECT person_id FROM filings)) UNION ALL (SELECT person_id, 'no_person' FROM (SELECT person_id FROM filings EXCEPT SELECT person_id FROM people))", "people", "filings"))
+@query("s4_key_reconciliation", sql(", f AS (SELECT DISTINCT user_id * 11 AS person_id FROM civic_events) (SELECT person_id, 'no_filing' AS side FROM (SELECT person_id FROM people EXCEPT SELECT person_id FROM f)) UNION ALL (SELECT person_id, 'no_person' FROM (SELECT person_id FROM f EXCEPT SELECT person_id FROM people))", "people", "civic_events"))
 def s4(spark, sf):
-    p, f = (x(spark, sf).select("person_id").distinct() for x in (B.people, B.filings))
+    """Keys of the index and of the partitions that the other side lacks; users stand for every eleventh person, and beyond."""
+    p, f = B.people(spark, sf).select("person_id").distinct(), B.civic_events(spark, sf).select((C("user_id") * 11).alias("person_id")).distinct()
     return p.join(f, "person_id", "left_anti").withColumn("side", F.lit("no_filing")).unionByName(f.join(p, "person_id", "left_anti").withColumn("side", F.lit("no_person")))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
+
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts by window and type; state older than the watermark is dropped."""
@@ -16,23 +20,31 @@ def latest_state(log: DataFrame, key: str, at: str, status: str) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(status, F.struct(at, status)).alias("status"), F.count(F.lit(1)).alias("n_changes"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drain the available input into an in-memory table and return it; for small aggregates and tests."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Drain the available input into a table of the shared folder: each trigger writes the groups that it changed.
 
+    A trigger that runs again after a failure writes the same place again. The last trigger's row of a group counts.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/tallyglass/{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/trigger={n}")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema(f"{stream.schema.toDDL()}, trigger long").parquet(f"{folder}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "trigger").alias("r")).select(*keys, "r.*")
 
-def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return run_to_table(event_windows(events, "1 day"), "event_windows")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return run_to_table(event_windows(_events(spark, sf), "1 day"), "event_windows", ["window_start", "event_type"])
 
 
 def stream_review_state(spark: SparkSession, sf: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return run_to_table(latest_state(log, "user_id", "ts", "event_type"), "review_state")
+    return run_to_table(latest_state(_events(spark, sf), "user_id", "ts", "event_type"), "review_state", ["user_id"])
 
 
 QUERIES = {"stream_event_windows": stream_event_windows, "stream_review_state": stream_review_state}
