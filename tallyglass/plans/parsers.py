@@ -1,7 +1,9 @@
 """Disclosure text as transactions: metadata, delimited tables, line rows, confidence, and the fallback between them.
 
-All of it is native: a document is split into lines once, and a line is read by regular expressions. The rows come from
-`filing_texts`, disclosure texts made of the star schema's filings and trades in three layouts (delimited table, plain
+All of it is native, and one pass over a document: it is split into lines once, the lines are read by regular expressions
+within its row, and only transactions are exploded, without a shuffle. Delimited fields may be quoted as in CSV, with
+doubled quotes; a quoted field ends with its line. Where two columns of a table stand for one field the later one counts;
+lines end with LF, CR or both. The rows come from `filing_texts`, disclosure texts made of the star schema's filings and trades in three layouts (delimited table, plain
 lines, and a notice without transactions).
 """
 
@@ -34,6 +36,10 @@ METADATA = {
     "report_type": r"report type|filing type|form|type of report",
     "filing_date": r"filing date|filed|date filed|date of filing",
     "agency": r"agency|department|office",
+    "position": r"position|title|position title",
+    "court": r"court|judicial station",
+    "reporting_period": r"reporting period|period covered",
+    "report_year": r"report year|calendar year",
     "report_status": r"report status|status",
 }
 DELIMITERS = ["\t", ",", "|"]
@@ -90,24 +96,38 @@ def confidence(asset: Column, date: Column, amount: Column, action: Column) -> C
     return F.round((has(asset, 95) + has(date, 95) + has(amount, 90) + kind) / 4).cast("int")
 
 
-def lines(texts: DataFrame) -> DataFrame:
-    """(filing_id, row_number from 1, line with white space collapsed) of the lines with text."""
-    cut = texts.select("filing_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    return cut.select("filing_id", (C("at") + 1).alias("row_number"), "raw", F.trim(F.regexp_replace("raw", "\\s+", " ")).alias("line")).filter("line <> ''")
+def numbered(text: Column) -> Column:
+    """array<(n from 1, raw, line with white space collapsed)> of the lines with text."""
+    cut = F.transform(F.split(text, "\\r\\n|\\r|\\n"), lambda x, i: F.struct((i + 1).alias("n"), x.alias("raw"), F.trim(F.regexp_replace(x, "\\s+", " ")).alias("line")))
+    return F.filter(cut, lambda r: r.line != "")
+
+
+def line_rows(found: Column) -> Column:
+    """The transactions of numbered lines with a date, an amount and an action word; the asset stands before the date."""
+    read = F.transform(found, lambda r: F.struct(r.n.alias("n"), r.line.alias("line"), F.regexp_extract(r.line, DATE, 1).alias("date"), F.regexp_extract(r.line, AMOUNT, 1).alias("amount"), action_of(r.line).alias("action")))
+    edges = r"^[ ,\-;|]+|[ ,\-;|]+$"
+    with_asset = F.transform(F.filter(read, lambda r: (r.date != "") & (r.amount != "") & r.action.isNotNull()), lambda r: F.struct(
+        r.alias("r"), F.regexp_replace(F.split_part(r.line, r.date, F.lit(1)), edges, "").alias("before"), F.nullif(F.regexp_replace(F.substr(r.line, F.position(r.amount, r.line) + F.length(r.amount)), edges, ""), F.lit("")).alias("comment"),
+    ))
+    named = F.transform(with_asset, lambda x: F.struct(x.r.alias("r"), x.before.alias("before"), x.comment.alias("comment"), F.nullif(F.regexp_extract(x.before, r"\(([A-Z]{1,6})\)", 1), F.lit("")).alias("ticker")))
+    bare = lambda x: F.nullif(F.trim(F.regexp_replace(F.replace(x.before, F.concat(F.lit("("), x.ticker, F.lit(")")), F.lit("")), "\\s+", " ")), F.lit(""))
+    asset = lambda x: F.when(x.ticker.isNotNull(), F.coalesce(bare(x), x.before)).otherwise(x.before)
+    return F.transform(named, lambda x: _row(x.r.n, asset(x), x.ticker, x.r.action, x.r.date, x.r.amount, x.comment))
+
+
+def _row(n: Column, asset: Column, ticker: Column, action: Column, date: Column, amount: Column, comment: Column) -> Column:
+    return F.struct(
+        n.alias("row_number"), asset.alias("asset"), ticker.alias("ticker"), action.alias("action"), iso_date(date).alias("date"), amount.alias("amount"), comment.alias("comment"), confidence(asset, date, amount, action).alias("confidence_pct")
+    )
+
+
+def _exploded(texts: DataFrame, rows: Column, *more: Column) -> DataFrame:
+    return texts.select("filing_id", F.explode(rows).alias("r"), *more).select("filing_id", "r.*", *[c for c in ("parser",) if more])
 
 
 def line_transactions(texts: DataFrame) -> DataFrame:
-    """A transaction of every line with a date, an amount and an action word; the asset stands before the date."""
-    rows = lines(texts).withColumn("date", F.regexp_extract("line", DATE, 1)).withColumn("amount", F.regexp_extract("line", AMOUNT, 1)).withColumn("action", action_of(C("line")))
-    rows = rows.filter("date <> '' and amount <> '' and action is not null")
-    before = F.regexp_replace(F.expr("substring_index(line, date, 1)"), r"^[ ,\-;|]+|[ ,\-;|]+$", "")
-    ticker = F.nullif(F.regexp_extract(before, r"\(([A-Z]{1,6})\)", 1), F.lit(""))
-    bare = F.nullif(F.trim(F.regexp_replace(F.replace(before, F.concat(F.lit("("), ticker, F.lit(")")), F.lit("")), "\\s+", " ")), F.lit(""))
-    asset = F.when(ticker.isNotNull(), F.coalesce(bare, before)).otherwise(before)
-    after = F.expr("substr(line, instr(line, amount) + length(amount))")
-    comment = F.nullif(F.regexp_replace(after, r"^[ ,\-;|]+|[ ,\-;|]+$", ""), F.lit(""))
-    rows = rows.select("filing_id", "row_number", asset.alias("asset"), ticker.alias("ticker"), "action", iso_date(C("date")).alias("date"), "amount", comment.alias("comment"))
-    return rows.withColumn("confidence_pct", confidence(C("asset"), C("date"), C("amount"), C("action")))
+    """A transaction of every line with a date, an amount and an action word."""
+    return _exploded(texts, line_rows(numbered(C("text"))))
 
 
 _LINES = r"""raw_lines AS (SELECT filing_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS row_number FROM texts),
@@ -134,13 +154,29 @@ def field_of(name: Column) -> Column:
     return out
 
 
+def split_fields(line: Column, delimiter: str) -> Column:
+    """The fields of a delimited line; one that begins with a quote reaches to the closing quote, doubled quotes are one."""
+    d = {"\t": "\\t", "|": "\\|"}.get(delimiter, delimiter)
+    quoted = '"[^"]*+(?:""[^"]*+)*+'
+    raw = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f'{d}({quoted}(?:"[^{d}]*+|$)|[^{d}]*+)'), F.lit(1))
+    inside = lambda x: F.replace(F.regexp_extract(x, f"^({quoted})", 1), F.lit('""'), F.lit('"'))
+    rest = lambda x: F.regexp_extract(x, f'^{quoted}"?(.*)$', 1)
+    return F.transform(raw, lambda x: F.when(F.startswith(x, F.lit('"')), F.concat(F.substr(inside(x), F.lit(2)), rest(x))).otherwise(x))
+
+
+def header(found: Column) -> Column:
+    """(n, delimiter, fields) of the first numbered line with three known headers, an asset among them; null if none."""
+    one = lambda r, d: F.struct(F.lit(d).alias("delimiter"), F.transform(split_fields(r.raw, d), field_of).alias("fields"))
+    known = lambda c: (F.size(F.filter(c.fields, lambda f: f.isNotNull())) >= 3) & F.array_contains(c.fields, "asset")
+    read = lambda r: F.filter(F.array(*[F.when(F.contains(r.raw, F.lit(d)), one(r, d)) for d in DELIMITERS]), lambda c: c.isNotNull() & known(c))
+    heads = F.filter(F.transform(found, lambda r: F.struct(r.n.alias("n"), F.get(read(r), F.lit(0)).alias("h"))), lambda x: x.h.isNotNull())
+    first = F.get(heads, F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first.n.alias("n"), first.h.delimiter.alias("delimiter"), first.h.fields.alias("fields")))
+
+
 def tables(texts: DataFrame) -> DataFrame:
     """(filing_id, header_line, delimiter, fields) of each text's first line with three known headers, an asset among them."""
-    cells = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(d).alias("delimiter"), F.transform(F.split("raw", f"\\{d}" if d == "|" else d), field_of).alias("fields")) for k, d in enumerate(DELIMITERS)])
-    known = F.filter(cells, lambda c: (F.size(F.filter(c.fields, lambda f: f.isNotNull())) >= 3) & F.array_contains(c.fields, "asset"))
-    heads = lines(texts).select("filing_id", "row_number", known.alias("known")).filter(F.size("known") > 0)
-    first = heads.groupBy("filing_id").agg(F.min_by(F.struct("row_number", C("known")[0].alias("h")), "row_number").alias("m"))
-    return first.select("filing_id", C("m.row_number").alias("header_line"), C("m.h.delimiter").alias("delimiter"), C("m.h.fields").alias("fields"))
+    return texts.select("filing_id", header(numbered(C("text"))).alias("h")).filter("h is not null").select("filing_id", C("h.n").alias("header_line"), "h.delimiter", "h.fields")
 
 
 _TABLES = r"""heads AS (SELECT filing_id, min(row_number) AS header_line FROM lines WHERE regexp_matches(lower(raw), '^description\|symbol\|type\|date\|amount$') GROUP BY 1)"""
@@ -151,20 +187,25 @@ def u3(spark, sf):
     return tables(filing_texts(spark, sf)).select("filing_id", "header_line", "delimiter", F.array_join(F.transform("fields", lambda f: F.coalesce(f, F.lit("?"))), ",").alias("fields"))
 
 
+def table_rows(found: Column, head: Column) -> Column:
+    """The transactions of the rows under a header that have an asset, date, amount and action."""
+    body = F.transform(F.filter(found, lambda r: r.n > head.n), lambda r, i: F.struct((i + 1).alias("n"), r.raw.alias("raw")))
+    cut = lambda r: F.when(head.delimiter == "\t", split_fields(r.raw, "\t")).when(head.delimiter == ",", split_fields(r.raw, ",")).otherwise(split_fields(r.raw, "|"))
+    cells = F.transform(body, lambda r: F.struct(r.n.alias("n"), cut(r).alias("cells")))
+    place = lambda name: F.array_max(F.transform(head.fields, lambda f, i: F.when(f == name, i)))
+    get = lambda x, name: F.nullif(F.trim(F.regexp_replace(F.get(x.cells, place(name)), "\\s+", " ")), F.lit(""))
+    named = F.transform(cells, lambda x: F.struct(x.n.alias("n"), *[get(x, f).alias(f) for f in ("asset", "ticker", "action", "date", "amount", "comment")]))
+    whole = F.filter(named, lambda x: x.asset.isNotNull() & x.date.isNotNull() & x.amount.isNotNull() & x.action.isNotNull())
+    short = lambda x: F.lower(x.action)
+    action = lambda x: F.when(short(x) == "p", "BUY").when(short(x).isin("s", "s (partial)", "s (full)"), "SELL").when(short(x) == "e", "EXCHANGE").otherwise(F.coalesce(action_of(x.action), F.upper(x.action)))
+    return F.transform(whole, lambda x: _row(x.n, x.asset, x.ticker, action(x), x.date, x.amount, x.comment))
+
+
 def table_transactions(texts: DataFrame) -> DataFrame:
     """A transaction of every row under a detected header that has an asset, date, amount and action."""
-    rows = lines(texts).join(tables(texts), "filing_id").filter("row_number > header_line")
-    cells = F.map_from_arrays(
-        F.transform("fields", lambda f, k: F.coalesce(f, F.concat(F.lit("?"), k))),
-        F.transform("fields", lambda _, k: F.trim(F.get(F.split("raw", F.when(C("delimiter") == "|", "\\|").otherwise(C("delimiter"))), k))),
-    )
-    get = lambda f: F.nullif(F.element_at("cells", F.lit(f)), F.lit(""))
-    rows = rows.withColumn("cells", cells).filter(get("asset").isNotNull() & get("date").isNotNull() & get("amount").isNotNull() & get("action").isNotNull())
-    action = F.coalesce(action_of(get("action")), F.upper(get("action")))
-    short = F.lower(get("action"))
-    action = F.when(short == "p", "BUY").when(short.isin("s", "s (partial)", "s (full)"), "SELL").when(short == "e", "EXCHANGE").otherwise(action)
-    rows = rows.select("filing_id", (C("row_number") - C("header_line")).alias("row_number"), get("asset").alias("asset"), get("ticker").alias("ticker"), action.alias("action"), iso_date(get("date")).alias("date"), get("amount").alias("amount"), F.lit(None).cast("string").alias("comment"))
-    return rows.withColumn("confidence_pct", confidence(C("asset"), C("date"), C("amount"), C("action")))
+    found = texts.select("filing_id", numbered(C("text")).alias("found"))
+    headed = found.withColumn("h", header(C("found"))).filter("h is not null")
+    return _exploded(headed, table_rows(C("found"), C("h")))
 
 
 _TABLE_ROWS = r"""table_rows AS (SELECT filing_id, CAST(row_number - header_line AS INTEGER) AS row_number, split_part(raw, '|', 1) AS asset, split_part(raw, '|', 2) AS ticker, upper(split_part(raw, '|', 3)) AS action,
@@ -174,10 +215,11 @@ _TABLE_ROWS = r"""table_rows AS (SELECT filing_id, CAST(row_number - header_line
 @query("u1_disclosure_transactions", sql(f", {_TEXTS}, {_LINES}, {_TABLES}, {_TABLE_ROWS}, both_rows AS (SELECT *, 'table' AS parser FROM table_rows UNION ALL SELECT *, 'line' FROM line_rows WHERE filing_id NOT IN (SELECT filing_id FROM table_rows)) SELECT *, CAST(round((95 + 95 + 90 + 90) / 4.0) AS INTEGER) AS confidence_pct FROM both_rows", "trades"))
 def u1(spark, sf):
     """The fallback chain: a text's table rows if it has any, else its line rows (U1, U8)."""
-    texts = filing_texts(spark, sf)
-    table = table_transactions(texts)
-    line = line_transactions(texts).join(table.select("filing_id").distinct(), "filing_id", "left_anti")
-    return table.withColumn("parser", F.lit("table")).unionByName(line.withColumn("parser", F.lit("line")))
+    found = filing_texts(spark, sf).select("filing_id", numbered(C("text")).alias("found"))
+    headed = found.withColumn("h", header(C("found")))
+    tabled = headed.withColumn("t", F.when(C("h").isNotNull(), table_rows(C("found"), C("h"))))
+    any_row = F.coalesce(F.size("t"), F.lit(0)) > 0
+    return _exploded(tabled, F.when(any_row, C("t")).otherwise(line_rows(C("found"))), F.when(any_row, "table").otherwise("line").alias("parser"))
 
 
 @query("u7_field_confidence", sql(", c AS (SELECT filing_id, line, CASE WHEN line % 4 = 0 THEN '' ELSE ticker END AS asset, CASE WHEN line % 3 = 0 THEN NULL ELSE 'd' END AS date, CASE WHEN line % 5 = 0 THEN '' ELSE 'a' END AS amount, CASE WHEN line % 2 = 0 THEN 'GIFT' ELSE action END AS kind FROM trades) SELECT filing_id, line, CAST(floor(((CASE WHEN length(asset) > 0 THEN 95 ELSE 0 END + CASE WHEN length(date) > 0 THEN 95 ELSE 0 END + CASE WHEN length(amount) > 0 THEN 90 ELSE 0 END + CASE WHEN kind IN ('BUY', 'SELL', 'EXCHANGE', 'OTHER') THEN 90 ELSE 45 END) / 4.0) + 0.5) AS INTEGER) AS confidence_pct FROM c", "trades"))
@@ -197,7 +239,7 @@ def metadata(texts: DataFrame) -> DataFrame:
     return texts.select("filing_id", *[v.alias(k) for k, v in first.items()], amended.alias("is_amendment"))
 
 
-@query("u2_metadata", sql(f", {_TEXTS} SELECT filing_id, 'Person ' || filing_id || ' Lee' AS filer_name, 'Form 278-T' || CASE WHEN filing_id % 5 = 0 THEN ' (Amended)' ELSE '' END AS report_type, CAST(filed_date AS VARCHAR) AS filing_date, CAST(NULL AS VARCHAR) AS agency, CAST(NULL AS VARCHAR) AS report_status, filing_id % 5 = 0 AS is_amendment FROM texts JOIN filings USING (filing_id)", "trades", "filings"))
+@query("u2_metadata", sql(f", {_TEXTS} SELECT filing_id, 'Person ' || filing_id || ' Lee' AS filer_name, 'Form 278-T' || CASE WHEN filing_id % 5 = 0 THEN ' (Amended)' ELSE '' END AS report_type, CAST(filed_date AS VARCHAR) AS filing_date, CAST(NULL AS VARCHAR) AS agency, CAST(NULL AS VARCHAR) AS position, CAST(NULL AS VARCHAR) AS court, CAST(NULL AS VARCHAR) AS reporting_period, CAST(NULL AS VARCHAR) AS report_year, CAST(NULL AS VARCHAR) AS report_status, filing_id % 5 = 0 AS is_amendment FROM texts JOIN filings USING (filing_id)", "trades", "filings"))
 def u2(spark, sf):
     return metadata(filing_texts(spark, sf))
 
