@@ -1,6 +1,9 @@
 import html
 import re
 
+import pyarrow.parquet as pq
+import pytest
+
 from tallyglass.llm import html_extraction as H
 
 SF = "/root/testdata/sf0.01"
@@ -80,3 +83,37 @@ def test_deep_nesting_is_linear():
         assert H.main_text("<x-y>" * n + "<td>a" * 50).startswith("a")
         took.append(time.process_time() - began)
     assert took[1] < 10 * took[0] + 1
+
+
+ARTICLE = "<h1>A title of its own</h1>" + "".join(f"<p>Paragraph {k} of an ordinary article, with some words, marks and a little more.</p>" for k in range(6))
+AROUND = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>About us</a></li></ul></nav>", "<footer>© 2020 · All rights are reserved by the company, and more.</footer>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div class="layout with-sidebar">%s</div>', '<div class="post no-comments">%s</div>', '<section class="social-science">%s</section>', '<form id="aspnetForm">%s</form>', '<div style="overflow:hidden">%s</div>',
+        '<main class="sidebar"><article class="comment">%s</article></main>', '<article><section class="social-science">%s</section></article>', '<div hidden-by="x" data-hidden="1">%s</div>',
+    ],
+)
+def test_no_article_is_lost_to_a_name(around):
+    want = H.main_text(f"<article>{ARTICLE}</article>")
+    assert want.count("Paragraph") == 6
+    assert H.main_text(AROUND[0] + around % ARTICLE + AROUND[1]) == want
+
+
+def test_hidden_elements_text_with_class_names_and_formulas():
+    html = "<article><p>One two, three.</p><div hidden>Not shown here, at all.</div><div style='color:red; display : none'>Nor this one, either.</div><p class='related-work'>Related work is here, too.</p><p>E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> holds, always.</p></article>"
+    assert H.main_text(html) == "One two, three. Related work is here, too. E = mc2 holds, always."
+
+
+def test_the_ratios_decide(monkeypatch):
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    want = [H.main_text(h) for h in pages]
+    for name in ("FURNITURE_TAGS", "FURNITURE_ROLES", "FURNITURE"):
+        monkeypatch.setattr(H, name, set())
+    assert sum(H.main_text(h) == w for h, w in zip(pages, want, strict=True)) >= 0.95 * len(pages)
+    monkeypatch.undo()
+    monkeypatch.setattr(H, "KEEP_SHARE", 0)
+    monkeypatch.setattr(H, "KEEP_SHARE_INSIDE", 0)
+    assert sum(H.main_text(h) == w for h, w in zip(pages, want, strict=True)) < 0.5 * len(pages)
