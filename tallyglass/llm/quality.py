@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import utf8
-from .sampling import held_out, labelled_sample
+from .sampling import class_counts, held_out, labelled_sample
 
 UPPER = bytes(range(65, 91))
 SYMBOLS = b"#$%&*@^~=+<>{}[]\\_|/"
@@ -61,9 +61,13 @@ def _features(batches):
 
 
 class Ranker:
-    """Linear scores over quantile bins of the features."""
+    """Linear scores over quantile bins of the features.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = 40_000, rounds: int = 400, ridge: float = 1e-4):
+    counts are the rows of each class that the sample stands for; the threshold is the quantile of the scores at the share
+    of poor rows among them, each sampled row counting for those of its class.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, counts: dict[int, int] | None = None, pairs: int = 40_000, rounds: int = 400, ridge: float = 1e-4):
         self.share = (float(y.sum()) + 1) / (len(y) + 2)
         good, poor = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         self.weights = None
@@ -81,8 +85,11 @@ class Ranker:
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w = w - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         self.weights = w
-        s = np.sort(z @ w)
-        at = len(poor)
+        order = np.argsort(z @ w, kind="stable")
+        s = (z @ w)[order]
+        counts = counts or {0: len(poor), 1: len(good)}
+        weight = np.where(y == 1, counts[1] / len(good), counts[0] / len(poor))[order]
+        at = min(max(1, int(np.searchsorted(np.cumsum(weight), counts[0] * (1 - 1e-9))) + 1), len(s) - 1)
         self.threshold = (s[at - 1] + s[at]) / 2
         self.scale = max(1e-6, (np.median((z @ w)[good]) - np.median((z @ w)[poor])) / 8)
 
@@ -103,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_per_cla
     rows = sample.mapInArrow(_features, "x array<double>, y int").collect()
     rows.sort(key=lambda r: (r.y, r.x))
     width = len(features(""))
-    return Ranker(np.array([r.x for r in rows]).reshape(-1, width), np.array([r.y for r in rows]))
+    return Ranker(np.array([r.x for r in rows]).reshape(-1, width), np.array([r.y for r in rows]), class_counts(labels, label, id_col))
 
 
 def _scores(shared, step: int = 1024):

@@ -71,3 +71,37 @@ def test_quality(spark):
     assert len(out) == 245 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == held(r.doc_id) for r in out)
     assert all(r.predicted == int(r.doc_id % 3 != 0) for r in out if r.doc_id is not None and r.doc_id < 1000)
     assert Q.score_quality(docs.limit(0), Q.fit(docs, labels.limit(0))).count() == 0
+
+
+def test_the_quality_threshold_is_the_same_quantile_for_an_evened_sample():
+    from tallyglass.llm.quality import Ranker
+
+    rng = np.random.default_rng(3)
+    good, poor = rng.normal(1.0, 1.0, (6000, 3)), rng.normal(-0.5, 1.0, (600, 3))
+    whole = Ranker(np.concatenate([good, poor]), np.repeat([1, 0], [6000, 600]))
+    even = Ranker(np.concatenate([good[:600], poor]), np.repeat([1, 0], [600, 600]), {0: 600, 1: 6000})
+    plain = Ranker(np.concatenate([good[:600], poor]), np.repeat([1, 0], [600, 600]))
+    rows = np.concatenate([good, poor])
+    share = lambda m: (m.score(rows) < 0.5).mean()
+    assert abs(share(whole) - 600 / 6600) < 0.001
+    assert abs(share(even) - 600 / 6600) < 0.02 < abs(share(plain) - 600 / 6600)
+
+
+def test_quality_gradient_steps_follow_the_logistic_loss():
+    """The fitted weights are near a minimum of the loss on the pairs: small moves along any of them don't lower it."""
+    from tallyglass.llm.quality import Ranker
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0.4, 1.0, (300, 2)), rng.normal(-0.4, 1.0, (300, 2))])
+    y = np.repeat([1, 0], [300, 300])
+    model = Ranker(x, y, rounds=3000)
+    z = model.expand(x)
+    pick = np.random.default_rng(7)
+    d = z[pick.choice(np.flatnonzero(y == 1), 40_000)] - z[pick.choice(np.flatnonzero(y == 0), 40_000)]
+    loss = lambda w: np.log1p(np.exp(-(d @ w))).mean() + 0.5e-4 * w @ w
+    least = loss(model.weights)
+    for k in range(len(model.weights)):
+        for step in (-0.3, 0.3):
+            w = model.weights.copy()
+            w[k] += step
+            assert loss(w) > least - 1e-3
