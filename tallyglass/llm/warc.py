@@ -173,12 +173,15 @@ class Archive:
         return self.at(pos, total), min(pos + total, self.size)
 
 
-def parse_record(data: bytes) -> dict:
-    """The fields of one record; raises Damaged if a check fails."""
-    end = data.find(EOL * 2)
-    if end < 0 or not re.match(rb"WARC/\d\.\d\r\n", data):
+VERSION = re.compile(rb"WARC/\d\.\d\r\n")
+
+
+def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
+    """The fields of the record at a place, and where it ends; raises Damaged if a check fails."""
+    end = data.find(EOL * 2, at)
+    if end < 0 or not VERSION.match(data, at):
         raise Damaged("no version line")
-    head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in data[:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)}
+    head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)}
     if not head.get("content-length", "").isdigit() or "warc-type" not in head or "warc-record-id" not in head:
         raise Damaged("headers missing")
     n = int(head["content-length"])
@@ -199,7 +202,33 @@ def parse_record(data: bytes) -> dict:
             raise Damaged("payload digest differs")
         digest, length = digest or payload_digest(payload), len(payload)
     name = lambda k: head[k].strip("<>").removeprefix(URN) if k in head else None
-    return {"type": head["warc-type"], "id": name("warc-record-id"), "refers_to": name("warc-refers-to"), "url": head.get("warc-target-uri"), "payload": payload, "digest": digest, "length": length}
+    return {"type": head["warc-type"], "id": name("warc-record-id"), "refers_to": name("warc-refers-to"), "url": head.get("warc-target-uri"), "payload": payload, "digest": digest, "length": length}, end + 4 + n
+
+
+def parse_records(data: bytes):
+    """Yield ("record", fields) and ("gap", reason) of the records of a member, one after the other.
+
+    After a damaged record it goes on at the next version line; a gap names its bytes in the unpacked member.
+    """
+    at, gap, why = 0, None, ""
+    while at < len(data):
+        if gap is None and data[at : at + 2] == EOL:
+            at += 2
+            continue
+        try:
+            fields, end = parse_record(data, at)
+        except Damaged as e:
+            gap, why = (at, str(e)) if gap is None else (gap, why)
+            m = VERSION.search(data, at + 1)
+            at = m.start() if m else len(data)
+            continue
+        if gap is not None:
+            yield "gap", f"{why} (bytes {gap} to {at} of the member)"
+            gap = None
+        yield "record", fields
+        at = end
+    if gap is not None:
+        yield "gap", f"{why} (bytes {gap} to {len(data)} of the member)"
 
 
 def salvage(file):
@@ -218,7 +247,10 @@ def salvage(file):
                 data, end = archive.plain(pos)
             else:
                 raise Damaged("no member or version line")
-            fields = parse_record(data)
+            found = list(parse_records(data))
+            if not any(kind == "record" for kind, _ in found):
+                parse_record(data)
+                raise Damaged("no record")
         except Damaged as e:
             gap, why = (pos, str(e)) if gap is None else (gap, why)
             pos = archive.next_start(pos + 1)
@@ -226,7 +258,8 @@ def salvage(file):
         if gap is not None:
             yield "gap", gap, pos, why
             gap = None
-        yield "record", pos, end, fields
+        for kind, x in found:
+            yield kind, pos, end, x
         pos = end
     if gap is not None:
         yield "gap", gap, archive.size, why

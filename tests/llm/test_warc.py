@@ -69,3 +69,20 @@ def test_salvage():
         edges = sorted((x[1], x[2]) for x in found)
         assert edges[0][0] == 0 and edges[-1][1] == len(data) and all(a[1] <= b[0] for a, b in zip(edges, edges[1:], strict=False))
     assert list(W.salvage(Mem(b""))) == [] and [x[0] for x in W.salvage(Mem(b"nothing here"))] == ["gap"]
+
+
+def test_several_records_in_one_member():
+    payloads = [b"one", b"", b"three" * 50, b"four", b"five"]
+    raw = [bytearray(W.record_bytes(str(i), "http://x/", p, W.payload_digest(p), None)) for i, p in enumerate(payloads)]
+    whole = W._member(b"".join(raw))
+    found = list(W.salvage(Mem(whole)))
+    assert [(x[0], x[1], x[2], x[3]["id"], x[3]["payload"]) for x in found] == [("record", 0, len(whole), str(i), p) for i, p in enumerate(payloads)]
+    raw[2][-20] ^= 0xFF
+    hurt = W._member(b"".join(raw) + b"WARC/1.1\r\nbroken: yes\r\n\r\n") + W._member(bytes(raw[4]))
+    found = list(W.salvage(Mem(hurt)))
+    assert [x[3]["id"] for x in found if x[0] == "record"] == ["0", "1", "3", "4", "4"]
+    gaps = [x for x in found if x[0] == "gap"]
+    lo = len(raw[0]) + len(raw[1])
+    assert len(gaps) == 2 and gaps[0][3].endswith(f"(bytes {lo} to {lo + len(raw[2])} of the member)") and "headers missing" in gaps[1][3]
+    alone = W._member(bytes(raw[2]))
+    assert [(x[0], x[1], x[2]) for x in W.salvage(Mem(alone + W._member(bytes(raw[0]))))][0] == ("gap", 0, len(alone))
