@@ -142,14 +142,9 @@ class WordTokens:
         return out
 
 
-#: A worker's word memory, bounded, for the tasks that it runs one after the other.
-_tokens: dict[str, WordTokens] = {}
-
-
 def _pieces(path: str, capacity: int, keep_ids: bool, step: int = 256):
     def run(batches):
-        tokens = _tokens.get(path) or WordTokens(path)
-        _tokens[path] = tokens
+        tokens = WordTokens(path)  # goes with the task: what a worker keeps adds to every later stage's peak
         part, rank = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
