@@ -162,6 +162,8 @@ def current(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
 def _write(rows: DataFrame, root: str, key: str) -> tuple[str, list[str]]:
     """Write rows as a new version of their partitions; the version and the partitions, as the folders have them."""
     version = uuid.uuid4().hex
+    if rows.isEmpty():
+        return version, []
     rows.withColumn("version", F.lit(version)).repartition(key).write.mode("append").partitionBy(key, "version").parquet(f"{root}/data")
     there = rows.sparkSession.read.option("basePath", f"{root}/data").parquet(f"{root}/data").filter(F.col("version") == version)
     values = [r[0] for r in there.select(F.col(key).cast("string")).distinct().collect()]
@@ -185,8 +187,10 @@ def publish(rows: DataFrame, root: str, key: str, replace: bool = True) -> int:
 
 
 def read(spark: SparkSession, root: str, key: str, values: list | None = None) -> DataFrame:
-    """The newest release, or its partitions with the given values; other files aren't opened."""
-    _, partitions = current(spark, root)
+    """The newest release, or its partitions with the given values; other files aren't opened. Without any release an error."""
+    number, partitions = current(spark, root)
+    if not number:
+        raise FileNotFoundError(f"{root} has no release")
     wanted = {k: v for k, v in partitions.items() if values is None or k in {str(x) for x in values}}
     rows = spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data")
     by_version: dict[str, list[str]] = {}

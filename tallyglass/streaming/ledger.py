@@ -134,7 +134,10 @@ class Reviews(StatefulProcessor):
 
 
 def stream(log: DataFrame) -> DataFrame:
-    """Outcomes of a stream of single decisions, appended as they come; state in the RocksDB store."""
+    """Outcomes of a stream of single decisions, appended as they come.
+
+    The operator needs the RocksDB state store, which is set in the session here and must still be set when the query starts.
+    """
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = log.filter("record is not null").select("record", "seq", "op", "expected_status", "expected_revision", "session_error")
     return rows.groupBy("record").transformWithStateInPandas(Reviews(), "record long, seq long, op string, reason string, accepted boolean, status string, revision long", "Append", "None")

@@ -33,6 +33,10 @@ def test_a_release_is_seen_whole_or_not_at_all(spark, tmp_path):
     with pytest.raises(ValueError, match="null"):
         R.publish(spark.createDataFrame([("a", None, 1)], ROWS), root, "year")
     assert R.publish(first, root, "year") == 3 and rows(R.read(spark, root, "year")) == rows(first)
+    assert R.publish(first.filter("false"), root, "year", replace=False) == 4 and rows(R.read(spark, root, "year")) == rows(first)
+    assert R.publish(first.filter("false"), root, "year") == 5 and R.read(spark, root, "year").collect() == []
+    with pytest.raises(FileNotFoundError):
+        R.read(spark, f"{root}/none", "year")
 
 
 def test_reads_open_only_the_partitions_asked_for(spark, tmp_path):
