@@ -9,30 +9,6 @@ from .temporal import asof_join
 from .windows import merged_periods
 
 
-def best_match(rows: DataFrame, scored: DataFrame, row_key: str, candidate: str, least: int) -> DataFrame:
-    """(row_key, match_status, match_score, candidate, n_candidates) for each of the rows.
-
-    A candidate counts with its highest score. The verdict is matched for a single best one with at least `least`
-    points, ambiguous where the best ones tie, unmatched below that or without candidates. Only matches name one.
-    """
-    best = scored.groupBy(row_key, candidate).agg(F.max("score").alias("score"))
-    by_row = Window.partitionBy(row_key)
-    order = by_row.orderBy(F.col("score").desc(), candidate)
-    ranked = best.select(
-        row_key, candidate, "score", F.row_number().over(order).alias("rank"), F.lead("score").over(order).alias("next"), F.count(F.lit(1)).over(by_row).alias("n")
-    ).filter("rank = 1")
-    status = F.when(F.coalesce("score", F.lit(0)) < least, "unmatched").when(F.col("score") == F.col("next"), "ambiguous").otherwise("matched")
-    out = rows.select(row_key).join(ranked, row_key, "left").withColumn("match_status", status)
-    named = F.when(F.col("match_status") == "matched", F.col(candidate))
-    return out.select(row_key, "match_status", F.coalesce("score", F.lit(0)).cast("int").alias("match_score"), named.alias(candidate), F.coalesce("n", F.lit(0)).alias("n_candidates"))
-
-
-def active_first(pairs: DataFrame, row_key: str, active) -> DataFrame:
-    """The active candidates of a row, or all of them where none is active."""
-    any_active = F.max(active).over(Window.partitionBy(row_key))
-    return pairs.withColumn("_active", active).withColumn("_any", any_active).filter("_active or not _any").drop("_active", "_any")
-
-
 def calendar(spans: DataFrame, key: str, start: str, end: str, candidate: str) -> DataFrame:
     """(key, date, n, only): from that date to the key's next one, how many candidates have a span over the day.
 

@@ -33,6 +33,26 @@ def test_member_match_is_what_all_pairs_give(spark):
     assert got == want and {w[0] for w in want.values()} == {"unmatched", "ambiguous", "matched"}
 
 
+def test_roll_call_match_is_what_all_pairs_give(spark):
+    held, frame = roles(spark, 40)
+    people = [(k, k % 3, DAY + timedelta(k * 29 % 700 - 60), ["supplier", "s", "sam", "other"][k % 4], ["1", "000000003", "3", "x"][k // 4 % 4]) for k in range(96)]
+    got = {r.person_id: tuple(r)[1:] for r in P.roll_call_match(spark.createDataFrame(people, "person_id long, state int, day date, first string, last string"), frame).collect()}
+    want = {}
+    for k, state, day, first, last in people:
+        pool = [h for h in held if h[3] == state]
+        pool = [h for h in pool if h[5] <= day and (h[6] is None or day <= h[6])] or pool
+        best = {}
+        for role, _, name, *_ in pool:
+            if name.endswith(last):
+                best[role] = 100 if name == f"{first}#{last}" else 90 if name.startswith(first) else 70 if name[0] == first[0] else 50
+        top = max(best.values(), default=0)
+        who = [w for w, s in best.items() if s == top]
+        status = "unmatched" if not top else "ambiguous" if len(who) > 1 else "matched"
+        want[k] = (status, top, who[0] if status == "matched" else None, len(best))
+    assert got == want and {w[0] for w in want.values()} == {"unmatched", "ambiguous", "matched"}
+    assert {w[1] for w in want.values()} == {0, 50, 70, 90, 100}
+
+
 def test_a_calendar_has_two_rows_a_span_at_most(spark):
     _, frame = roles(spark, 500)
     days = identity.calendar(frame.withColumn("until", F.coalesce("b", "a")), "state", "a", "until", "role_id")
