@@ -98,38 +98,44 @@ def role_on(rows: DataFrame, roles: DataFrame, at: str, keys: list[str]) -> Data
     return rows.join(_held(roles, keys), keys, "left").withColumn("role", F.get(_in_office(at), F.lit(0))).drop("_held")
 
 
+def _best_by_span(asked: DataFrame, plain: DataFrame, keys: list[str]) -> DataFrame:
+    """For each name asked for (_first, _last) and span of office: `top`, the best score, how many roles have it, one of them."""
+    length = F.length("_name")
+    endings = F.transform(F.sequence(F.least(length, F.lit(1)), length), lambda n: F.substring(F.col("_name"), length - n + 1, n))
+    met = asked.join(plain.withColumn("_last", F.explode(endings)), [*keys, "_last"])
+    score = (
+        F.when(F.col("_name") == F.concat_ws(" ", "_first", "_last"), 100)
+        .when(F.startswith("_name", "_first"), 90)
+        .when(F.substring("_name", 1, 1) == F.substring("_first", 1, 1), 70)
+        .otherwise(50)
+    )
+    entry = F.struct(*[c for c in ("external_role_id", "external_person_id", "full_name", "source_url", "bioguide_id", "party", "state", "service_start", "service_end")])
+    by_score = met.groupBy(*keys, "_first", "_last", "service_start", "service_end", score.alias("score")).agg(F.count(F.lit(1)).alias("n"), F.min(entry).alias("role"))
+    return by_score.groupBy(*keys, "_first", "_last", "service_start", "service_end").agg(F.max(F.struct("score", "n", "role")).alias("top"))
+
+
 def role_by_name(rows: DataFrame, roles: DataFrame, at: str, keys: list[str], first: str, last: str) -> DataFrame:
     """rows plus `role`: the single best name among the roles in office with equal keys, or null.
 
-    An equal name scores 100, equal beginning and ending 90, equal ending and initial 70, equal ending 50. Endings meet by
-    the last two letters of the name, so a state's roles aren't all compared; whether anyone is in office is asked of the
-    state as a whole first.
+    An equal name scores 100, equal beginning and ending 90, equal ending and initial 70, equal ending 50. Each name that is
+    asked for meets the roles that end with it, once; what is kept of them is, for each span of office, the best score, how
+    many roles have it and one of these. So a row sees the few spans of a name, however many roles share it. Whether anyone
+    is in office is asked of the state as a whole first.
     """
-    names = roles.filter(F.col("state").isNotNull()).withColumn("_name", plain_name(F.col("full_name")))
-    endings = F.array_distinct(F.array(F.substring("_name", -2, 2), F.substring("_name", -1, 1)))
-    by_ending = names.withColumn("_ending", F.explode(endings)).groupBy(*keys, "_ending").agg(
-        F.array_sort(F.collect_list(F.struct("external_role_id", "external_person_id", "full_name", "source_url", "bioguide_id", "party", "state", "service_start", "service_end", "_name"))).alias("_held")
-    )
-    spans = names.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("service_start", "service_end"))).alias("_spans"))
-    a, z = plain_name(F.col(first)), plain_name(F.col(last))
+    plain = roles.filter(F.col("state").isNotNull()).withColumn("_name", plain_name(F.col("full_name")))
+    spans = plain.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("service_start", "service_end"))).alias("_spans"))
     known = F.coalesce((F.length(first) > 0) & (F.length(last) > 0), F.lit(False))
-    rows = rows.withColumn("_first", F.when(known, a)).withColumn("_last", F.when(known, z)).withColumn("_ending", F.substring("_last", -2, 2))
-    met = rows.join(spans, keys, "left").join(by_ending, [*keys, "_ending"], "left")
-    anyone = F.exists("_spans", lambda s: active(s.service_start, s.service_end, F.col(at)))
-    pool = F.when(anyone, F.filter("_held", lambda r: active(r.service_start, r.service_end, F.col(at)))).otherwise(F.col("_held"))
-    ends = lambda r: F.endswith(r["_name"], F.col("_last"))
-    score = lambda r: (
-        F.when(r["_name"] == F.concat_ws(" ", "_first", "_last"), 100)
-        .when(ends(r) & F.startswith(r["_name"], F.col("_first")), 90)
-        .when(ends(r) & (F.substring(r["_name"], 1, 1) == F.substring("_first", 1, 1)), 70)
-        .when(ends(r), 50)
-        .otherwise(0)
-    )
-    scored = met.withColumn("_scored", F.transform(F.coalesce(pool, F.array()), lambda r: F.struct(score(r).alias("score"), r.dropFields("_name").alias("role"))))
-    top = F.array_max(F.transform("_scored", lambda s: s.score))
-    best = F.filter("_scored", lambda s: (s.score == top) & (s.score > 0))
-    out = scored.withColumn("role", F.when(F.size(best) == 1, F.get(best, F.lit(0)).role))
-    return out.drop("_first", "_last", "_ending", "_spans", "_held", "_scored")
+    rows = rows.withColumn("_first", F.when(known, plain_name(F.col(first)))).withColumn("_last", F.when(known, plain_name(F.col(last))))
+    by_span = _best_by_span(rows.select(*keys, "_first", "_last").filter("_last is not null").distinct(), plain, keys)
+    held = by_span.groupBy(*keys, "_first", "_last").agg(F.collect_list(F.struct("service_start", "service_end", "top")).alias("_held"))
+    found = rows.join(spans, keys, "left").join(held, [*keys, "_first", "_last"], "left")
+    inside = lambda s: active(s.service_start, s.service_end, F.col(at))
+    pool = F.when(F.exists("_spans", inside), F.filter("_held", inside)).otherwise(F.col("_held"))
+    # The running best over the spans: its score, how many have it, and one that has it.
+    start = F.struct(F.lit(0).alias("score"), F.lit(0).cast("long").alias("n"), F.get(F.transform("_held", lambda s: s.top.role), F.lit(0)).alias("role"))
+    better = lambda best, s: F.when(s.top.score > best.score, s.top).when(s.top.score == best.score, F.struct(best.score.alias("score"), (best.n + s.top.n).alias("n"), best.role.alias("role"))).otherwise(best)
+    out = found.withColumn("_best", F.reduce(F.coalesce(pool, F.array()), start, better))
+    return out.withColumn("role", F.when(F.col("_best.n") == 1, F.col("_best.role"))).drop("_first", "_last", "_spans", "_held", "_best")
 
 
 def president_on(events: DataFrame, presidents: DataFrame, at: str) -> DataFrame:

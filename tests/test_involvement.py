@@ -40,6 +40,18 @@ def test_role_by_name_scores_and_refuses_ties(spark):
     assert got == {c[0]: c[4] for c in cases}
 
 
+def test_roles_that_share_a_name_and_span_are_one_row_for_it(spark):
+    d = date(2001, 1, 3)
+    many = spark.createDataFrame([(f"r{k:03d}", f"p{k}", f"{'Ann' if k % 2 else 'Bob'} Lee", "u", None, "D", "TX", d, None if k < 200 else date(2002, 1, 1), 107, "Senate") for k in range(400)] + [("one", "p", "Al Lee", "u", None, "D", "TX", date(2002, 1, 1), None, 107, "Senate")], ROLE)
+    keys = ["congress", "chamber", "state"]
+    asked = spark.createDataFrame([(107, "Senate", "TX", "ann", "lee"), (107, "Senate", "TX", "al", "lee")], "congress int, chamber string, state string, _first string, _last string")
+    spans = I._best_by_span(asked, many.withColumn("_name", I.plain_name(F.col("full_name"))), keys).collect()
+    assert len(spans) == 6 and {r.top.n for r in spans if r._first == "ann"} == {100, 1}
+    rows = asked.select(*keys, F.col("_first").alias("first"), F.col("_last").alias("last")).crossJoin(spark.createDataFrame([(date(2001, 6, 1),), (date(2002, 6, 1),)], "at date"))
+    got = {(r.first, r.at.year): r.role and r.role.external_role_id for r in I.role_by_name(rows, many, "at", keys, "first", "last").collect()}
+    assert got == {("ann", 2001): None, ("ann", 2002): None, ("al", 2001): None, ("al", 2002): "one"}
+
+
 def test_actors_keep_both_sides_of_a_conflict(spark):
     shape = "actor_id string, official_actor_id string, external_person_id string, external_role_id string, bioguide_id string, resolution_status string, role_source_url string, full_name string, official_record_name string, party string, state string"
     rows = [("a", "c:1", "p1", "r", "B", "m", "u1", "Ann Lee", n, p, "TX") for n, p in (("A. Lee", "D"), ("Ann Lee", "D"))] + [("a", "c:1", "p2", "r", "B", "m", "u1", "Ann Lee", "Lee", "I", None), ("b", "x", None, None, None, "u", None, None, None, None, None)]
