@@ -14,7 +14,9 @@ several candidate tables; each of the others holds the SimHash of PICKED shingle
 texts meet there with probability about similarity to that power, in one of TABLES tables at least nearly always. In
 each group of candidates the rows are compared exactly with a few heads, first those that share most tables with most
 rows, then, as long as some row is linked to none, further ones; so a group of copies costs some comparisons a row, not
-its pairs. The tables are taken a few at a time, and rows linked to a row of many links leave the later ones.
+its pairs. The tables are taken a few at a time, and rows linked to a row of many links leave the later ones. What they
+miss is found exactly: rows of different components that share one of their first shingles are compared as well
+(`links_between`), so the components are those of all links.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and link like any other; rows
 that repeat an id each have their own text's component; null ids are never a component's name unless the component has
@@ -353,6 +355,13 @@ def ends(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("row"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("row"), F.col("a").alias("other")))
 
 
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose `sets` (row, shingles) have a Jaccard similarity of `threshold` or more."""
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+
+
 def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float, linked: DataFrame) -> DataFrame:
     """Rows of a group linked (a, b) to one of its heads, at a Jaccard similarity of `threshold` or more.
 
@@ -372,9 +381,7 @@ def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float, linked:
         asked = left.select("group", "row", "n").join(heads, "group").filter("row <> head")
         asked = asked.filter(F.least("n", "head_n") >= F.lit(threshold) * F.greatest("n", "head_n") - 1e-9)
         pairs = staged(asked.select(F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")).distinct(), "pairs")
-        both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        found = staged(both.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "links")
+        found = staged(similar(pairs, sets, threshold), "links")
         links = found if links is None else links.unionByName(found)
         linked = ends(found).select("row") if most > 1 else ends(found).select("row").unionByName(linked)
         met = linked.distinct().withColumn("met", F.lit(True))
@@ -410,6 +417,61 @@ def similar_texts(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return links
 
 
+def common_shingles(sets: DataFrame, rows: int = 20_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur `least` times or more among about `rows` rows of `sets`, ascending, and their counts.
+
+    They only order shingles: any order gives `links_between` the same links, this one fewer candidates.
+    """
+    part = max(1, sets.count() // rows)
+    seen = sets.filter(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    top = seen.filter(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(most).toPandas()
+    keys = top["shingle"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], top["count"].to_numpy(np.int64)[order]
+
+
+def _prefixes(common: np.ndarray, counts: np.ndarray, threshold: float):
+    def run(batches):
+        for batch in slices(batches):
+            rows, shingles, places = [], [], []
+            for k, x in enumerate(batch.column(2)):
+                x = x.values.to_numpy(zero_copy_only=False)
+                rank = np.zeros(len(x), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                    rank = np.where(common[at] == x, counts[at], 0)
+                first = np.lexsort((x, rank))[: len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1]
+                rows.append(np.full(len(first), k))
+                shingles.append(x[first])
+                places.append(np.arange(len(first), dtype=np.int32))
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take), pa.array(np.concatenate(shingles)), pa.array(np.concatenate(places))], ["row", "n", "root", "shingle", "place"]
+            )
+
+    return run
+
+
+def links_between(sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """All links (a, b) at a similarity of `threshold` or more between rows of `sets` (row, n, shingles) of different `roots`.
+
+    Two sets as similar as that share one of their first shingles, in whatever order all shingles are taken: of n, those
+    that may be missing and one more. Their first common one stands so early that enough others can follow. Rare shingles
+    come first, so that a line that many texts hold is among the first of few.
+    """
+    common, counts = common_shingles(sets)
+    named = sets.join(roots, sets.row == roots.node, "left").select("row", "n", "shingles", F.coalesce("root", "row").alias("root"))
+    firsts = named.mapInArrow(_prefixes(common, counts, threshold), "row long, n int, root long, shingle long, place int")
+    by = Window.partitionBy("shingle")
+    firsts = firsts.withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).filter("lo < hi").drop("lo", "hi")
+    firsts = staged(firsts, "prefixes")
+    other = firsts.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("row", "n", "root", "place")])
+    enough = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9
+    may = (F.col("row") > F.col("row2")) & (F.col("root") != F.col("root2")) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= enough)
+    asked = firsts.join(other, "shingle").filter(may).select(F.col("row").alias("a"), F.col("row2").alias("b")).distinct()
+    return staged(similar(staged(asked, "asked"), sets, threshold), "links")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = SIMILARITY) -> DataFrame:
     """One row of each group of near copies (that of the smallest id), with all its columns."""
     if width != WIDTH:
@@ -427,7 +489,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         # Rows of one text are one node, named by its first row.
         texts = staged(sets.groupBy("digest").agg(F.min("row").alias("row")), "texts")
         firsts = staged(sets.select("row", "n", "prints").join(texts.select("row"), "row", "left_semi"), "firsts")
-        roots = connected(similar_texts(firsts, sets.select("row", "n", "shingles"), threshold))
+        links = similar_texts(firsts, sets.select("row", "n", "shingles"), threshold)
+        # What the tables leave apart is asked for exactly.
+        alone = sets.select("row", "n", "shingles").join(texts.select("row"), "row", "left_semi")
+        roots = connected(links.unionByName(links_between(alone, connected(links), threshold)))
         named = texts.join(roots, texts.row == roots.node, "left").select("digest", F.coalesce("root", "row").alias("root"))
         marked = staged(sets.select("row", "id", "digest").join(staged(named, "named"), "digest"), "marked")
         stays = staged(marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("m")).select(F.col("m.row").alias("row")), "stays")

@@ -130,3 +130,18 @@ def test_near_copies_by_jaccard(spark):
     norm = lambda x: sorted(str((a, sorted(jaccard_sets(t)))) for a, t in x)
     assert norm(got) == norm(want)
     assert S.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_chains_and_thin_links_in_large_groups(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line, rows = " ".join(word() for _ in range(12)), []
+    for _ in range(12):
+        text = [word() for _ in range(50)]
+        for k in range(40):  # each text is linked to the one before and the one after, no other
+            rows.append((len(rows), " ".join(text) + " " + line))
+            text[k] = word()
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in S.drop_near_duplicates(docs).collect()), key=str)
+    assert got == near_kept(rows) and len(got) == 12
