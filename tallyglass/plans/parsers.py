@@ -104,15 +104,17 @@ def numbered(text: Column) -> Column:
 
 def line_rows(found: Column) -> Column:
     """The transactions of numbered lines with a date, an amount and an action word; the asset stands before the date."""
-    read = F.transform(found, lambda r: F.struct(r.n.alias("n"), r.line.alias("line"), F.regexp_extract(r.line, DATE, 1).alias("date"), F.regexp_extract(r.line, AMOUNT, 1).alias("amount"), action_of(r.line).alias("action")))
+    dated = F.filter(F.transform(found, lambda r: F.struct(r.n.alias("n"), r.line.alias("line"), F.regexp_extract(r.line, DATE, 1).alias("date"))), lambda r: r.date != "")
+    read = F.transform(dated, lambda r: F.struct(r.n.alias("n"), r.line.alias("line"), r.date.alias("date"), F.regexp_extract(r.line, AMOUNT, 1).alias("amount"), action_of(r.line).alias("action")))
     edges = r"^[ ,\-;|]+|[ ,\-;|]+$"
-    with_asset = F.transform(F.filter(read, lambda r: (r.date != "") & (r.amount != "") & r.action.isNotNull()), lambda r: F.struct(
+    with_asset = F.transform(F.filter(read, lambda r: (r.amount != "") & r.action.isNotNull()), lambda r: F.struct(
         r.alias("r"), F.regexp_replace(F.split_part(r.line, r.date, F.lit(1)), edges, "").alias("before"), F.nullif(F.regexp_replace(F.substr(r.line, F.position(r.amount, r.line) + F.length(r.amount)), edges, ""), F.lit("")).alias("comment"),
     ))
     named = F.transform(with_asset, lambda x: F.struct(x.r.alias("r"), x.before.alias("before"), x.comment.alias("comment"), F.nullif(F.regexp_extract(x.before, r"\(([A-Z]{1,6})\)", 1), F.lit("")).alias("ticker")))
     bare = lambda x: F.nullif(F.trim(F.regexp_replace(F.replace(x.before, F.concat(F.lit("("), x.ticker, F.lit(")")), F.lit("")), "\\s+", " ")), F.lit(""))
     asset = lambda x: F.when(x.ticker.isNotNull(), F.coalesce(bare(x), x.before)).otherwise(x.before)
-    return F.transform(named, lambda x: _row(x.r.n, asset(x), x.ticker, x.r.action, x.r.date, x.r.amount, x.comment))
+    whole = F.transform(named, lambda x: F.struct(x.r.alias("r"), asset(x).alias("asset"), x.ticker.alias("ticker"), x.comment.alias("comment")))
+    return F.transform(whole, lambda x: _row(x.r.n, x.asset, x.ticker, x.r.action, x.r.date, x.r.amount, x.comment))
 
 
 def _row(n: Column, asset: Column, ticker: Column, action: Column, date: Column, amount: Column, comment: Column) -> Column:
@@ -148,10 +150,8 @@ def u4(spark, sf):
 def field_of(name: Column) -> Column:
     """The canonical field of a header cell, or null."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    out = F.lit(None).cast("string")
-    for field, aliases in FIELDS.items():
-        out = F.when(plain.isin(aliases), field).otherwise(out)
-    return out
+    known = {alias: field for field, aliases in FIELDS.items() for alias in aliases}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), plain)
 
 
 def split_fields(line: Column, delimiter: str) -> Column:
@@ -164,19 +164,27 @@ def split_fields(line: Column, delimiter: str) -> Column:
     return F.transform(raw, lambda x: F.when(F.startswith(x, F.lit('"')), F.concat(F.substr(inside(x), F.lit(2)), rest(x))).otherwise(x))
 
 
-def header(found: Column) -> Column:
-    """(n, delimiter, fields) of the first numbered line with three known headers, an asset among them; null if none."""
+def headers(found: Column) -> Column:
+    """array<(n, delimiter, fields)> of the numbered lines with three known headers, an asset among them; of a line the first."""
     one = lambda r, d: F.struct(F.lit(d).alias("delimiter"), F.transform(split_fields(r.raw, d), field_of).alias("fields"))
     known = lambda c: (F.size(F.filter(c.fields, lambda f: f.isNotNull())) >= 3) & F.array_contains(c.fields, "asset")
     read = lambda r: F.filter(F.array(*[F.when(F.contains(r.raw, F.lit(d)), one(r, d)) for d in DELIMITERS]), lambda c: c.isNotNull() & known(c))
-    heads = F.filter(F.transform(found, lambda r: F.struct(r.n.alias("n"), F.get(read(r), F.lit(0)).alias("h"))), lambda x: x.h.isNotNull())
-    first = F.get(heads, F.lit(0))
-    return F.when(first.isNotNull(), F.struct(first.n.alias("n"), first.h.delimiter.alias("delimiter"), first.h.fields.alias("fields")))
+    # Only a line that holds a word of an asset's label can have one.
+    words = "|".join(sorted({max(alias.split("_"), key=len) for alias in FIELDS["asset"]}))
+    some = F.filter(found, lambda r: F.lower(r.raw).rlike(words))
+    heads = F.filter(F.transform(some, lambda r: F.struct(r.n.alias("n"), F.get(read(r), F.lit(0)).alias("h"))), lambda x: x.h.isNotNull())
+    return F.transform(heads, lambda x: F.struct(x.n.alias("n"), x.h.delimiter.alias("delimiter"), x.h.fields.alias("fields")))
+
+
+def header(found: Column) -> Column:
+    """The first of the headers, or null."""
+    return F.get(headers(found), F.lit(0))
 
 
 def tables(texts: DataFrame) -> DataFrame:
     """(filing_id, header_line, delimiter, fields) of each text's first line with three known headers, an asset among them."""
-    return texts.select("filing_id", header(numbered(C("text"))).alias("h")).filter("h is not null").select("filing_id", C("h.n").alias("header_line"), "h.delimiter", "h.fields")
+    # Exploded, as a filter on the header would read every line once more.
+    return texts.select("filing_id", F.explode(F.slice(headers(numbered(C("text"))), 1, 1)).alias("h")).select("filing_id", C("h.n").alias("header_line"), "h.delimiter", "h.fields")
 
 
 _TABLES = r"""heads AS (SELECT filing_id, min(row_number) AS header_line FROM lines WHERE regexp_matches(lower(raw), '^description\|symbol\|type\|date\|amount$') GROUP BY 1)"""
@@ -204,7 +212,7 @@ def table_rows(found: Column, head: Column) -> Column:
 def table_transactions(texts: DataFrame) -> DataFrame:
     """A transaction of every row under a detected header that has an asset, date, amount and action."""
     found = texts.select("filing_id", numbered(C("text")).alias("found"))
-    headed = found.withColumn("h", header(C("found"))).filter("h is not null")
+    headed = found.select("filing_id", "found", F.explode(F.slice(headers(C("found")), 1, 1)).alias("h"))
     return _exploded(headed, table_rows(C("found"), C("h")))
 
 
@@ -284,14 +292,17 @@ def u5(spark, sf):
     """Rows of the executive form: number, asset before the action word, last date before the amount; repeats dropped."""
     from pyspark.sql import Window
 
-    rows = ocr_lines(spark, sf).withColumn("text", repaired(C("raw")))
+    # What is exploded is read once; a filter on a column that another makes would be moved below it and read it again.
+    once = lambda x: F.explode(F.array(x))
+    rows = ocr_lines(spark, sf).select("filing_id", "line", "copy", "reported_date", once(repaired(C("raw"))).alias("text"))
     sequence = F.nullif(F.regexp_extract("text", ROW_PREFIX, 1), F.lit("")).cast("int")
     amount, word = F.regexp_extract("text", MONEY, 0), F.lower(F.regexp_extract("text", ACTION_MARK, 1))
     dates = F.regexp_extract_all(F.substring_index("text", "$", 1), F.lit(r"(\d{1,2}/\d{1,2}/\d{4})"), F.lit(1))
     asset = F.regexp_replace(F.regexp_replace(F.element_at(F.split("text", ACTION_MARK, 2), 1), ROW_PREFIX, ""), r"^[ \-|]+|[ \-|]+$", "")
+    rows = rows.select("filing_id", "line", "copy", "reported_date", "text", once(F.struct(amount.alias("amount"), word.alias("word"), dates.alias("dates"))).alias("x")).filter("x.amount <> '' and x.word <> '' and size(x.dates) > 0")
+    amount, word, dates = C("x.amount"), C("x.word"), C("x.dates")
     action = F.when(word.isin("sale", "sales", "sold"), "SELL").when(word == "exchange", "EXCHANGE").otherwise("BUY")
-    day = F.try_to_date(F.element_at(dates, -1), "M/d/yyyy")
-    rows = rows.filter((amount != "") & (word != "") & (F.size(dates) > 0)).select("filing_id", "line", "copy", "reported_date", sequence.alias("source_sequence"), asset.alias("asset"), action.alias("action"), day.alias("trade_date"), amount.alias("amount"))
+    rows = rows.select("filing_id", "line", "copy", "reported_date", sequence.alias("source_sequence"), asset.alias("asset"), action.alias("action"), once(F.try_to_date(F.element_at(dates, -1), "M/d/yyyy")).alias("trade_date"), amount.alias("amount"))
     key = ["filing_id", "source_sequence", "asset", "trade_date", "amount"]
     kept = rows.filter("trade_date is not null").groupBy(*key).agg(F.min_by(F.struct("line", "copy", "action", "reported_date"), F.struct("line", "copy")).alias("r")).select(*key, "r.*")
     number = F.row_number().over(Window.partitionBy("filing_id").orderBy("line", "amount", "asset", "trade_date"))
