@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import precedence as P
+from ..operators.lineage import cut
 from . import bindings as B
 from .relational import C
 
@@ -25,12 +26,13 @@ QUERIES["dm62_decision_merge"] = lambda spark, sf: decisions(spark, sf).withColu
 
 
 def _chain(spark, sf):
-    t = B.trades(spark, sf)
-    k = F.substring("ticker", 2, 2).cast("int")
-    points = lambda rows: rows.select(C("ticker").alias("symbol"), C("trade_date").alias("date"), C("value_cents").alias("value"))
-    zero = t.withColumn("value_cents", F.when(k == 6, 0).otherwise(C("value_cents")))
-    requested = t.select(C("ticker").alias("symbol")).distinct().unionByName(t.select(F.concat(F.lit("Q"), F.substring("ticker", 2, 2)).alias("symbol")).distinct())
-    return P.provider_chain(requested, [("tiingo", "covered", points(zero.filter(k % 3 == 0))), ("kept", "cached", points(t.filter((k % 4 <= 1) & (C("action") == "BUY")))), ("nasdaq", "covered", points(t.filter((k % 5 != 2) & (C("action") != "BUY"))))])
+    """Trades are read once: of each symbol and day the largest value that each provider knows."""
+    k, v = F.substring("ticker", 2, 2).cast("int"), C("value_cents")
+    known = {"tiingo": F.when(k % 3 == 0, F.when(k == 6, 0).otherwise(v)), "kept": F.when((k % 4 <= 1) & (C("action") == "BUY"), v), "nasdaq": F.when((k % 5 != 2) & (C("action") != "BUY"), v)}
+    days = cut(B.trades(spark, sf).groupBy("ticker", C("trade_date").alias("date")).agg(*[F.max(x).alias(n) for n, x in known.items()]))
+    points = lambda name: days.filter(C(name).isNotNull()).select(C("ticker").alias("symbol"), "date", C(name).alias("value"))
+    requested = days.select(C("ticker").alias("symbol")).distinct().unionByName(days.select(F.concat(F.lit("Q"), F.substring("ticker", 2, 2)).alias("symbol")).distinct())
+    return P.provider_chain(requested, [("tiingo", "covered", points("tiingo")), ("kept", "cached", points("kept")), ("nasdaq", "covered", points("nasdaq"))])
 
 
 QUERIES["dm63_price_coverage"] = lambda spark, sf: _chain(spark, sf)[0].withColumn("passed_over", F.array_join("passed_over", "|"))

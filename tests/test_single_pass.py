@@ -13,3 +13,8 @@ def plan(frame, executed=False):
 def test_text_is_read_once(spark):
     assert plan(registry.QUERIES["u3_table_detection"](spark, SF)).count(r"\r\n|\r|\n") == 1
     assert plan(registry.QUERIES["u5_executive_form_rows"](spark, SF)).count(r"pur\s*cha\s*se") == 1
+
+
+def test_prices_come_from_days(spark):
+    assert "l_orderkey" not in plan(registry.QUERIES["dm63_price_series"](spark, SF))
+    assert "l_orderkey" not in plan(registry.QUERIES["dm63_extreme_moves"](spark, SF))
