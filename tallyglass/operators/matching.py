@@ -7,6 +7,8 @@ out from the driver: beyond DICTIONARY_BYTES together they are refused. `first_m
 gives the pattern of the lowest position instead of all, `longest` those that remain if at each place the longest pattern
 wins and what it covers is not looked at again.
 
+The rows that a pass finds meet their patterns by a broadcast, so that only what is aggregated from them is dealt anew.
+
 Null and empty texts and patterns match nothing; patterns that are equal in lower case each count.
 """
 
@@ -89,13 +91,20 @@ def find(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str, longe
     empty = docs.sparkSession.createDataFrame([], f"id {texts.schema['id'].dataType.simpleString()}, p string, n long, at long")
     hits = reduce(DataFrame.unionByName, [_scan(texts, part, longest) for part in parts if part], empty)
     named = patterns.select("pattern_id", "position", F.lower("pattern").alias("p")).filter("p <> ''")
-    return hits.join(named, "p").select("id", "pattern_id", "position", "n", "at")
+    return hits.join(F.broadcast(named), "p").select("id", "pattern_id", "position", "n", "at")
+
+
+def ranked(patterns: DataFrame, *order: str) -> DataFrame:
+    """patterns plus `rank`, from 1 in that order: a number that a hash aggregate can hold. The dictionary is bounded, so one task ranks it."""
+    return patterns.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def first_match(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pattern_id): of the patterns in a text that of the lowest position (ties: smaller pattern_id)."""
-    hits = find(docs, patterns, id_col, text_col)
-    return hits.groupBy("id").agg(F.min(F.struct("position", "pattern_id")).alias("m")).select("id", "m.pattern_id")
+    numbered = ranked(patterns, "position", "pattern_id")
+    hits = find(docs, numbered.select(F.col("rank").alias("pattern_id"), "position", "pattern"), id_col, text_col)
+    best = hits.groupBy("id").agg(F.min("pattern_id").alias("rank"))
+    return best.join(F.broadcast(numbered.select("rank", "pattern_id")), "rank").select("id", "pattern_id")
 
 
 def keep_first(rows: DataFrame, position: str, keys: list[str]) -> DataFrame:

@@ -25,8 +25,12 @@ def aliases(spark, sf):
 
 def in_documents(spark, sf):
     """How many aliases each document holds, and which comes first."""
-    found = M.find(B.table(spark, sf, "documents"), aliases(spark, sf), "doc_id", "text")
-    return found.groupBy(C("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_aliases"), F.min(F.struct("at", "pattern_id")).alias("f"), F.max("position").alias("last")).select("doc_id", "n_aliases", C("f.pattern_id").alias("first_alias"), (C("f.at") + 1).alias("first_at"), "last")
+    known = M.ranked(aliases(spark, sf), "pattern_id")
+    found = M.find(B.table(spark, sf, "documents"), known.select(C("rank").alias("pattern_id"), "position", "pattern"), "doc_id", "text")
+    # Place and rank in one number, which a hash aggregate can hold: a place and a rank are below 2^31.
+    rows = found.groupBy(C("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_aliases"), F.min(F.shiftleft("at", 31) + C("pattern_id")).alias("f"), F.max("position").alias("last"))
+    rows = rows.withColumn("rank", F.pmod("f", F.lit(1 << 31)))
+    return rows.join(F.broadcast(known.select("rank", C("pattern_id").alias("first_alias"))), "rank").select("doc_id", "n_aliases", "first_alias", (F.shiftright("f", 31) + 1).alias("first_at"), "last")
 
 
 QUERIES["j20_aliases_in_documents"] = in_documents

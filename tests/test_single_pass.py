@@ -18,3 +18,14 @@ def test_text_is_read_once(spark):
 def test_prices_come_from_days(spark):
     assert "l_orderkey" not in plan(registry.QUERIES["dm63_price_series"](spark, SF))
     assert "l_orderkey" not in plan(registry.QUERIES["dm63_extreme_moves"](spark, SF))
+
+
+def test_matches_are_not_dealt_anew(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("j20_aliases_in_documents", "j20_first_mapping"):
+            made = plan(registry.QUERIES[name](spark, SF), executed=True)
+            assert "SortMergeJoin" not in made and "SortAggregate" not in made
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
