@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import temporal, windows
+from .lineage import cut
 
 # The window, the gap between clusters, who is eligible how near, and what sources add.
 WINDOW, GAP, PER_BUCKET, DISPLAYED, NEAR_IDS = 45, 14, 2, 24, 12
@@ -59,16 +60,17 @@ def trade_context_candidates(trades: DataFrame, relationships: DataFrame, window
 def _explained(rows: DataFrame, trades: DataFrame, window: int) -> DataFrame:
     near = temporal.band_join(rows.select("person_id", "event_id", "date"), trades.select("person_id", "trade_id", F.col("date").alias("trade_date"), "movement"), "person_id", "date", "trade_date", window)
     days = F.datediff("date", "trade_date")
-    order = Window.partitionBy("person_id", "event_id").orderBy(F.abs(days), days, "trade_date", "trade_id")
-    counts = near.groupBy("person_id", "event_id").agg(F.count(F.lit(1)).alias("nearby_trade_count"))
-    first = near.withColumn("days", days).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= NEAR_IDS)
+    each = Window.partitionBy("person_id", "event_id")
+    order = each.orderBy(F.abs("days"), "days", "trade_date", "trade_id")
+    # Counted beside the rank, so that the pairs are made and dealt once.
+    first = near.select("person_id", "event_id", "trade_date", "trade_id", days.alias("days")).withColumn("k", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(each)).filter(F.col("k") <= NEAR_IDS)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("k", "trade_id"))), lambda x: x.trade_id)
-    beside = first.groupBy("person_id", "event_id").agg(F.min_by("days", "k").alias("nearest_trade_days"), ids.alias("nearby_trade_ids"))
+    beside = first.groupBy("person_id", "event_id").agg(F.min_by("days", "k").alias("nearest_trade_days"), ids.alias("nearby_trade_ids"), F.max("n").alias("nearby_trade_count"))
     # The movement is that of all trades that bear one of the named ids.
     named = beside.select("person_id", "event_id", F.explode("nearby_trade_ids").alias("trade_id")).distinct()
     moved = named.join(trades.select("person_id", "trade_id", "movement"), ["person_id", "trade_id"]).groupBy("person_id", "event_id").agg(F.coalesce(F.max("movement"), F.lit(0.0)).alias("movement"))
     keys = ["person_id", "event_id"]
-    out = rows.join(beside, keys).join(counts, keys).join(moved, keys)
+    out = rows.join(beside.join(moved, keys), keys)
     specificity = F.least(F.lit(60), F.col("relationship_tier_rank") * 10 + source_bonus())
     n = F.col("nearest_trade_days")
     timing = F.round(25 * (1 - F.least(F.abs(n), F.lit(window)) / F.lit(float(window))), 1)
@@ -127,6 +129,8 @@ def moves(points: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
 
 def nearby_events(events: DataFrame, days: DataFrame, window: int = 14, most: int = 5) -> DataFrame:
     """(day, events): of each of the given days the nearest events, by distance, then date, then id; no row where there is none."""
+    # Of the events of one date only the first by id can be near enough.
+    events = windows.top_per_group(events.select("event_id", "date"), ["date"], [F.col("event_id")], most, "k").drop("k")
     near = temporal.band_join(days.select("day", F.lit(1).alias("_k")), events.select("event_id", "date", F.lit(1).alias("_k")), "_k", "day", "date", window)
     order = [F.abs(F.datediff("date", "day")), F.col("date"), F.col("event_id")]
     top = windows.top_per_group(near, ["day"], order, most, "k")
@@ -138,12 +142,15 @@ def trade_context_rows(trades: DataFrame, points: DataFrame, references: DataFra
 
     trades has trade_id, person_id, ticker, trade_date, reported_date; references (ticker, benchmark_symbol) one row per ticker.
     """
-    symbols = points.select("symbol").distinct()
+    points = cut(points)
+    grid = cut(moves(points))
+    small = F.broadcast if grid.count() <= BROADCAST_DAYS else lambda frame: frame
+    symbols = small(points.select("symbol").distinct())
     known = references.select("ticker", "benchmark_symbol").join(symbols.withColumnRenamed("symbol", "benchmark_symbol"), "benchmark_symbol", "left_semi")
-    rows = trades.join(known, "ticker", "left").join(symbols.select(F.col("symbol").alias("ticker"), F.lit(True).alias("covered")), "ticker", "left")
+    known = small(known)
+    rows = trades.join(known, "ticker", "left").join(small(symbols.select(F.col("symbol").alias("ticker"), F.lit(True).alias("covered"))), "ticker", "left")
     rows = rows.withColumn("benchmark_symbol", F.coalesce("benchmark_symbol", F.lit(default))).withColumn("coverage_status", F.when(F.col("covered"), "covered").otherwise("fallback_to_benchmark"))
     rows = rows.withColumn("symbol", F.when(F.col("covered"), F.col("ticker")).otherwise(F.col("benchmark_symbol"))).drop("covered")
-    grid = moves(points)
     span = grid.agg(F.min("day").alias("_a"), F.max("day").alias("_b"))
     rows = rows.join(F.broadcast(span))
     # Before the calendar the first value is that of its first day, and nothing ends within a horizon; after it nothing starts.
@@ -152,11 +159,12 @@ def trade_context_rows(trades: DataFrame, points: DataFrame, references: DataFra
     for name, key in (("asset", "symbol"), ("benchmark", "benchmark_symbol")):
         at = grid.select(F.col("symbol").alias(key), F.col("day").alias("_t"), F.col("start").alias(f"_{name}_start"), *[F.col(f"move_{h}").alias(f"{name}_{h}") for h in HORIZONS])
         till = grid.select(F.col("symbol").alias(key), F.col("day").alias("_r"), F.col("last").alias(f"_{name}_last"))
-        rows = rows.join(at, [key, "_t"], "left").join(till, [key, "_r"], "left")
+        rows = rows.join(small(at), [key, "_t"], "left").join(small(till), [key, "_r"], "left")
         starts, ends = F.col("trade_date") <= F.col("_b"), F.col("trade_date") >= F.col("_a")
         rows = rows.withColumns({f"{name}_{h}": F.when(starts & ends, F.col(f"{name}_{h}")) for h in HORIZONS})
         rows = rows.withColumn(f"{name}_to_report", F.when(starts & (F.col("reported_date") >= F.col("_a")), percent_change(F.col(f"_{name}_start"), F.col(f"_{name}_last"))))
     rows = snapshot(rows, observations, "trade_date", series)
     near = nearby_events(events, trades.select(F.col("trade_date").alias("day")).distinct())
-    rows = rows.join(near.withColumnRenamed("day", "trade_date"), "trade_date", "left")
+    near = cut(near)
+    rows = rows.join((F.broadcast if near.count() <= BROADCAST_DAYS else lambda frame: frame)(near.withColumnRenamed("day", "trade_date")), "trade_date", "left")
     return rows.drop("_a", "_b", "_t", "_r", "_asset_start", "_asset_last", "_benchmark_start", "_benchmark_last")

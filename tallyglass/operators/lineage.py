@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def staged(frame: DataFrame) -> DataFrame:
+    """The frame from Parquet files in the shared folder: smaller than a checkpoint, and each later step reads only its columns."""
+    folder = f"{shared_folder(frame.sparkSession)}/tallyglass/staged-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame from a checkpoint in the shared folder."""
     spark = frame.sparkSession

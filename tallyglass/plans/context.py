@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import context as X
 from ..operators import windows
+from ..operators.lineage import staged
 from . import bindings as B
 from .relational import C
 
@@ -26,10 +27,11 @@ def _by(col, values):
 
 
 def trades(spark, sf):
-    """Trades with an id that repeats for some, and their movement."""
+    """Trades with an id that repeats for some, and their movement; staged, as each query reads them several times."""
     t = B.trades(spark, sf)
     movement = F.when(C("value_cents") % 7 != 0, (C("value_cents") % 120) / F.lit(4.0))
-    return t.select("person_id", (C("filing_id") * 10 + C("line")).alias("trade_id"), C("trade_date").alias("date"), movement.alias("movement"), "ticker", "trade_date", "reported_date", "action")
+    rows = staged(t.select("person_id", (C("filing_id") * 10 + C("line")).alias("trade_id"), movement.alias("movement"), "ticker", "trade_date", "reported_date", "action", "value_cents"))
+    return rows.withColumn("date", C("trade_date"))
 
 
 def relationships(spark, sf):
@@ -40,25 +42,26 @@ def relationships(spark, sf):
     )
 
 
-def candidates(spark, sf):
-    return X.trade_context_candidates(trades(spark, sf).select("person_id", "trade_id", "date", "movement"), relationships(spark, sf))
+def candidates(spark, sf, t=None):
+    t = trades(spark, sf) if t is None else t
+    return X.trade_context_candidates(t.select("person_id", "trade_id", "date", "movement"), relationships(spark, sf))
 
 
 QUERIES["dm18_trade_context_candidates"] = lambda spark, sf: candidates(spark, sf).withColumn("nearby_trade_ids", F.array_join(F.transform("nearby_trade_ids", lambda x: x.cast("string")), "|"))
 
 
-def points(spark, sf):
+def points(spark, sf, t):
     """Prices in cents: of priced symbols the largest value of a day, of two benchmarks that of the day's orders."""
-    own = B.trades(spark, sf).filter(F.substring("ticker", 2, 2).cast("int") % 3 != 1).groupBy(C("ticker").alias("symbol"), C("trade_date").alias("date")).agg(F.max("value_cents").alias("cents"))
+    own = t.filter(F.substring("ticker", 2, 2).cast("int") % 3 != 1).groupBy(C("ticker").alias("symbol"), C("trade_date").alias("date")).agg(F.max("value_cents").alias("cents"))
     f = B.filings(spark, sf)
     market = f.filter("filing_id % 4 = 0").groupBy(C("filed_date").alias("date")).agg(F.max("cents").alias("cents")).select(F.lit("SPY").alias("symbol"), "date", "cents")
     sector = f.filter("filing_id % 9 = 2").groupBy(C("filed_date").alias("date")).agg(F.max("cents").alias("cents")).select(F.lit("B1").alias("symbol"), "date", "cents")
     return own.unionByName(market).unionByName(sector)
 
 
-def references(spark, sf):
+def references(t):
     k = F.substring("ticker", 2, 2).cast("int")
-    return B.trades(spark, sf).select("ticker").distinct().filter(k % 4 != 3).select("ticker", F.when(k % 4 == 0, "B1").when(k % 4 == 1, "B9").alias("benchmark_symbol"))
+    return t.select("ticker").distinct().filter(k % 4 != 3).select("ticker", F.when(k % 4 == 0, "B1").when(k % 4 == 1, "B9").alias("benchmark_symbol"))
 
 
 def observations(spark, sf):
@@ -66,10 +69,11 @@ def observations(spark, sf):
     return f.select(_by(C("filing_type"), dict(zip(TIERS, SERIES, strict=True))).alias("series_id"), C("filed_date").alias("date"), F.when(C("cents") % 6 != 0, C("cents")).alias("value"))
 
 
-def context_rows(spark, sf):
+def context_rows(spark, sf, t=None):
+    t = trades(spark, sf) if t is None else t
     ev = B.civic_events(spark, sf).filter("event_type = 'signup'").select("event_id", "date")
     more = B.filings(spark, sf).filter("filing_id % 30 = 4").select((C("filing_id") + 10_000_000).alias("event_id"), C("filed_date").alias("date"))
-    return X.trade_context_rows(trades(spark, sf).select("trade_id", "person_id", "ticker", "trade_date", "reported_date"), points(spark, sf), references(spark, sf), observations(spark, sf), ev.unionByName(more), SERIES)
+    return X.trade_context_rows(t.select("trade_id", "person_id", "ticker", "trade_date", "reported_date"), points(spark, sf, t), references(t), observations(spark, sf), ev.unionByName(more), SERIES)
 
 
 def flat_rows(spark, sf):
@@ -89,9 +93,9 @@ def career(spark, sf):
     held = windows.gap_clusters(t.select("person_id", "date", "trade_id", "action"), "person_id", "date", 14)
     base = held.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_trades"), F.countDistinct("cluster").alias("n_groups"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_if(C("action") == "BUY").alias("n_buys"))
     multi = held.groupBy("person_id", "cluster").count().filter("count > 1").groupBy("person_id").agg(F.count(F.lit(1)).alias("n_clusters"))
-    rows = context_rows(spark, sf)
+    rows = context_rows(spark, sf, t)
     moved = rows.groupBy("person_id").agg(F.count_if(C("coverage_status") == "covered").alias("n_covered"), F.count_if(C("asset_30").isNull()).alias("n_without_move"), F.max("asset_30").alias("best_30"))
-    cand = candidates(spark, sf)
+    cand = candidates(spark, sf, t)
     best = cand.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.min_by("event_id", "candidate_rank").alias("first_candidate"))
     return base.join(multi, "person_id", "left").join(moved, "person_id").join(best, "person_id", "left").na.fill(0, ["n_clusters", "n_candidates"])
 

@@ -29,3 +29,8 @@ def test_matches_are_not_dealt_anew(spark):
             assert "SortMergeJoin" not in made and "SortAggregate" not in made
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_context_reads_trades_once(spark):
+    for name in ("dm18_trade_context_candidates", "dm20_trade_context_rows", "dm60_career_timeline"):
+        assert "l_orderkey" not in plan(registry.QUERIES[name](spark, SF))
