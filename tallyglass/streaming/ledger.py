@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.lineage import cut
+from ..operators.lineage import cut, staged
 
 # The status that a decision gives.
 STATUS = {"accept": "accepted", "narrow": "narrowed", "reject": "rejected", "supersede": "superseded"}
@@ -88,9 +88,10 @@ def _replay(log: DataFrame, refused: Column) -> DataFrame:
 def replay(log: DataFrame) -> DataFrame:
     """OUTCOME of each decision; bulk decisions (of equal batch_id) count all or not at all."""
     bulk = log.filter("batch_id is not null").select("batch_id").limit(1).count()
-    out = _replay(log, F.lit(False))
     if not bulk:
-        return out
+        return _replay(log, F.lit(False))
+    # Each round reads the log again, so it is staged, without what leads to it.
+    log = staged(log.select(*DECISION))
     refused, n = None, -1
     while True:
         rows = log.withColumn("_no", F.lit(False)) if refused is None else log.join(refused.withColumn("_no", F.lit(True)), "batch_id", "left")

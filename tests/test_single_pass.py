@@ -34,3 +34,7 @@ def test_matches_are_not_dealt_anew(spark):
 def test_context_reads_trades_once(spark):
     for name in ("dm18_trade_context_candidates", "dm20_trade_context_rows", "dm60_career_timeline"):
         assert "l_orderkey" not in plan(registry.QUERIES[name](spark, SF))
+
+
+def test_rounds_of_a_ledger_read_a_staged_log(spark):
+    assert "get_json_object" not in plan(registry.QUERIES["dm64_bulk_decisions"](spark, SF))
