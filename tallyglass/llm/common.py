@@ -44,14 +44,14 @@ def open_shared(path: str, mode: str):
     return system.open_input_file(name)
 
 
-_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Deletes what `staged` writes inside, but for what it is told to keep."""
+    """Deletes what `staged` writes inside, but for what it is told to keep: that goes with the scratch around this one, if any."""
     paths: list[str] = []
-    token = _scratch.set(paths)
+    token = _scratch.set((*_scratch.get(), paths))
     try:
         yield
     finally:
@@ -61,12 +61,24 @@ def scratch(spark: SparkSession):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Shuffle files that an action writes inside go when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(frame: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = frame.sparkSession
     path = stage_path(spark, name)
-    if not keep and (paths := _scratch.get()) is not None:
-        paths.append(path)
+    if around := _scratch.get()[: -1 if keep else None]:
+        around[-1].append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few_rows, scratch, slices, staged, utf8
+from .common import brief_shuffles, few_rows, scratch, slices, staged, utf8
 
 SEED = 42
 BUDGET = 3
@@ -324,10 +324,9 @@ def _sets(batches):
     for batch in slices(batches):
         sets = [shingle_set(t) for t in batch.column(3).to_pylist()]
         prints = [np.append(np.uint64(fingerprint(x.tolist())), picked_prints(x)) for x in sets]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        lists = lambda x, at: pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(x).view(np.int64)))
         wide = np.arange(0, (TABLES + 1) * len(sets) + 1, TABLES + 1, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends)), lists(sets, ends), lists(prints, wide)], ["row", "id", "digest", "n", "shingles", "prints"])
+        prints = pa.ListArray.from_arrays(pa.array(wide), pa.array(np.concatenate(prints).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array([len(x) for x in sets], np.int32)), batch.column(3), prints], ["row", "id", "digest", "n", "text", "prints"])
 
 
 def candidate_groups(texts: DataFrame, tables: range) -> DataFrame:
@@ -355,14 +354,33 @@ def ends(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("row"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("row"), F.col("a").alias("other")))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose `sets` (row, shingles) have a Jaccard similarity of `threshold` or more."""
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+def _similar(threshold: float):
+    def run(batches):
+        for batch in slices(batches):
+            sets: dict[int, np.ndarray] = {}  # the heads of a group come again and again
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (a, b, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                for row, text in ((a, x), (b, y)):
+                    if row not in sets:
+                        sets[row] = shingle_set(text)
+                total = len(sets[a]) + len(sets[b])
+                common = total - len(np.union1d(sets[a], sets[b]))
+                keep[k] = common >= threshold * (total - common) - 1e-9
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
 
+def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose `texts` (row, text) have sets of shingles with a Jaccard similarity of `threshold` or more.
 
-def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float, linked: DataFrame) -> DataFrame:
+    Texts go to the pairs rather than their sets, which take twice the room and don't compress.
+    """
+    both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_similar(threshold), "a long, b long")
+
+
+def similar_pairs(groups: DataFrame, texts: DataFrame, threshold: float, linked: DataFrame) -> DataFrame:
     """Rows of a group linked (a, b) to one of its heads, at a Jaccard similarity of `threshold` or more.
 
     First every row is compared with the row of the largest rank in its group. Rows that then have no link anywhere
@@ -372,7 +390,7 @@ def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float, linked:
     rows linked to other heads join them.
     """
     left = staged(groups.withColumn("loose", F.lit(True)), "groups")
-    sets = staged(sets.join(left.select("row").distinct(), "row", "left_semi"), "wanted")
+    texts = staged(texts.join(left.select("row").distinct(), "row", "left_semi"), "wanted")
     links, most = None, 1
     while True:
         place = F.row_number().over(Window.partitionBy("group", "loose").orderBy(F.col("rank").desc(), "row"))
@@ -381,7 +399,7 @@ def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float, linked:
         asked = left.select("group", "row", "n").join(heads, "group").filter("row <> head")
         asked = asked.filter(F.least("n", "head_n") >= F.lit(threshold) * F.greatest("n", "head_n") - 1e-9)
         pairs = staged(asked.select(F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")).distinct(), "pairs")
-        found = staged(similar(pairs, sets, threshold), "links")
+        found = staged(similar(pairs, texts, threshold), "links")
         links = found if links is None else links.unionByName(found)
         linked = ends(found).select("row") if most > 1 else ends(found).select("row").unionByName(linked)
         met = linked.distinct().withColumn("met", F.lit(True))
@@ -394,18 +412,19 @@ def similar_pairs(groups: DataFrame, sets: DataFrame, threshold: float, linked:
             return links
 
 
-def similar_texts(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between rows of `texts` (row, n, prints) that meet in a table and whose `sets` are similar.
+def similar_texts(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between `rows` (row, n, prints) that meet in a table and whose `texts` (row, text) are similar.
 
     The tables are taken TURN at a time. A row linked to a hub, that is a row of SMALL links or more, is left out of the
     tables that follow unless it is a hub too: of a large group of copies only the hubs and what is not linked yet meet
-    again. Rows without a hub stay in all tables.
+    again. Rows without a hub stay in all tables. What is staged for a turn goes with it.
     """
-    links, left = None, texts
-    linked = texts.select("row").limit(0)
+    links, left = None, rows
+    linked = rows.select("row").limit(0)
     for first in range(0, TABLES + 1, TURN):
-        groups = candidate_groups(left, range(first, min(first + TURN, TABLES + 1)))
-        found = similar_pairs(groups, sets, threshold, linked)
+        with scratch(rows.sparkSession):
+            groups = candidate_groups(left, range(first, min(first + TURN, TABLES + 1)))
+            found = staged(similar_pairs(groups, texts, threshold, linked).distinct(), "found", keep=True)
         links = found if links is None else links.unionByName(found)
         if first + TURN <= TABLES:
             both = staged(ends(links.distinct()), "both")
@@ -417,13 +436,18 @@ def similar_texts(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return links
 
 
-def common_shingles(sets: DataFrame, rows: int = 20_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur `least` times or more among about `rows` rows of `sets`, ascending, and their counts.
+def _shingles(batches):
+    for batch in slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t) for t in batch.column(0).to_pylist()]).view(np.int64))], ["shingle"])
+
+
+def common_shingles(texts: DataFrame, rows: int = 20_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur `least` times or more among about `rows` rows of `texts`, ascending, and their counts.
 
     They only order shingles: any order gives `links_between` the same links, this one fewer candidates.
     """
-    part = max(1, sets.count() // rows)
-    seen = sets.filter(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    part = max(1, texts.count() // rows)
+    seen = texts.filter(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).select("text").mapInArrow(_shingles, "shingle long").groupBy("shingle").count()
     top = seen.filter(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(most).toPandas()
     keys = top["shingle"].to_numpy(np.int64)
     order = np.argsort(keys)
@@ -434,8 +458,8 @@ def _prefixes(common: np.ndarray, counts: np.ndarray, threshold: float):
     def run(batches):
         for batch in slices(batches):
             rows, shingles, places = [], [], []
-            for k, x in enumerate(batch.column(2)):
-                x = x.values.to_numpy(zero_copy_only=False)
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                x = shingle_set(text).view(np.int64)
                 rank = np.zeros(len(x), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, x), len(common) - 1)
@@ -443,33 +467,32 @@ def _prefixes(common: np.ndarray, counts: np.ndarray, threshold: float):
                 first = np.lexsort((x, rank))[: len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1]
                 rows.append(np.full(len(first), k))
                 shingles.append(x[first])
-                places.append(np.arange(len(first), dtype=np.int32))
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take), pa.array(np.concatenate(shingles)), pa.array(np.concatenate(places))], ["row", "n", "root", "shingle", "place"]
-            )
+                places.append((len(x) << 32) + np.arange(len(first)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(shingles)), pa.array(np.concatenate(places))], ["row", "shingle", "place"])
 
     return run
 
 
-def links_between(sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """All links (a, b) at a similarity of `threshold` or more between rows of `sets` (row, n, shingles) of different `roots`.
+def links_between(texts: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """All links (a, b) at a similarity of `threshold` or more between rows of `texts` (row, text) of different `roots` (row, root).
 
     Two sets as similar as that share one of their first shingles, in whatever order all shingles are taken: of n, those
     that may be missing and one more. Their first common one stands so early that enough others can follow. Rare shingles
-    come first, so that a line that many texts hold is among the first of few.
+    come first, so that a line that many texts hold is among the first of few. Rows without a root are left out.
     """
-    common, counts = common_shingles(sets)
-    named = sets.join(roots, sets.row == roots.node, "left").select("row", "n", "shingles", F.coalesce("root", "row").alias("root"))
-    firsts = named.mapInArrow(_prefixes(common, counts, threshold), "row long, n int, root long, shingle long, place int")
-    by = Window.partitionBy("shingle")
-    firsts = firsts.withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).filter("lo < hi").drop("lo", "hi")
-    firsts = staged(firsts, "prefixes")
+    common, counts = common_shingles(texts)
+    firsts = texts.select("row", "text").mapInArrow(_prefixes(common, counts, threshold), "row long, shingle long, place long")
+    by, apart = Window.partitionBy("shingle"), lambda c: (F.min(c).over(by).alias("lo"), F.max(c).over(by).alias("hi"))
+    # Most shingles are one row's alone: only the others meet the roots.
+    shared = staged(firsts.select("*", *apart("row")).filter("lo < hi").drop("lo", "hi"), "shared")
+    named = shared.join(roots, "row").select("*", *apart("root")).filter("lo < hi")
+    firsts = staged(named.select("row", F.shiftright("place", 32).alias("n"), "root", "shingle", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("place")), "prefixes")
     other = firsts.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("row", "n", "root", "place")])
     enough = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9
     may = (F.col("row") > F.col("row2")) & (F.col("root") != F.col("root2")) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= enough)
-    asked = firsts.join(other, "shingle").filter(may).select(F.col("row").alias("a"), F.col("row2").alias("b")).distinct()
-    return staged(similar(staged(asked, "asked"), sets, threshold), "links")
+    asked = staged(firsts.join(other, "shingle").filter(may).select(F.col("row").alias("a"), F.col("row2").alias("b")).distinct(), "asked")
+    wanted = staged(texts.join(ends(asked).select("row").distinct(), "row", "left_semi"), "wanted")
+    return staged(similar(asked, wanted, threshold), "links", keep=True)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = SIMILARITY) -> DataFrame:
@@ -483,16 +506,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(ptext).cast("string"), F.lit(""))
     plain = plain.withColumn("digest", F.unhex(F.sha2(text.cast("binary"), 256)))
     id_type = docs.schema[id_col].dataType.simpleString()
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), brief_shuffles(docs.sparkSession):
         rows = plain.select(F.monotonically_increasing_id().alias("row"), F.col(pid).alias("id"), "digest", text.alias("text"))
-        sets = staged(rows.mapInArrow(_sets, f"row long, id {id_type}, digest binary, n int, shingles array<long>, prints array<long>"), "sets")
+        sets = staged(rows.mapInArrow(_sets, f"row long, id {id_type}, digest binary, n int, text string, prints array<long>"), "sets")
         # Rows of one text are one node, named by its first row.
         texts = staged(sets.groupBy("digest").agg(F.min("row").alias("row")), "texts")
         firsts = staged(sets.select("row", "n", "prints").join(texts.select("row"), "row", "left_semi"), "firsts")
-        links = similar_texts(firsts, sets.select("row", "n", "shingles"), threshold)
+        links = similar_texts(firsts, sets.select("row", "text"), threshold)
         # What the tables leave apart is asked for exactly.
-        alone = sets.select("row", "n", "shingles").join(texts.select("row"), "row", "left_semi")
-        roots = connected(links.unionByName(links_between(alone, connected(links), threshold)))
+        with scratch(docs.sparkSession):
+            roots = connected(links)
+            roots = texts.join(roots, texts.row == roots.node, "left").select("row", F.coalesce("root", "row").alias("root"))
+            more = links_between(sets.select("row", "text"), staged(roots, "rooted"), threshold)
+        roots = connected(links.unionByName(more))
         named = texts.join(roots, texts.row == roots.node, "left").select("digest", F.coalesce("root", "row").alias("root"))
         marked = staged(sets.select("row", "id", "digest").join(staged(named, "named"), "digest"), "marked")
         stays = staged(marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("m")).select(F.col("m.row").alias("row")), "stays")

@@ -145,3 +145,34 @@ def test_chains_and_thin_links_in_large_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in S.drop_near_duplicates(docs).collect()), key=str)
     assert got == near_kept(rows) and len(got) == 12
+
+
+def test_stage_holds_texts_and_one_turn_at_a_time(spark, monkeypatch):
+    """No set of shingles is staged or shuffled, a turn's tables go with it, and shuffles go with their action."""
+    import glob
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before, kinds, held, set_now = set(glob.glob(f"{root}/tallyglass/*/*")), {}, [], []
+    real_staged, real_between = S.staged, S.links_between
+
+    def staged(frame, table, keep=False):
+        kinds.setdefault(table, dict(frame.dtypes))
+        set_now.append(spark.conf.get(name))
+        return real_staged(frame, table, keep)
+
+    def between(*a):
+        held.extend(set(glob.glob(f"{root}/tallyglass/*/*")) - before)
+        return real_between(*a)
+
+    monkeypatch.setattr(S, "staged", staged)
+    monkeypatch.setattr(S, "links_between", between)
+    docs = spark.createDataFrame([(k, f"a b c d e f g h i j k l m n o p q r s t {k // 5}") for k in range(40)], "doc_id long, text string")
+    was = spark.conf.get(name)
+    assert S.drop_near_duplicates(docs).count() == 1
+    assert [t for t, k in kinds.items() if any(c != "prints" and x.startswith("array") for c, x in k.items())] == []
+    tables = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in held}
+    assert "found" in tables and not tables & {"wanted", "groups", "members", "pairs"}
+    assert set(set_now) == {"true"} and spark.conf.get(name) == was
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{root}/tallyglass/*/*")) - before}
+    assert left == {"fate"}
