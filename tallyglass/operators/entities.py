@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, uuid5_like
-from .lineage import cut
+from .lineage import cut, staged
 
 # Words that an issuer's name is compared without, where an annotation of a label begins, valid symbols, the namespace of ids.
 CORPORATE = ["co", "company", "corp", "corporation", "inc", "incorporated", "limited", "llc", "lp", "ltd", "plc", "the"]
@@ -57,17 +57,30 @@ def issuer_core(name: Column, ticker: Column | None = None) -> Column:
     return _without(text, [*CORPORATE, *LABELS])
 
 
+def counted_labels(rows: DataFrame) -> DataFrame:
+    """Disclosure rows with a ticker, counted (n) by ticker, label, source_dataset and asset_class as they are written; with an id, the least.
+
+    Counted rows are returned as they are. Names are folded after this, once a spelling and not once a row.
+    """
+    if "n" in rows.columns:
+        return rows
+    least = [F.min("id").alias("id")] if "id" in rows.columns else []
+    return rows.filter("ticker is not null").groupBy("ticker", "label", "source_dataset", "asset_class").agg(F.count(F.lit(1)).alias("n"), *least)
+
+
 def observed_labels(rows: DataFrame) -> DataFrame:
-    """(ticker, normalized_alias, alias, occurrence_count, source_datasets, sample_transaction_ids, asset_classes) of disclosure rows.
+    """(ticker, normalized_alias, alias, occurrence_count, source_datasets, asset_classes and, of rows with an id, first_transaction_id) of disclosure rows.
 
-    rows has id, ticker, label, source_dataset, asset_class; rows without a ticker or a label don't count.
+    rows has id (or not), ticker, label, source_dataset, asset_class; rows without a ticker or a label don't count.
     """
-    named = rows.select("id", symbol(F.col("ticker")).alias("ticker"), F.trim("label").alias("label"), "source_dataset", "asset_class")
+    counted = counted_labels(rows)
+    ids = [c for c in ("id",) if c in counted.columns]
+    named = counted.select(*ids, symbol(F.col("ticker")).alias("ticker"), F.trim("label").alias("label"), "source_dataset", "asset_class", "n")
     named = named.withColumn("normalized_alias", fold(F.coalesce("label", F.lit("")))).filter("ticker is not null and normalized_alias <> ''")
     first = F.min(F.struct(F.lower("label").alias("l"), F.col("label").alias("v")))
     return named.groupBy("ticker", "normalized_alias").agg(
-        first.getField("v").alias("alias"), F.count(F.lit(1)).alias("occurrence_count"), F.array_sort(F.collect_set("source_dataset")).alias("source_datasets"), F.array_sort(F.collect_set("asset_class")).alias("asset_classes"),
-        F.min("id").alias("first_transaction_id"),
+        first.getField("v").alias("alias"), F.sum("n").alias("occurrence_count"), F.array_sort(F.collect_set("source_dataset")).alias("source_datasets"), F.array_sort(F.collect_set("asset_class")).alias("asset_classes"),
+        *[F.min(c).alias("first_transaction_id") for c in ids],
     )
 
 
@@ -77,7 +90,8 @@ def alias_evidence(rows: DataFrame, registered: DataFrame, least: int = 3, alrea
     registered has ticker, cik, company_name, exchange. A record is one supported alias of an issuer whose supported aliases
     occur at least `least` times together. A ticker gives at most one gap of each type.
     """
-    seen = observed_labels(rows)
+    # Staged, as the tickers' sums and the records both read the labels.
+    seen = staged(observed_labels(rows).drop("first_transaction_id"))
     if already:
         seen = seen.filter(~F.col("ticker").isin([t.upper() for t in already]))
     issuers = registered.groupBy("ticker").agg(F.array_sort(F.collect_set(F.struct("cik", "company_name"))).alias("issuers"), F.array_sort(F.collect_set("exchange")).alias("exchanges"))
@@ -203,9 +217,9 @@ def link_labels(rows: DataFrame, reference: Reference, evidence: DataFrame) -> t
     evidence has the supported (ticker, normalized_alias). A label of a ticker with evidence that isn't among its supported
     ones is an issue, and so is a ticker that leads nowhere or to several.
     """
-    rows = rows.withColumn("ticker", symbol(F.col("ticker"))).withColumn("label", F.trim("label")).filter("ticker is not null and label <> ''")
+    rows = counted_labels(rows).withColumn("ticker", symbol(F.col("ticker"))).withColumn("label", F.trim("label")).filter("ticker is not null and label <> ''")
     first = F.min(F.struct(F.lower("label").alias("l"), F.col("label").alias("v")))
-    groups = rows.groupBy(fold(F.col("label")).alias("normalized_alias"), "ticker", "source_dataset").agg(first.getField("v").alias("label"), F.count(F.lit(1)).alias("occurrence_count"))
+    groups = rows.groupBy(fold(F.col("label")).alias("normalized_alias"), "ticker", "source_dataset").agg(first.getField("v").alias("label"), F.sum("n").alias("occurrence_count"))
     known = reference.keys.filter("scheme = 'symbol'").groupBy(F.col("value").alias("ticker")).agg(F.min("entity").alias("low"), F.max("entity").alias("high"))
     supported = evidence.select("ticker", "normalized_alias").distinct().withColumn("supported", F.lit(True))
     tickers = evidence.select("ticker").distinct().withColumn("has_evidence", F.lit(True))

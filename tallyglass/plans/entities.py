@@ -111,10 +111,12 @@ def sources(spark, sf, records):
 
 def reference(spark, sf):
     """(reference, issues and aliases with the disclosure labels linked)."""
-    records, _ = evidence(spark, sf)
+    # The disclosures are read once: their labels' counts serve the evidence and the links.
+    labels = E.staged(E.counted_labels(disclosures(spark, sf).drop("id")))
+    records, _ = E.alias_evidence(labels, registered(spark, sf), LEAST)
     records = E.cut(records)
     made = E.build(sources(spark, sf, records))
-    linked, issues = E.link_labels(disclosures(spark, sf), made, records)
+    linked, issues = E.link_labels(labels, made, records)
     unresolved = issuers(spark, sf).filter("k % 9 = 4").select(F.concat(F.lit("T"), _text(C("k"))).alias("ticker"), E.fold(C("base")).alias("normalized_alias"), F.concat(F.lit("asset-"), _text(C("k"))).alias("record_id"))
     unresolved = unresolved.join(records.select("ticker", "normalized_alias"), ["ticker", "normalized_alias"], "left_anti")
     open_ = unresolved.select(F.lit("unresolved_asset_resolution").alias("issue_type"), F.lit("asset_resolution").alias("source"), "record_id", C("normalized_alias").alias("label"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"), F.lit(0).cast("long").alias("occurrence_count"))
