@@ -312,18 +312,22 @@ def u5(spark, sf):
 @query("u6_positional_table", sql(", w AS (SELECT filing_id, row_number() OVER (PARTITION BY filing_id ORDER BY line, ticker, value_cents, action) AS line, ticker, action, value_cents FROM trades) SELECT filing_id, CAST(line AS INTEGER) AS row_number, ticker || ' Corp' AS asset, action, '$' || value_cents AS amount FROM w", "trades"))
 def u6(spark, sf):
     """Words with positions to table cells: a row reaches from its number's top to the next one's, a column by x range."""
-    from pyspark.sql import Window
+    # A filing has few rows, so its words meet its rows within it; nothing is sorted or joined by word.
+    t = B.trades(spark, sf).groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("line", "ticker", "value_cents", "action"))).alias("t"))
+    place = lambda text, x, top: F.struct(top.alias("top"), F.lit(x).alias("x0"), text.cast("string").alias("text"))
+    printed = lambda r, n, top: F.array(place(n, 10, top), place(r.ticker, 60, top + 1), place(F.lit("Corp"), 61, top + 9), place(r.action, 300, top + 2), place(F.concat(F.lit("$"), r.value_cents), 400, top + 3))
+    words = F.flatten(F.transform("t", lambda r, i: printed(r, i + 1, 120 + i * 20)))
+    return positional_rows(t.select("filing_id", words.alias("words")))
+
 
-    t = B.trades(spark, sf).withColumn("line", F.row_number().over(Window.partitionBy("filing_id").orderBy("line", "ticker", "value_cents", "action")))
-    place = lambda text, x, dy: F.struct(text.cast("string").alias("text"), F.lit(x).alias("x0"), (100 + C("line") * 20 + dy).alias("top"))
-    words = F.array(place(C("line"), 10, 0), place(C("ticker"), 60, 1), place(F.lit("Corp"), 61, 9), place(C("action"), 300, 2), place(F.concat(F.lit("$"), "value_cents"), 400, 3))
-    words = t.select("filing_id", F.explode(words).alias("w")).select("filing_id", "w.*")
-    below = F.lead("top").over(Window.partitionBy("filing_id").orderBy("top"))
-    rows = words.filter("x0 < 50").select("filing_id", C("text").cast("int").alias("row_number"), C("top").alias("a"), F.coalesce(below, F.lit(1 << 30)).alias("b"))
-    # A filing has few rows, so words meet them within the filing; the row is the last one that begins at or above.
-    held = rows.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("a", "b", "row_number"))).alias("rows"))
-    row = F.element_at(F.filter("rows", lambda r: (r.a <= C("top")) & (C("top") < r.b)), 1)
-    column = F.when(C("x0") < 50, "number").when(C("x0") < 300, "asset").when(C("x0") < 400, "action").otherwise("amount")
-    cells = words.join(held, "filing_id").select("filing_id", row["row_number"].alias("row_number"), column.alias("column"), "top", "x0", "text")
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C("column") == c, F.struct("top", "x0", "text")))), lambda w: w.text), " ")
-    return cells.groupBy("filing_id", "row_number").agg(text("asset").alias("asset"), text("action").alias("action"), text("amount").alias("amount"))
+def positional_rows(pages: DataFrame) -> DataFrame:
+    """(filing_id, row_number, asset, action, amount) of pages (filing_id, words: array<(top, x0, text)>)."""
+    once = lambda x: F.explode(F.array(x))
+    pages = pages.select("filing_id", once(F.array_sort("words")).alias("words"))
+    numbers = F.transform(F.filter("words", lambda w: w.x0 < 50), lambda w: F.struct(w.top.alias("a"), w.text.cast("int").alias("n")))
+    pages = pages.select("filing_id", "words", once(numbers).alias("numbers"))
+    rows = F.transform("numbers", lambda r, i: F.struct(r.n.alias("row_number"), r.a.alias("a"), F.coalesce(F.get("numbers", i + 1).a, F.lit(1 << 30)).alias("b")))
+    rows = pages.select("filing_id", "words", F.explode(F.filter(rows, lambda r: r.a < r.b)).alias("r"))
+    rows = rows.select("filing_id", "r.row_number", once(F.filter("words", lambda w: (C("r.a") <= w.top) & (w.top < C("r.b")))).alias("words"))
+    text = lambda lo, hi: F.array_join(F.transform(F.filter("words", lambda w: (w.x0 >= lo) & (w.x0 < hi)), lambda w: w.text), " ")
+    return rows.select("filing_id", "row_number", text(50, 300).alias("asset"), text(300, 400).alias("action"), text(400, 1 << 30).alias("amount"))
