@@ -14,6 +14,21 @@ def gap_clusters(rows: DataFrame, key: str, date: str, gap_days: int) -> DataFra
     return rows.join(starts.select(key, date, F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cluster")), [key, date])
 
 
+def gap_periods(rows: DataFrame, key: str, date: str, gap_days: int) -> DataFrame:
+    """(key, cluster_start, cluster_end) of the clusters that `gap_clusters` makes, by one sort and no aggregate.
+
+    A date that repeats the one before it goes as it passes. Of each cluster its first and last date stay; the last one follows
+    the first.
+    """
+    w = Window.partitionBy(key).orderBy(date)
+    dated = rows.select(key, date).filter(F.col(date).isNotNull()).withColumn("before", F.lag(date).over(w))
+    days = dated.filter(F.col("before").isNull() | (F.col("before") != F.col(date))).select(key, date)
+    gap = lambda a, b: F.coalesce(F.datediff(a, b) > gap_days, F.lit(True))
+    marked = days.select(key, date, gap(date, F.lag(date).over(w)).alias("first"), gap(F.lead(date).over(w), F.col(date)).alias("last"))
+    ends = marked.filter("first or last").withColumn("next", F.lead(date).over(w))
+    return ends.filter("first").select(key, F.col(date).alias("cluster_start"), F.when(F.col("last"), F.col(date)).otherwise(F.col("next")).alias("cluster_end"))
+
+
 def merged_periods(rows: DataFrame, key: str, start: str, end: str, slack_days: int = 1) -> DataFrame:
     """Union of periods that overlap or leave at most slack_days, with the days served before each."""
     order = Window.partitionBy(key).orderBy(start, end)

@@ -95,8 +95,7 @@ def history_overlaps(spark, sf):
  SELECT person_id, cluster_start, bucket, filing_id, CAST(dist AS INTEGER) AS distance FROM x QUALIFY row_number() OVER (PARTITION BY person_id, cluster_start, bucket ORDER BY dist, filing_id) <= 2""", "filings", "trades"))
 def cluster_context(spark, sf):
     """The two nearest filings before, during and after each trade cluster."""
-    t = windows.gap_clusters(B.trades(spark, sf).select("person_id", "trade_date").distinct(), "person_id", "trade_date", 14)
-    g = t.groupBy("person_id", "cluster").agg(F.min("trade_date").alias("cluster_start"), F.max("trade_date").alias("cluster_end"))
+    g = windows.gap_periods(B.trades(spark, sf), "person_id", "trade_date", 14)
     f = B.filings(spark, sf).select("person_id", "filing_id", "filed_date")
     x = temporal.span_join(g, f, "person_id", "cluster_start", "cluster_end", "filed_date", 45)
     early, late = F.datediff("cluster_start", "filed_date"), F.datediff("filed_date", "cluster_end")
