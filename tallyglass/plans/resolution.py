@@ -209,9 +209,11 @@ _PAGES = """p AS (SELECT filing_id, person_id, count(*) AS words, avg(confidence
 
 def page_quality(spark, sf):
     c = C("confidence_pct")
+    # Sizes of sets, as several distinct counts would copy every row for each of them.
+    kinds = lambda x: F.size(F.collect_set(x)).cast("long")
     p = B.trades(spark, sf).groupBy("filing_id", "person_id").agg(
         ONE().alias("words"), F.avg(c).alias("mean"), F.median(c).alias("med"), count_if(c < 60).alias("low"), (count_if(c >= 60) / ONE()).alias("readable"),
-        F.countDistinct(C("line") % 3).alias("blocks"), F.countDistinct("line").alias("lines"), F.sum(F.length("ticker") * 12).alias("chars"), F.countDistinct("action").alias("cues"),
+        kinds(C("line") % 3).alias("blocks"), kinds(C("line")).alias("lines"), F.sum(F.length("ticker") * 12).alias("chars"), kinds(C("action")).alias("cues"),
     )
     least = lambda most, x: F.least(F.lit(float(most)), x)
     score = least(45, C("mean") * 0.45) + least(20, C("chars") / 80.0) + least(20, C("cues") * 4.0) + least(15, C("blocks") * 2.0 + C("lines") / 8.0)
