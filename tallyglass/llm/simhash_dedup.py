@@ -12,11 +12,9 @@ into pairs; components are then joined by alternating large-star and small-star
 bits of 64 reach only such pairs as are nearly equal, so the whole-text fingerprint, linked by the trie, is one of
 several candidate tables; each of the others holds the SimHash of PICKED shingles chosen by a min-wise hash, and two
 texts meet there with probability about similarity to that power, in one of TABLES tables at least nearly always. In
-each group of candidates the rows are compared exactly with a few heads, first those that share most tables with most
-rows, then, as long as some row is linked to none, further ones; so a group of copies costs some comparisons a row, not
-its pairs. The tables are taken a few at a time, and rows linked to a row of many links leave the later ones. What they
-miss is found exactly: rows of different components that share one of their first shingles are compared as well
-(`links_between`), so the components are those of all links.
+each group of candidates the rows are compared exactly with one head, the row that shares most tables with most rows; so
+a group of copies costs some comparisons a row, not its pairs. What that misses is found exactly: rows of different components that share one of their first
+shingles are compared as well (`links_between`), so the components are those of all links.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and link like any other; rows
 that repeat an id each have their own text's component; null ids are never a component's name unless the component has
@@ -40,7 +38,9 @@ BUDGET = 3
 BLOCKS = 4
 BLOCK_BITS = 16
 WIDTH, SIMILARITY = 5, 0.8
-TABLES, PICKED, SMALL, TURN = 14, 5, 8, 5
+TABLES, PICKED = 14, 5
+#: Most rows of a table of ids that is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
@@ -329,24 +329,25 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array([len(x) for x in sets], np.int32)), batch.column(3), prints], ["row", "id", "digest", "n", "text", "prints"])
 
 
-def candidate_groups(texts: DataFrame, tables: range) -> DataFrame:
-    """(group, row, n, size, rank) of the groups of two rows or more of `texts` (row, n, prints) that share an entry of the tables.
+def candidate_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the rows of `texts` (row, n, prints) that share an entry of a table, each with the head of that group.
 
-    rank is the number of rows that the row meets in all its groups.
+    The head is the row that meets most rows in all its groups. Pairs whose numbers of shingles rule the similarity out are left out.
     """
-    prints = texts.select("row", "n", F.posexplode(F.slice("prints", tables.start + 1, len(tables))).alias("table", "fp"))
-    prints = prints.withColumn("table", F.col("table") + tables.start)
+    prints = texts.select("row", "n", F.posexplode("prints").alias("table", "fp"))
     members = prints.filter("table > 0").select("row", "n", F.xxhash64("table", "fp").alias("group"))
-    if 0 in tables:
-        whole = texts.select("row", "n", F.col("prints")[0].alias("fp"))
-        roots = connected(link_edges(whole.select("fp").distinct()))
-        whole = whole.join(roots, whole.fp == roots.node, "left").select("row", "n", F.xxhash64(F.lit(0), F.coalesce("root", "fp")).alias("group"))
-        members = whole.unionByName(members)
-    members = staged(members, "members")
+    whole = texts.select("row", "n", F.col("prints")[0].alias("fp"))
+    roots = connected(link_edges(whole.select("fp").distinct()))
+    whole = whole.join(roots, whole.fp == roots.node, "left").select("row", "n", F.xxhash64(F.lit(0), F.coalesce("root", "fp")).alias("group"))
+    members = staged(whole.unionByName(members), "members")
     several = staged(members.groupBy("group").count().filter("count > 1"), "several")
     members = staged(members.join(several, "group"), "members")
     rank = staged(members.groupBy("row").agg(F.sum("count").alias("rank")), "ranks")
-    return members.select("group", "row", "n", F.col("count").alias("size")).join(rank, "row")
+    heads = members.join(rank, "row").groupBy("group").agg(F.max(F.struct("rank", "row", "n")).alias("head"))
+    heads = staged(heads.select("group", F.col("head.row").alias("head"), F.col("head.n").alias("head_n")), "heads")
+    asked = members.join(heads, "group").filter("row <> head")
+    asked = asked.filter(F.least("n", "head_n") >= F.lit(threshold) * F.greatest("n", "head_n") - 1e-9)
+    return staged(asked.select(F.col("row").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
 
 
 def ends(links: DataFrame) -> DataFrame:
@@ -371,69 +372,30 @@ def _similar(threshold: float):
     return run
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A staged table, marked for broadcast unless it has more than BROADCAST_ROWS rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose `texts` (row, text) have sets of shingles with a Jaccard similarity of `threshold` or more.
 
-    Texts go to the pairs rather than their sets, which take twice the room and don't compress.
+    Texts go to the pairs rather than their sets, which take twice the room and don't compress. Only texts that a pair
+    asks for are shuffled: the ids of up to BROADCAST_ROWS of them are broadcast, more meet the texts by a shuffle.
     """
+    rows = staged(ends(pairs).select("row").distinct(), "asked_rows")
+    texts = staged(texts.join(few(rows), "row", "left_semi"), "wanted")
     both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_similar(threshold), "a long, b long")
 
 
-def similar_pairs(groups: DataFrame, texts: DataFrame, threshold: float, linked: DataFrame) -> DataFrame:
-    """Rows of a group linked (a, b) to one of its heads, at a Jaccard similarity of `threshold` or more.
-
-    First every row is compared with the row of the largest rank in its group. Rows that then have no link anywhere
-    (`linked` holds those that came with one) are compared among themselves, with two heads a group, then four, and so
-    on, until each row is linked to a head or is one. So no two rows that stay are similar. Groups of up to SMALL rows
-    are compared as a whole in every round and linked in full; of a larger one a chain may stay in two parts, where only
-    rows linked to other heads join them.
-    """
-    left = staged(groups.withColumn("loose", F.lit(True)), "groups")
-    texts = staged(texts.join(left.select("row").distinct(), "row", "left_semi"), "wanted")
-    links, most = None, 1
-    while True:
-        place = F.row_number().over(Window.partitionBy("group", "loose").orderBy(F.col("rank").desc(), "row"))
-        heads = left.select("group", "loose", "row", "n", place.alias("place")).filter(F.col("place") <= most)
-        heads = staged(heads.select("group", F.col("row").alias("head"), F.col("n").alias("head_n")), "heads")
-        asked = left.select("group", "row", "n").join(heads, "group").filter("row <> head")
-        asked = asked.filter(F.least("n", "head_n") >= F.lit(threshold) * F.greatest("n", "head_n") - 1e-9)
-        pairs = staged(asked.select(F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")).distinct(), "pairs")
-        found = staged(similar(pairs, texts, threshold), "links")
-        links = found if links is None else links.unionByName(found)
-        linked = ends(found).select("row") if most > 1 else ends(found).select("row").unionByName(linked)
-        met = linked.distinct().withColumn("met", F.lit(True))
-        rest = left.join(heads.select("group", F.col("head").alias("row")), ["group", "row"], "left_anti").join(met, "row", "left")
-        rest = staged(rest.select("group", "row", "n", "size", "rank", (F.col("loose") & F.col("met").isNull()).alias("loose")), "rest")
-        some = staged(rest.filter("loose").groupBy("group").count().select("group", F.col("count").alias("n_loose")), "open")
-        left = staged(rest.join(some, "group").filter(((F.col("size") <= SMALL) | F.col("loose")) & ((F.col("size") <= SMALL) | (F.col("n_loose") > 1))).drop("n_loose"), "left")
-        most *= 2
-        if left.isEmpty():
-            return links
-
-
 def similar_texts(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between `rows` (row, n, prints) that meet in a table and whose `texts` (row, text) are similar.
+    """Links (a, b) of `rows` (row, n, prints) to the heads of their groups in the tables, where `texts` (row, text) are similar.
 
-    The tables are taken TURN at a time. A row linked to a hub, that is a row of SMALL links or more, is left out of the
-    tables that follow unless it is a hub too: of a large group of copies only the hubs and what is not linked yet meet
-    again. Rows without a hub stay in all tables. What is staged for a turn goes with it.
+    That links most of a group of copies at a comparison or a few a row; what it misses is left to `links_between`.
     """
-    links, left = None, rows
-    linked = rows.select("row").limit(0)
-    for first in range(0, TABLES + 1, TURN):
-        with scratch(rows.sparkSession):
-            groups = candidate_groups(left, range(first, min(first + TURN, TABLES + 1)))
-            found = staged(similar_pairs(groups, texts, threshold, linked).distinct(), "found", keep=True)
-        links = found if links is None else links.unionByName(found)
-        if first + TURN <= TABLES:
-            both = staged(ends(links.distinct()), "both")
-            hubs = staged(both.groupBy("row").count().filter(F.col("count") >= SMALL).select("row"), "hubs")
-            under = both.join(hubs.select(F.col("row").alias("other")), "other", "left_semi").select("row").distinct()
-            under = staged(under.join(hubs, "row", "left_anti"), "under")
-            left = staged(left.join(under, "row", "left_anti"), "firsts")
-            linked = both.select("row")
-    return links
+    with scratch(rows.sparkSession):
+        return staged(similar(candidate_pairs(rows, threshold), texts, threshold), "found", keep=True)
 
 
 def _shingles(batches):
@@ -441,7 +403,7 @@ def _shingles(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t) for t in batch.column(0).to_pylist()]).view(np.int64))], ["shingle"])
 
 
-def common_shingles(texts: DataFrame, rows: int = 20_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, rows: int = 80_000, least: int = 3, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur `least` times or more among about `rows` rows of `texts`, ascending, and their counts.
 
     They only order shingles: any order gives `links_between` the same links, this one fewer candidates.
@@ -473,26 +435,62 @@ def _prefixes(common: np.ndarray, counts: np.ndarray, threshold: float):
     return run
 
 
-def links_between(texts: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """All links (a, b) at a similarity of `threshold` or more between rows of `texts` (row, text) of different `roots` (row, root).
+def shared_prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """(group, row, n, place) of the first shingles that rows of `texts` (row, text) share.
+
+    Shingles that the same rows share are one group, where a row has its earliest place: a passage of two texts is one
+    meeting of them. (Groups that the hash of their rows confuses only ask for more pairs.)
+    """
+    common, counts = common_shingles(texts)
+    firsts = texts.select("row", "text").mapInArrow(_prefixes(common, counts, threshold), "row long, shingle long, place long")
+    by = Window.partitionBy("shingle")
+    # Most shingles are one row's alone: only the others go on.
+    met = firsts.select("row", "place", F.min("row").over(by).alias("lo"), F.max("row").over(by).alias("hi"), F.bit_xor(F.xxhash64("row")).over(by).alias("group"))
+    met = met.filter("lo < hi").groupBy("group", "row").agg(F.min("place").alias("place"))
+    return staged(met.select("group", "row", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("place")), "shared")
+
+
+def links_between(texts: DataFrame, roots: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
+    """Links (a, b) at a similarity of `threshold` or more that join all components of such links among rows of `texts` (row, text), given `roots` (row, root) that links known before join.
 
     Two sets as similar as that share one of their first shingles, in whatever order all shingles are taken: of n, those
     that may be missing and one more. Their first common one stands so early that enough others can follow. Rare shingles
     come first, so that a line that many texts hold is among the first of few. Rows without a root are left out.
+
+    Where groups hold many more pairs than rows, as those of near copies do that are not linked yet, their rows are
+    compared with a few heads of each group, one, two, four and so on, and links join roots before the next round. Heads
+    are the rows that have least before the shingle, so fewest shingles of their own. Rounds end when few of their comparisons are links. Then all pairs of different roots are asked
+    for, so what heads leave apart is found as well.
     """
-    common, counts = common_shingles(texts)
-    firsts = texts.select("row", "text").mapInArrow(_prefixes(common, counts, threshold), "row long, shingle long, place long")
-    by, apart = Window.partitionBy("shingle"), lambda c: (F.min(c).over(by).alias("lo"), F.max(c).over(by).alias("hi"))
-    # Most shingles are one row's alone: only the others meet the roots.
-    shared = staged(firsts.select("*", *apart("row")).filter("lo < hi").drop("lo", "hi"), "shared")
-    named = shared.join(roots, "row").select("*", *apart("root")).filter("lo < hi")
-    firsts = staged(named.select("row", F.shiftright("place", 32).alias("n"), "root", "shingle", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("place")), "prefixes")
-    other = firsts.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("row", "n", "root", "place")])
-    enough = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9
-    may = (F.col("row") > F.col("row2")) & (F.col("root") != F.col("root2")) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= enough)
-    asked = staged(firsts.join(other, "shingle").filter(may).select(F.col("row").alias("a"), F.col("row2").alias("b")).distinct(), "asked")
-    wanted = staged(texts.join(ends(asked).select("row").distinct(), "row", "left_semi"), "wanted")
-    return staged(similar(asked, wanted, threshold), "links", keep=True)
+    shared = shared_prefixes(texts, threshold)
+    links, tried, enough_heads = None, None, False
+    for turn in range(rounds + 1):
+        by = Window.partitionBy("group")
+        named = shared.join(roots, "row").select("*", F.min("root").over(by).alias("lo"), F.max("root").over(by).alias("hi"))
+        named = staged(named.filter("lo < hi").drop("lo", "hi"), "prefixes")
+        of_root = named.groupBy("group", "root").count()
+        pairs = of_root.groupBy("group").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
+        size = pairs.agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * F.col("n") - F.col("own")).alias("pairs")).first()
+        last = turn == rounds or (size.pairs or 0) <= 8 * (size.rows or 0) or enough_heads
+        other = named
+        if not last:
+            place = F.row_number().over(by.orderBy(F.col("place") / F.col("n"), "row"))
+            other = staged(named.withColumn("head", place).filter(F.col("head") <= 1 << turn).drop("head"), "heads")
+        other = other.select("group", *[F.col(c).alias(f"{c}2") for c in ("row", "n", "root", "place")])
+        enough = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9
+        may = (F.col("root") != F.col("root2")) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= enough)
+        may = may & (F.col("row") > F.col("row2")) if last else may
+        asked = named.join(other, "group").filter(may).select(F.greatest("row", "row2").alias("a"), F.least("row", "row2").alias("b")).distinct()
+        asked = staged(asked if tried is None else asked.join(tried, ["a", "b"], "left_anti"), "asked")
+        found = staged(similar(asked, texts, threshold), "links", keep=True)
+        links = found if links is None else links.unionByName(found)
+        if last:
+            return links
+        tried = asked if tried is None else tried.unionByName(asked)
+        enough_heads = found.count() * 32 < asked.count()
+        joined = found.join(roots.select(F.col("row").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("row").alias("b"), F.col("root").alias("y")), "b")
+        tops = connected(joined.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("root", "top")
+        roots = staged(roots.join(tops, roots.root == tops.node, "left").select("row", F.coalesce("top", "root").alias("root")), "rooted")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = SIMILARITY) -> DataFrame:
@@ -526,7 +524,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         fate = marked.join(stays.withColumn("stay", F.lit(1)), "row", "left").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.count("stay").alias("stay"))
         fate = staged(fate.filter("rows > stay").select(F.col("id").alias("f_id"), F.col("digest").alias("f_digest"), "stay"), "fate", keep=True)
     same = F.col(pid).eqNullSafe(F.col("f_id")) & (F.col("digest") == F.col("f_digest"))
-    out = plain.join(fate, same, "left_anti")
+    out = plain.join(few(fate), same, "left_anti")
     again = fate.filter("stay > 0")
     if not again.isEmpty():
         out = out.unionByName(plain.join(again, same, "left_semi").dropDuplicates([pid, "digest"]))

@@ -176,3 +176,46 @@ def test_stage_holds_texts_and_one_turn_at_a_time(spark, monkeypatch):
     assert set(set_now) == {"true"} and spark.conf.get(name) == was
     left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{root}/tallyglass/*/*")) - before}
     assert left == {"fate"}
+
+
+def test_near_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies of which about half the pairs are similar, in one group: some comparisons a row, not the group's pairs."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, rows, asked = [word() for _ in range(400)], [], []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(rng.randrange(2, 9)):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append((k, " ".join(copy)))
+    real = S.similar
+
+    def similar(pairs, *a):
+        asked.append(pairs.count())
+        return real(pairs, *a)
+
+    monkeypatch.setattr(S, "similar", similar)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in S.drop_near_duplicates(docs).collect()), key=str) == near_kept(rows)
+    assert sum(asked) <= 20 * len(rows)
+
+
+def test_a_shared_passage_is_one_meeting(spark, monkeypatch):
+    """However many of their first shingles two texts share, they meet once; texts under the similarity stay."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, met = [], []
+    for _ in range(20):
+        passage = " ".join(word() for _ in range(100))
+        rows += [(len(rows) + j, passage + " " + " ".join(word() for _ in range(25))) for j in range(2)]
+    real = S.staged
+
+    def staged(frame, name, keep=False):
+        out = real(frame, name, keep)
+        if name == "prefixes":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "staged", staged)
+    assert S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    assert met and max(met) <= len(rows)
