@@ -44,6 +44,19 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
+class WordNumbers(dict):
+    """Numbers of words: one not met before gets the next number and is noted in `new`."""
+
+    def __init__(self, words=()):
+        super().__init__(words)
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordTokens:
     """Token ids of texts, by a bounded memory of the ids of single words.
 
@@ -57,8 +70,8 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.piece_ids = self.tokenizer.model.tokenize
         self.most_words = most_words
-        self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words = WordNumbers()
+        self.pieces: dict[str, tuple[int, ...]] = {}  # tuples of numbers are none of the garbage collector's business
         self.ids = np.zeros(1 << 18, np.uint32)
         self.at, self.size, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
         self.used = 0
@@ -74,20 +87,21 @@ class WordTokens:
         self.ids[:total] = self.ids[np.arange(total) + np.repeat(self.at[keep] - (ends - size), size)]
         place = np.full(n, -1, np.int64)
         place[keep] = np.arange(len(keep))
-        self.words = {w: k for w, k in zip(self.words, place.tolist(), strict=True) if k >= 0}
+        self.words = WordNumbers((w, k) for w, k in zip(self.words, place.tolist(), strict=True) if k >= 0)
         self.at[: len(keep)], self.size[: len(keep)], self.hits[: len(keep)] = ends - size, size, self.hits[keep] // 2
         self.hits[len(keep) :] = 0
         self.used = total
         self.pieces.clear()
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         raw = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
         if len(self.pieces) >= self.most_words // 2:
             self.pieces.clear()
-        found = self.pieces[piece] = [t.id for t in self.piece_ids(raw)]
+        found = self.pieces[piece] = tuple([t.id for t in self.piece_ids(raw)])
         return found
 
     def _learn(self, new: list[bytes]) -> None:
+        """The ids of words that just got their numbers, the last ones."""
         text = b" ".join(new).decode()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
@@ -96,12 +110,15 @@ class WordTokens:
         for k, w in enumerate(text.lower().split(" "), 1):
             if w.isalpha():
                 flat += known(w) or piece_of(w)
+            elif w[-1] in ".,;:!?" and w[:-1].isalpha():
+                flat += known(w[:-1]) or piece_of(w[:-1])
+                flat += known(w[-1]) or piece_of(w[-1])
             else:
                 for piece in PRETOKEN.findall(w):
                     flat += known(piece) or piece_of(piece)
             cut[k] = len(flat)
         ids = np.array(flat, np.uint32)
-        first = len(self.words)
+        first = len(self.words) - len(new)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while first + len(new) > len(self.at):
@@ -110,7 +127,6 @@ class WordTokens:
         self.at[first : first + len(new)] = self.used + cut[:-1]
         self.size[first : first + len(new)] = np.diff(cut)
         self.used += len(ids)
-        self.words.update(zip(new, range(first, first + len(new)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.words) > self.most_words:
@@ -122,16 +138,16 @@ class WordTokens:
             if "<|" in text or "Σ" in text:
                 odd[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 text = ""
-            split.append(text.encode().split())
-        known = self.words
-        if new := list({w for words in split for w in words if w not in known}):
+            words = text.encode().split()
+            split.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        if new := self.words.new:
+            self.words.new = []
             self._learn(new)
         out, met = [], []
-        for k, words in enumerate(split):
+        for k, w in enumerate(split):
             if k in odd:
                 out.append(odd[k])
                 continue
-            w = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             met.append(w)
             size = self.size[w]
             ends = np.cumsum(size)

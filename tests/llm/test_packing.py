@@ -88,3 +88,18 @@ def test_forgetting_keeps_the_ids(spark):
         for k in range(0, len(texts), 3):
             for text, ids in zip(texts[k : k + 3], few.encode(texts[k : k + 3]), strict=True):
                 assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_numbered_as_they_are_met():
+    """One look-up a word of the text, which numbers new words; ids are the tokenizer's, also of words learnt again."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdeéßΔ"))
+    words = ["".join(rng.choice(letters, 6)) + rng.choice(["", ".", ",", "!?", "'s", ";", "3"]) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(40)]
+    tokens, t = P.WordTokens(PATH, most_words=150), Tokenizer.from_file(PATH)
+    first = tokens.encode(texts[:1])
+    assert list(tokens.words) == list(dict.fromkeys(texts[0].encode().split()))
+    for lo in range(0, 40, 5):
+        first = tokens.encode(texts[lo : lo + 5])
+        assert [x.tolist() for x in first] == [t.encode(x, add_special_tokens=False).ids for x in texts[lo : lo + 5]]
+        assert sorted(tokens.words.values()) == list(range(len(tokens.words))) and not tokens.words.new
