@@ -99,10 +99,17 @@ def role_on(rows: DataFrame, roles: DataFrame, at: str, keys: list[str]) -> Data
 
 
 def _best_by_span(asked: DataFrame, plain: DataFrame, keys: list[str]) -> DataFrame:
-    """For each name asked for (_first, _last) and span of office: `top`, the best score, how many roles have it, one of them."""
+    """For each name asked for (_first, _last) and span of office: `top`, the best score, how many roles have it, one of them.
+
+    A role has a row for each ending that is as long as some name asked for. Their number isn't known when the query is planned,
+    so they are shuffled and sent to nobody whole.
+    """
     length = F.length("_name")
-    endings = F.transform(F.sequence(F.least(length, F.lit(1)), length), lambda n: F.substring(F.col("_name"), length - n + 1, n))
-    met = asked.join(plain.withColumn("_last", F.explode(endings)), [*keys, "_last"])
+    fits = F.filter("_lengths", lambda n: (n >= F.least(length, F.lit(1))) & (n <= length))
+    endings = F.transform(fits, lambda n: F.substring(F.col("_name"), length - n + 1, n))
+    lengths = asked.agg(F.collect_set(F.length("_last")).alias("_lengths"))
+    ended = plain.join(F.broadcast(lengths)).withColumn("_last", F.explode(endings)).drop("_lengths")
+    met = asked.join(ended.hint("merge"), [*keys, "_last"])
     score = (
         F.when(F.col("_name") == F.concat_ws(" ", "_first", "_last"), 100)
         .when(F.startswith("_name", "_first"), 90)
@@ -169,16 +176,16 @@ def actor_key(role_id: Column, official_id: Column) -> Column:
     return F.concat(F.lit("actor:"), F.substring(F.sha2(F.coalesce(role_id, official_id), 256), 1, 24))
 
 
-def legislative(rows: DataFrame, kind: str, fallback: Column | None = None, instance: Column | None = None) -> DataFrame:
-    """Edges with their actor's attributes, of rows with a resolved `role`.
+def legislative(rows: DataFrame, kind: Column, fallback: Column | None = None, instance: Column | None = None) -> DataFrame:
+    """Edges with their actor's attributes, of rows with a resolved `role`; rows of all kinds are read at once.
 
     rows has event_id, relationship_date, bioguide_id, name, party, state, source_ids, roll_call_id, vote_cast, withdrawn_date.
     """
     facts = observed_actor("bioguide_id", "name", "party", "state", fallback if fallback is not None else F.lit(None).cast("string"))
     kept = ["event_id", "relationship_date", "source_ids", "roll_call_id", "vote_cast", "withdrawn_date"]
-    seen = rows.select(*kept, (instance if instance is not None else F.lit(None).cast("string")).alias("_instance"), *facts)
+    seen = rows.select(*kept, kind.alias("relationship_type"), (instance if instance is not None else F.lit(None).cast("string")).alias("_instance"), *facts)
     return seen.select(
-        record_id(F.col("event_id"), F.lit(kind), F.col("roll_call_id"), F.col("official_actor_id"), F.col("_instance")).alias("id"), F.lit(kind).alias("relationship_type"),
+        record_id(F.col("event_id"), F.col("relationship_type"), F.col("roll_call_id"), F.col("official_actor_id"), F.col("_instance")).alias("id"), "relationship_type",
         F.lit("direct_official_record").alias("relationship_class"), actor_key(F.col("external_role_id"), F.col("official_actor_id")).alias("actor_id"), F.lit(None).cast("string").alias("institution_id"),
         *kept, *[c for c in ["official_actor_id", "external_person_id", "external_role_id", "bioguide_id", "full_name", "official_record_name", "party", "state", "resolution_status", "role_source_url"]],
     )
@@ -242,8 +249,10 @@ def with_priority(rows: DataFrame) -> DataFrame:
 def _versions(observations: DataFrame) -> DataFrame:
     """How many observations give an actor each value of each compared field; a null value counts as one."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in COMPARED])
-    rows = observations.select("actor_id", F.explode(fields).alias("v")).select("actor_id", "v.*")
-    return rows.groupBy("actor_id", "field", "value").agg(F.count(F.lit(1)).alias("observations"))
+    # Equal observations are counted before they become a row for each field.
+    equal = observations.groupBy("actor_id", *COMPARED).agg(F.count(F.lit(1)).alias("_n"))
+    rows = equal.select("actor_id", F.explode(fields).alias("v"), "_n").select("actor_id", "v.*", "_n")
+    return rows.groupBy("actor_id", "field", "value").agg(F.sum("_n").alias("observations"))
 
 
 def actors(observations: DataFrame) -> DataFrame:
@@ -262,6 +271,13 @@ def actors(observations: DataFrame) -> DataFrame:
     return kept.join(seen, "actor_id")
 
 
+def kept_value(observations: DataFrame, field: str) -> DataFrame:
+    """(actor_id, field): of one compared field the value that `actors` keeps, by counts of that field alone."""
+    counted = observations.groupBy("actor_id", field).agg(F.count(F.lit(1)).alias("_n"))
+    order = F.struct(-F.col("_n"), F.col(field).isNull(), F.col(field))
+    return counted.groupBy("actor_id").agg(F.min_by(field, order).alias(field))
+
+
 def actor_conflicts(observations: DataFrame) -> DataFrame:
     """(actor_id, field, value, observations, kept) for each value of a compared field that observations of an actor disagree on."""
     by = Window.partitionBy("actor_id", "field")
