@@ -43,34 +43,59 @@ def trade_context_candidates(trades: DataFrame, relationships: DataFrame, window
     trades has person_id, trade_id, date and movement (the largest benchmark-adjusted move after it in per cent, or null);
     relationships has person_id, event_id, date, relationship_tier, relationship_tier_rank, editor_status, source_tier.
     """
-    dated = trades.filter("date is not null")
-    groups = windows.gap_clusters(dated, "person_id", "date", gap).groupBy("person_id", "cluster").agg(F.min("date").alias("a"), F.max("date").alias("b"), F.coalesce(F.max("movement"), F.lit(0.0)).alias("m"))
-    met = temporal.span_join(groups, relationships, "person_id", "a", "b", "date", window)
+    return candidates_of(clustered(trades, gap), relationships, window, gap)
+
+
+def clustered(trades: DataFrame, gap: int = GAP) -> DataFrame:
+    """Dated trades with their cluster, its first and last date (a, b), its largest movement m (0 if none) and the largest of their id.
+
+    A person's trades are sorted as they are, not joined with their days, so they are shuffled once, by person.
+    """
+    by = Window.partitionBy("person_id").orderBy("date")
+    whole = Window.partitionBy("person_id", "cluster")
+    dated = trades.filter("person_id is not null and date is not null").withColumn("_start", F.coalesce((F.datediff("date", F.lag("date").over(by)) > gap).cast("long"), F.lit(0)))
+    rows = dated.withColumn("cluster", F.sum("_start").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+    rows = rows.withColumns({"a": F.min("date").over(whole), "b": F.max("date").over(whole), "m": F.coalesce(F.max("movement").over(whole), F.lit(0.0))})
+    return rows.withColumn("id_movement", F.max("movement").over(Window.partitionBy("person_id", "trade_id")))
+
+
+def candidates_of(trades: DataFrame, relationships: DataFrame, window: int = WINDOW, gap: int = GAP) -> DataFrame:
+    """The candidates of `clustered` trades.
+
+    Each relationship meets the trades near it once. As days of a cluster are at most `gap` apart, it is within a cluster's
+    window only if it is that near to one of its trades.
+    """
+    known = relationships.filter("date is not null")
+    keep = ["person_id", "event_id", "date", "relationship_tier", "relationship_tier_rank", "editor_status", "source_tier"]
+    side = trades.select("person_id", "trade_id", F.col("date").alias("trade_date"), "cluster", "a", "b", "m", "id_movement")
+    pairs = temporal.band_join(known.select(*keep), side, "person_id", "date", "trade_date", max(window, gap))
     early, late = F.datediff("a", "date"), F.datediff("date", "b")
+    # A cluster's pairs meet in one partition, where its relationships are told apart and ranked.
+    met = pairs.select(*keep, "cluster", "a", "b", "m").filter(F.greatest(early, late) <= window)
     met = met.withColumn("bucket", F.when(early > 0, "before").when(late > 0, "after").otherwise("during")).withColumn("distance", F.greatest(early, late, F.lit(0)))
     met = met.filter(eligible(F.col("distance")))
     curated = F.coalesce(F.col("editor_status") == "curated", F.lit(False))
     score = F.col("relationship_tier_rank") * 100 - F.col("distance") * 2 + F.when(curated, 15).otherwise(0) + source_bonus() + F.least(F.lit(40), F.bround(F.col("m") * 2, 0).cast("int"))
-    order = [score.desc(), F.col("distance"), F.col("date").desc(), F.col("event_id").desc()]
+    met = met.select("person_id", "cluster", "bucket", "event_id", "date", "distance", score.alias("score")).repartition("person_id", "cluster").distinct()
+    order = [F.desc("score"), F.col("distance"), F.desc("date"), F.desc("event_id")]
     chosen = windows.top_per_group(met, ["person_id", "cluster", "bucket"], order, PER_BUCKET).select("person_id", "event_id").distinct()
-    rows = relationships.join(chosen, ["person_id", "event_id"], "left_semi")
-    return _explained(rows, dated, window)
+    keys = ["person_id", "event_id"]
+    near = pairs.select(*keys, "date", "trade_date", "trade_id", "id_movement").filter(F.abs(F.datediff("date", "trade_date")) <= window)
+    return _explained(known, near.join(chosen, keys, "left_semi"), window)
 
 
-def _explained(rows: DataFrame, trades: DataFrame, window: int) -> DataFrame:
-    near = temporal.band_join(rows.select("person_id", "event_id", "date"), trades.select("person_id", "trade_id", F.col("date").alias("trade_date"), "movement"), "person_id", "date", "trade_date", window)
+def _explained(rows: DataFrame, near: DataFrame, window: int) -> DataFrame:
+    """rows that have trades near them, with these; near has a row for each pair."""
     days = F.datediff("date", "trade_date")
     each = Window.partitionBy("person_id", "event_id")
     order = each.orderBy(F.abs("days"), "days", "trade_date", "trade_id")
     # Counted beside the rank, so that the pairs are made and dealt once.
-    first = near.select("person_id", "event_id", "trade_date", "trade_id", days.alias("days")).withColumn("k", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(each)).filter(F.col("k") <= NEAR_IDS)
+    first = near.select("person_id", "event_id", "trade_date", "trade_id", "id_movement", days.alias("days")).withColumn("k", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(each)).filter(F.col("k") <= NEAR_IDS)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("k", "trade_id"))), lambda x: x.trade_id)
-    beside = first.groupBy("person_id", "event_id").agg(F.min_by("days", "k").alias("nearest_trade_days"), ids.alias("nearby_trade_ids"), F.max("n").alias("nearby_trade_count"))
     # The movement is that of all trades that bear one of the named ids.
-    named = beside.select("person_id", "event_id", F.explode("nearby_trade_ids").alias("trade_id")).distinct()
-    moved = named.join(trades.select("person_id", "trade_id", "movement"), ["person_id", "trade_id"]).groupBy("person_id", "event_id").agg(F.coalesce(F.max("movement"), F.lit(0.0)).alias("movement"))
-    keys = ["person_id", "event_id"]
-    out = rows.join(beside.join(moved, keys), keys)
+    moved = F.coalesce(F.max("id_movement"), F.lit(0.0)).alias("movement")
+    beside = first.groupBy("person_id", "event_id").agg(F.min_by("days", "k").alias("nearest_trade_days"), ids.alias("nearby_trade_ids"), F.max("n").alias("nearby_trade_count"), moved)
+    out = rows.join(beside, ["person_id", "event_id"])
     specificity = F.least(F.lit(60), F.col("relationship_tier_rank") * 10 + source_bonus())
     n = F.col("nearest_trade_days")
     timing = F.round(25 * (1 - F.least(F.abs(n), F.lit(window)) / F.lit(float(window))), 1)

@@ -6,10 +6,10 @@ them no prices; the benchmark of some isn't priced either, so that they fall bac
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import context as X
-from ..operators import windows
 from ..operators.lineage import staged
 from . import bindings as B
 from .relational import C
@@ -42,9 +42,8 @@ def relationships(spark, sf):
     )
 
 
-def candidates(spark, sf, t=None):
-    t = trades(spark, sf) if t is None else t
-    return X.trade_context_candidates(t.select("person_id", "trade_id", "date", "movement"), relationships(spark, sf))
+def candidates(spark, sf):
+    return X.trade_context_candidates(trades(spark, sf).select("person_id", "trade_id", "date", "movement"), relationships(spark, sf))
 
 
 QUERIES["dm18_trade_context_candidates"] = lambda spark, sf: candidates(spark, sf).withColumn("nearby_trade_ids", F.array_join(F.transform("nearby_trade_ids", lambda x: x.cast("string")), "|"))
@@ -90,14 +89,16 @@ QUERIES["dm20_trade_context_rows"] = flat_rows
 def career(spark, sf):
     """One row per person: trades and their clusters, how many have a price of their own, candidates, the best one, gaps of moves."""
     t = trades(spark, sf)
-    held = windows.gap_clusters(t.select("person_id", "date", "trade_id", "action"), "person_id", "date", 14)
-    base = held.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_trades"), F.countDistinct("cluster").alias("n_groups"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_if(C("action") == "BUY").alias("n_buys"))
-    multi = held.groupBy("person_id", "cluster").count().filter("count > 1").groupBy("person_id").agg(F.count(F.lit(1)).alias("n_clusters"))
+    held = X.clustered(t.select("person_id", "trade_id", "date", "movement", (C("action") == "BUY").alias("buy")))
+    # A cluster of several trades has one second trade; clusters are numbered from 0. So persons are counted without their clusters.
+    before = lambda k: F.lag("cluster", k, -1).over(Window.partitionBy("person_id").orderBy("cluster"))
+    held = staged(held.withColumn("second", (before(1) == C("cluster")) & (before(2) != C("cluster"))))
+    base = held.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_trades"), (F.max("cluster") + 1).alias("n_groups"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_if("buy").alias("n_buys"), F.count_if("second").alias("n_clusters"))
     rows = context_rows(spark, sf, t)
     moved = rows.groupBy("person_id").agg(F.count_if(C("coverage_status") == "covered").alias("n_covered"), F.count_if(C("asset_30").isNull()).alias("n_without_move"), F.max("asset_30").alias("best_30"))
-    cand = candidates(spark, sf, t)
+    cand = X.candidates_of(held, relationships(spark, sf))
     best = cand.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.min_by("event_id", "candidate_rank").alias("first_candidate"))
-    return base.join(multi, "person_id", "left").join(moved, "person_id").join(best, "person_id", "left").na.fill(0, ["n_clusters", "n_candidates"])
+    return base.join(moved, "person_id").join(best, "person_id", "left").na.fill(0, ["n_candidates"])
 
 
 QUERIES["dm60_career_timeline"] = career
